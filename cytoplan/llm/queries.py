@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read_table
+from . import packing, rans, simhash, tokens
+from .common import read_table, work_dir
 
 
 def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,18 @@ def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "rans-files")
+    rans.write_tokens(read_table(spark, sf_dir, "documents"), path, tokens.default_tokenizer(), end_id=2)
+    return rans.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), end_id=1, capacity=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_gray_index,)}
+    return {f.__name__: f for f in (op2_simhash_gray_index, op5_rans_token_files, op6_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
