@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rans, simhash, tokens
+from . import packing, quality, rans, simhash, tokens
 from .common import read_table, work_dir
 
 
@@ -26,8 +26,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), end_id=1, capacity=4096)
 
 
+def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_gray_index, op5_rans_token_files, op6_best_fit_packing)}
+    return {f.__name__: f for f in (op2_simhash_gray_index, op5_rans_token_files, op6_best_fit_packing, op7_ngram_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
