@@ -7,6 +7,7 @@ spaces by itself; those stretches repeat and are cached. Any other tokenizer get
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 from tokenizers import Tokenizer
@@ -32,30 +33,54 @@ def drops_blanks(spec: dict) -> bool:
         and cut.get("type") == "Split"
         and (cut.get("behavior"), cut.get("invert")) == ("Removed", True)
         and cut.get("pattern", {}).get("Regex") == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        and (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        and any(s.get("type") == "Lowercase" for s in steps)
         and not spec.get("post_processor")
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", []))
     )
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+#: Lower-case Latin letters, then ASCII marks that begin no contraction or special token. The pre-tokenizer cuts between the two.
+PLAIN = re.compile(r"([a-zß-öø-ɏ]+)([!-&(-/:;=-@\[-^`{-~]*)")
+
+
 class _Words(dict):
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.letters = byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
-        short = word.lower() if word.isascii() and "<" not in word else word
-        # A letter and then one mark are cut between them, and ASCII letters count in lower case.
-        if len(short) > 1 and short[-1] in ",.;:!?" and short[-2] < "ɐ" and short[-2].isalpha():
-            ids = self[short[:-1]] + self[short[-1]]
+        short = word.lower()
+        plain = PLAIN.fullmatch(short)
+        if not plain:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
+        elif plain[2]:
+            ids = self[plain[1]] + self.marks(plain[2])
         elif short != word:
             ids = self[short]
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
+        else:  # neither the normaliser nor the pre-tokenizer changes it but for its bytes' letters
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         self[word] = ids
         return ids
 
+    def marks(self, run: str) -> bytes:
+        ids = self.get(run)
+        if ids is None:
+            ids = self[run] = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+        return ids
+
 
 _encoders: dict[str, "Encoder"] = {}
 
