@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, rans, simhash, tokens
+from . import decontam, packing, quality, rans, secrets, simhash, tokens
 from .common import read_table, work_dir
 
 
@@ -16,6 +16,10 @@ def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "rans-files")
     rans.write_tokens(read_table(spark, sf_dir, "documents"), path, tokens.default_tokenizer(), end_id=2)
@@ -31,8 +35,23 @@ def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+#: Every query, in the order of the operators' numbers.
+QUERIES = (
+    op2_simhash_gray_index,
+    op4_simhash_decontamination,
+    op5_rans_token_files,
+    op6_best_fit_packing,
+    op7_ngram_quality,
+    op9_crf_secrets,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_gray_index, op5_rans_token_files, op6_best_fit_packing, op7_ngram_quality)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
