@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, rans, secrets, simhash, tokens
+from . import decontam, packing, quality, rans, secrets, simhash, suffix, tokens
 from .common import read_table, work_dir
 
 
@@ -35,6 +35,10 @@ def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.dedup(read_table(spark, sf_dir, "documents"), least=100))
+
+
 def op9_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = (
     op5_rans_token_files,
     op6_best_fit_packing,
     op7_ngram_quality,
+    op8_suffix_repeats,
     op9_crf_secrets,
 )
 
