@@ -7,15 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, rans, secrets, simhash, suffix, tokens
+from . import chat, decontam, licenses, packing, quality, rans, secrets, simhash, suffix, tokens, toxicity
 from .common import read_table, work_dir
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -43,15 +51,23 @@ def op9_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 #: Every query, in the order of the operators' numbers.
 QUERIES = (
+    op1_chat_perspectives,
     op2_simhash_gray_index,
+    op3_license_dice,
     op4_simhash_decontamination,
     op5_rans_token_files,
     op6_best_fit_packing,
     op7_ngram_quality,
     op8_suffix_repeats,
     op9_crf_secrets,
+    op10_ordinal_toxicity,
 )
 
 
@@ -60,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_perspectives": chat.PERSPECTIVES_SQL, "op3_license_dice": licenses.scan_sql()}
