@@ -38,8 +38,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = coder.encode(text.as_py()) + tail
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = coder.encode(text) + tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part_ids = ids[at : at + 4 * capacity]
                     n = len(part_ids) // 4

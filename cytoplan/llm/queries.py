@@ -31,7 +31,7 @@ def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "rans-files")
     rans.write_tokens(read_table(spark, sf_dir, "documents"), path, tokens.default_tokenizer(), end_id=2)
-    return rans.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return rans.read_tokens(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import tokens
 
-SCALE, LANES, BLOCK, EVERY = 20, 512, 1 << 18, 256
+SCALE, LANES, BLOCK, EVERY = 20, 2048, 1 << 19, 128
 _U = np.uint64
 _LOW, _WORD = _U(1 << 31), _U(0xFFFFFFFF)
 _HEAD = struct.Struct("<4sBHIIIIII")
@@ -46,7 +46,8 @@ class Table:
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+            kind = np.uint16 if len(self.freq) <= 1 << 16 else np.uint32
+            self._slots = np.repeat(np.arange(len(self.freq), dtype=kind), self.freq.astype(np.int64))
         return self._slots
 
     @staticmethod
@@ -173,8 +174,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partit
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append(coder.encode(text.as_py()) + tail)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(coder.encode(text) + tail)
                 ids.append(doc_id)
                 size += len(held[-1]) // 4
                 if size >= BLOCK:
@@ -223,8 +224,8 @@ def _ids(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of each document, from the files."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit) of each document, from the files."""
     frames = spark.read.schema("part int, block int, start_in_part long, n_tokens long, frame binary").parquet(f"{path}/frames")
     packed = spark.read.schema("freq binary").parquet(f"{path}/table").first()[0]
     shared = spark.sparkContext.broadcast(packed)
@@ -246,8 +247,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 texts = [raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, mask=nulls), pa.array(begins + start + firsts.value[part]), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(b) for b in texts], pa.int64()), pa.array(texts, pa.binary())],
+                    [pa.array(doc_ids, mask=nulls), pa.array(begins + start + firsts.value[part]), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(b) for b in texts], pa.int64()), pa.array(texts if with_ids else [None] * len(texts), pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    return frames.select("part", "start_in_part", "frame").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    out = frames.select("part", "start_in_part", "frame").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return out if with_ids else out.drop("ids")

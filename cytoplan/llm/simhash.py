@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .components import connected_components
@@ -288,12 +289,34 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return edges.where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id of the component) of each row of ``docs`` (doc_id, text)."""
-    prints = C.materialise(with_fingerprints(docs, shingle), "simhash-prints")
+def components(prints: DataFrame, radius: int) -> DataFrame:
+    """fp and component_id (smallest doc_id of the component) of each distinct fp of prints (doc_id, fp)."""
     nodes = C.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = connected_components(links(nodes.select("fp"), radius))
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(owner, "fp").select("doc_id", "fp", "component_id")
+    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id of the component) of each row of ``docs`` (doc_id, text)."""
+    prints = C.materialise(with_fingerprints(docs, shingle), "simhash-prints")
+    return prints.join(components(prints, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, but of each component only one: that of the smallest doc_id (nulls last)."""
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [fingerprints_of(data, offsets, shingle) for _, _, data, offsets in C.text_chunks(batch.column(1))]
+            value = np.concatenate([np.zeros(0, _U), *parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(value.view(np.int64)), batch.column(2)], ["doc_id", "number", "fp", "row"])
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("number", T.LongType()), T.StructField("fp", T.LongType()), numbered.schema["row"]])
+    # Written once: from then on a row's number is fixed.
+    rows = C.materialise(numbered.mapInArrow(run, schema), "simhash-rows")
+    owned = rows.select("doc_id", "number", "fp").join(components(rows.select("doc_id", "fp"), radius), "fp")
+    winners = owned.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")).alias("first")).select(F.col("first.number").alias("number"))
+    return rows.join(winners, "number", "left_semi").select("row.*")

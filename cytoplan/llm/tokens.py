@@ -1,7 +1,7 @@
 """Token ids of texts by a given tokenizer file, with a bounded cache of words.
 
 A tokenizer whose normaliser turns blanks into single spaces and whose pre-tokenizer drops them encodes each stretch between
-spaces by itself; those stretches repeat and are cached. Any other tokenizer gets whole texts. The ids are the same either way.
+blanks by itself; those stretches repeat and are cached. Any other tokenizer gets whole texts. The ids are the same either way.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Words that a worker keeps; beyond it the cache starts anew, so memory stays bounded and results do not change.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -23,7 +23,7 @@ def default_tokenizer() -> str:
 
 
 def drops_blanks(spec: dict) -> bool:
-    """Whether stretches between spaces and line feeds are encoded independently of each other."""
+    """Whether stretches between blanks are encoded independently of each other."""
     steps = spec.get("normalizer") or {}
     steps = steps.get("normalizers", [steps])
     cut = spec.get("pre_tokenizer") or {}
@@ -61,6 +61,9 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
+        if word.isascii() and word.islower() and word.isalpha():
+            ids = self[word] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            return ids
         short = word.lower()
         plain = PLAIN.fullmatch(short)
         if not plain:
@@ -70,7 +73,7 @@ class _Words(dict):
         elif short != word:
             ids = self[short]
         else:  # neither the normaliser nor the pre-tokenizer changes it but for its bytes' letters
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            shown = word.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         self[word] = ids
         return ids
@@ -99,7 +102,9 @@ class Encoder:
         if not text:
             return b""
         if self.by_word:
-            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+            # Python alone counts four control characters as blanks.
+            words = text.replace("\n", " ").split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+            return b"".join(map(self.words.__getitem__, words))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
