@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels take at once; bounds the memory of a Python worker.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _U64 = np.uint64
 #: ASCII blanks that separate words: space and 0x09 to 0x0D.

@@ -151,7 +151,7 @@ class Field:
         return at
 
     def scores(self, tokens: list[str], text: str) -> np.ndarray:
-        if len(self.rows) > 400_000:
+        if len(self.rows) > 120_000:
             self._reset()
         rows = self.rows
         ids = np.array([rows[t] if t in rows else self._row(t) for t in tokens], np.int64)

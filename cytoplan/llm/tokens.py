@@ -13,7 +13,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Words that a worker keeps; beyond it the cache starts anew, so memory stays bounded and results do not change.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 
 
 def default_tokenizer() -> str:
