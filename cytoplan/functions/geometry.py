@@ -9,6 +9,8 @@ import numpy as np
 _GHOST = -1
 #: Relative rounding bounds under which a determinant's sign is decided exactly.
 _ORIENT_EPS, _CIRCLE_EPS = 4e-16, 2e-15
+#: Triangles with less than this share of the squared extent as twice their area are no triangles.
+FLAT = 1e-13
 
 
 def _orient(a, b, c) -> float:
@@ -123,7 +125,11 @@ def delaunay(points: np.ndarray) -> np.ndarray:
             if _GHOST not in (x, y):
                 now = (x, y, i)
     out = {tuple(sorted((u, v, w))) for (u, v), w in opposite.items() if _GHOST not in (u, v, w)}
-    return np.array(sorted(out), np.int64).reshape(-1, 3)
+    found = np.array(sorted(out), np.int64).reshape(-1, 3)
+    # Along the hull, points on a line but for rounding make triangles without area.
+    p, q, r = (np.array(pts)[found[:, k]] for k in range(3))
+    area = np.abs((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
+    return found[area > FLAT * float(span.max()) ** 2]
 
 
 def triangle_edges(triangles: np.ndarray) -> np.ndarray:

@@ -69,9 +69,10 @@ def curve(layered: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hplot(cells: DataFrame, flags: DataFrame, edges: DataFrame, k: int = 2, least: int = 8, share: float = 0.5) -> DataFrame:
     """The curve of every sample; ``edges`` are pruned already."""
+    flags = flags.persist()
     adj = graph.adjacency(edges)
     region = region_gate(flags, adj, k, least, share)
-    layered = layers(border(region, adj), adj).join(flags, KEY)
+    layered = layers(border(region.persist(), adj), adj).join(flags, KEY).persist()
     return curve(layered, edges)
 
 

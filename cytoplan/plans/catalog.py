@@ -26,7 +26,8 @@ class World:
     def __init__(self, spark: SparkSession, sf_dir: str, cells: DataFrame | None = None):
         self.spark, self.sf_dir = spark, sf_dir
         self.cells = X.cells(spark, sf_dir) if cells is None else cells
-        self.edges = graph.delaunay_edges(self.cells)
+        # Triangulated once; several joins of a query read the edges.
+        self.edges = graph.delaunay_edges(self.cells).persist()
         self.pruned = graph.prune(self.edges, REACH)
         self.adj = graph.adjacency(self.pruned)
 

@@ -21,7 +21,7 @@ FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.cell_id < b.cell_id
     ),
     "triangles": (
         ["circles", "cells"],
-        """SELECT sample_id, i, j, k FROM circles t WHERE NOT EXISTS (SELECT 1 FROM cells p WHERE p.sample_id = t.sample_id
+        """SELECT sample_id, i, j, k FROM circles t WHERE NOT EXISTS (SELECT 1 FROM cells p WHERE p.sample_id = t.sample_id AND p.cell_id NOT IN (i, j, k)
   AND (p.x_um-ux)*(p.x_um-ux)+(p.y_um-uy)*(p.y_um-uy) < (ax-ux)*(ax-ux)+(ay-uy)*(ay-uy) - 1e-9)""",
     ),
     "edges": (
