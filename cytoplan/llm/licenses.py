@@ -2,8 +2,8 @@
 
 Units are the whole text (unit 0) and its lines (from 1). A unit is lower-cased, everything but a-z and 0-9 separates words, and
 its distinct word bigrams A are compared with each template's T by 2|A & T| / (|A| + |T|). A Dice of t needs
-t / (2 - t) <= |A| / |T| <= (2 - t) / t, so other templates are left out by size, and units that share fewer than t / (2 - t) of
-their bigrams with all templates together are left out before. The best template of a unit is reported, ties to the smaller name.
+t / (2 - t) <= |A| / |T| <= (2 - t) / t, so other templates are left out by size. Before that, units that share fewer than
+t / (2 - t) of their bigrams with all templates together are left out, and texts without any of the words that a match must have. The best template of a unit is reported, ties to the smaller name.
 
 Everything is built-in column functions on the row itself: no shuffle, no Python.
 
@@ -42,6 +42,22 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def telling_words(known: dict[str, list[str]], share: float) -> list[str]:
+    """Words of which every unit that matches any template has one at least.
+
+    A match shares ``share`` or more of the template's bigrams, so it cannot do without all bigrams that hold such words once the
+    others are fewer. Long words first; words that serve several templates are taken once.
+    """
+    chosen: list[str] = []
+    for pairs in known.values():
+        words = sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, -len(w), w))
+        own: list[str] = []
+        while sum(not set(own) & set(p.split()) for p in pairs) >= share * len(pairs):
+            own.append(words[len(own)])
+        chosen += [w for w in own if w not in chosen]
+    return chosen
+
+
 def _bigrams(words: Column) -> Column:
     """Distinct bigrams of an array of words."""
     rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
@@ -59,8 +75,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     most = max(map(len, known.values())) / share
     every = array(sorted({p for pairs in known.values() for p in pairs}))
     listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(pairs)).alias("n"), array(pairs).alias("pairs")) for name, pairs in known.items()])
-    text = F.regexp_replace(F.lower(F.col("text").cast("string")), "[^a-z0-9\n]+", " ")
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.posexplode(F.concat(F.array(F.translate("text", "\n", " ")), F.split("text", "\n"))).alias("unit", "text"))
+    low = F.lower(F.col("text").cast("string"))
+    some = F.lit(False)
+    for word in telling_words(known, share):
+        some = some | F.col("low").contains(word)
+    text = F.regexp_replace("low", "[^a-z0-9\n]+", " ")
+    units = docs.select("doc_id", low.alias("low")).where(some).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.posexplode(F.concat(F.array(F.translate("text", "\n", " ")), F.split("text", "\n"))).alias("unit", "text"))
     words = units.select("doc_id", "unit", F.split(F.trim("text"), " +").alias("words")).where(F.size("words") > least)
     found = words.select("doc_id", "unit", _bigrams(F.col("words")).alias("own")).where(F.size("own").between(least, most))
     found = found.where(F.size(F.array_intersect("own", every)) >= F.size("own") * share)
