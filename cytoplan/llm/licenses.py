@@ -46,15 +46,16 @@ def telling_words(known: dict[str, list[str]], share: float) -> list[str]:
     """Words of which every unit that matches any template has one at least.
 
     A match shares ``share`` or more of the template's bigrams, so it cannot do without all bigrams that hold such words once the
-    others are fewer. Long words first; words that serve several templates are taken once.
+    others are fewer. Words of seven letters or more that hold the most of the bigrams left are taken first, shorter ones only where
+    these do not suffice; words taken for one template serve the others.
     """
     chosen: list[str] = []
-    for pairs in known.values():
-        words = sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, -len(w), w))
-        own: list[str] = []
-        while sum(not set(own) & set(p.split()) for p in pairs) >= share * len(pairs):
-            own.append(words[len(own)])
-        chosen += [w for w in own if w not in chosen]
+    for pairs in sorted(known.values(), key=len):
+        left = [set(p.split()) for p in pairs if not set(p.split()) & set(chosen)]
+        while len(left) >= share * len(pairs):
+            words = {w for p in left for w in p}
+            chosen.append(min(words, key=lambda w: (len(w) < 7, -sum(w in p for p in left), -len(w), w)))
+            left = [p for p in left if chosen[-1] not in p]
     return chosen
 
 
