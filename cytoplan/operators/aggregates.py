@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import convex_hull, polygon_area
 from ..functions.labels import sanitise
+from ..sources.stage import staged
 from ..sources.tables import ContractError
 from . import graph, hplot
 
@@ -27,8 +28,8 @@ def check_name(name: str, types: list[str]) -> str:
 
 def membership(cells: DataFrame, flags: DataFrame, adj: DataFrame, k: int = 2, least: int = 8, share: float = 0.5, min_size: int = 10) -> DataFrame:
     """sample_id, cell_id, aggregate_id of every cell (null outside), numbered from 0 by centroid (y, then x) within the sample."""
-    dense = hplot.region_gate(flags.persist(), adj, max(1, k), least, share).where("is_region")
-    parts = graph.components(dense, adj).persist()
+    dense = hplot.region_gate(staged(flags, "flags"), adj, max(1, k), least, share).where("is_region")
+    parts = staged(graph.components(dense, adj), "components")
     placed = parts.join(cells.select(*KEY, "x_um", "y_um"), KEY)
     sizes = placed.groupBy("sample_id", "component").agg(F.count("*").alias("n"), F.avg("x_um").alias("cx"), F.avg("y_um").alias("cy")).where(F.col("n") >= min_size)
     order = Window.partitionBy("sample_id").orderBy("cy", "cx", "component")

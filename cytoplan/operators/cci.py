@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import kernel_weight, sanitise
+from ..sources.stage import staged
 
 KEY = ["sample_id", "cell_id"]
 
@@ -40,7 +41,8 @@ def scores(cells: DataFrame, adj: DataFrame, expression: DataFrame, pairs: DataF
     genes = known.select(sanitise("ligand").alias("gene")).union(known.select(sanitise("receptor").alias("gene"))).distinct()
     # Only genes of some pair enter the neighbour sums.
     own = expression.select(*KEY, sanitise("gene").alias("gene"), F.coalesce("value", F.lit(0.0)).alias("value")).join(genes, "gene", "left_semi")
-    near = neighbour_expression(weights(adj, kernel, scale), own)
+    own = staged(own, "panel")
+    near = staged(neighbour_expression(weights(adj, kernel, scale), own), "neighbours")
     rows = _with_pairs(cells, known)
     value = lambda end: own.select(*KEY, F.col("gene").alias(end), F.col("value").alias(f"own_{end}"))
     around = lambda end: near.select(*KEY, F.col("gene").alias(end), F.col("total").alias(f"sum_{end}"), F.col("mean").alias(f"mean_{end}"))

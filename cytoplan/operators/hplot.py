@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from . import graph
 
 KEY = ["sample_id", "cell_id"]
@@ -69,10 +70,10 @@ def curve(layered: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hplot(cells: DataFrame, flags: DataFrame, edges: DataFrame, k: int = 2, least: int = 8, share: float = 0.5) -> DataFrame:
     """The curve of every sample; ``edges`` are pruned already."""
-    flags = flags.persist()
+    flags = staged(flags, "flags")
     adj = graph.adjacency(edges)
     region = region_gate(flags, adj, k, least, share)
-    layered = layers(border(region.persist(), adj), adj).join(flags, KEY).persist()
+    layered = staged(layers(border(staged(region, "region"), adj), adj).join(flags, KEY), "layers")
     return curve(layered, edges)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import aggregates, axes, cci, cluster, features, graph, hplot, profile, regions
 from ..sources import tables
+from ..sources.stage import staged
 from ..streaming.arrivals import stream_hplot
 from . import fixtures as X
 
@@ -25,11 +26,23 @@ class World:
 
     def __init__(self, spark: SparkSession, sf_dir: str, cells: DataFrame | None = None):
         self.spark, self.sf_dir = spark, sf_dir
-        self.cells = X.cells(spark, sf_dir) if cells is None else cells
-        # Triangulated once; several joins of a query read the edges.
-        self.edges = graph.delaunay_edges(self.cells).persist()
-        self.pruned = graph.prune(self.edges, REACH)
-        self.adj = graph.adjacency(self.pruned)
+        self.cells = staged(X.cells(spark, sf_dir) if cells is None else cells, "cells")
+        self._edges: DataFrame | None = None
+
+    @property
+    def edges(self) -> DataFrame:
+        """Triangulated once; several joins of a query read them."""
+        if self._edges is None:
+            self._edges = staged(graph.delaunay_edges(self.cells), "edges")
+        return self._edges
+
+    @property
+    def pruned(self) -> DataFrame:
+        return graph.prune(self.edges, REACH)
+
+    @property
+    def adj(self) -> DataFrame:
+        return graph.adjacency(self.pruned)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import axes, graph, hplot
+from ..sources.stage import folder, staged
 from ..sources.tables import CELLS
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cytoplan-")
-    return f"{base.rstrip('/')}/cytoplan/{name}-{uuid.uuid4().hex}"
-
-
 def follow(spark: SparkSession, source: str, out: str, base_types: list[str], target_types: list[str], reach: float = 25.0, checkpoint: str | None = None, once: bool = True):
     """Start a query that reads cells from new files under ``source`` and writes the curves of their samples under ``out``.
 
@@ -24,16 +17,16 @@ def follow(spark: SparkSession, source: str, out: str, base_types: list[str], ta
 
     def each(batch: DataFrame, _: int) -> None:
         flags = axes.flagged(batch, axes.by_celltype(batch, base_types), axes.by_celltype(batch, target_types))
-        curve = hplot.hplot(batch, flags, graph.prune(graph.delaunay_edges(batch), reach))
+        curve = hplot.hplot(batch, flags, graph.prune(staged(graph.delaunay_edges(batch), "edges"), reach))
         curve.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(out)
 
-    stream = spark.readStream.schema(CELLS).parquet(source).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or _folder(spark, "stream-state"))
+    stream = spark.readStream.schema(CELLS).parquet(source).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or folder(spark, "stream-state"))
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="30 seconds")).start()
 
 
 def stream_hplot(spark: SparkSession, cells: DataFrame, base_types: list[str], target_types: list[str]) -> DataFrame:
     """The curves of ``cells`` by way of the stream."""
-    source, out = _folder(spark, "stream-in"), _folder(spark, "stream-out")
+    source, out = folder(spark, "stream-in"), folder(spark, "stream-out")
     cells.select(*CELLS.names).repartition("sample_id").write.parquet(source)
     query = follow(spark, source, out, base_types, target_types)
     query.awaitTermination()
