@@ -48,6 +48,31 @@ def one_hot(cells: DataFrame, types: list[str]) -> DataFrame:
     return cells.select("sample_id", "cell_id", F.col("x_um").alias("center_x_um"), F.col("y_um").alias("center_y_um"), *[F.when(sanitise("cell_type") == t, 1.0).otherwise(0.0).alias(f"prob_{t}") for t in types])
 
 
+def cell_centre(columns: list[str]) -> tuple[Column, Column]:
+    """Centre of a cell: the micron columns if there are any, else the middle of its box, rounded half to even."""
+    if {"center_x_um", "center_y_um"} <= set(columns):
+        return F.col("center_x_um"), F.col("center_y_um")
+    if {"minx", "miny", "width", "height"} <= set(columns):
+        return F.rint(F.col("minx") + F.col("width") / 2), F.rint(F.col("miny") + F.col("height") / 2)
+    raise ValueError("cells have neither center_x_um and center_y_um nor minx, miny, width and height")
+
+
+def short_ids(names: list[str]) -> list[str]:
+    """Names without the parts between ``_`` that all of them begin or end with."""
+    parts = [n.split("_") for n in names]
+    if len(names) < 2:
+        return list(names)
+    least = min(map(len, parts)) - 1
+    head = next((k for k in range(least) if len({p[k] for p in parts}) > 1), least)
+    tail = next((k for k in range(least - head) if len({p[-1 - k] for p in parts}) > 1), least - head)
+    return ["_".join(p[head : len(p) - tail]) for p in parts]
+
+
+def niche_number(label: Column | str) -> Column:
+    """The number at the end of a niche column's name, to sort by."""
+    return F.regexp_extract(F.col(label) if isinstance(label, str) else label, r"(\d+)$", 1).try_cast("int")
+
+
 def vocabulary(cells: DataFrame) -> list[str]:
     """Sanitised cell types of all samples, sorted. Types are a vocabulary, not data: their number is checked."""
     found = sorted(r[0] for r in cells.select(sanitise("cell_type").alias("t")).where("t is not null").distinct().limit(10_001).collect())

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -211,6 +212,15 @@ def sweep(edges: DataFrame, resolutions: Iterable[float] = (0.5, 1.0, 2.0), repe
     return grid.groupBy("resolution").applyInPandas(run, "resolution double, node long, niche_id int, stability double, modularity double, min_frac double")
 
 
+def silhouette(rows: DataFrame, labels: DataFrame, column: str = "features", sample: int = 10_000) -> float:
+    """Mean silhouette (squared Euclidean distance) of at most ``sample`` cells, the first by hash; nan with one cluster."""
+    both = rows.join(labels.where("niche_id is not null"), KEY).orderBy(F.xxhash64(*KEY)).limit(sample)
+    vec = both.select(array_to_vector(column).alias("features"), F.col("niche_id").alias("prediction")).persist()
+    if vec.select("prediction").distinct().count() < 2:
+        return float("nan")
+    return ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(vec)
+
+
 def winner(scores: DataFrame, least: float = 0.005) -> DataFrame:
     """The row of the best setting: min_frac of ``least`` or more if any has it, then by stability, modularity, silhouette and resolution."""
     fits = (F.col("min_frac") >= least).cast("int")

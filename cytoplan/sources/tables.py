@@ -72,6 +72,22 @@ def require_unique(samples: DataFrame) -> None:
         raise ContractError("sample ids occur more than once: " + ", ".join(found))
 
 
+def gdc_manifest(rows: DataFrame) -> DataFrame:
+    """id, filename and md5 (null if absent) of a download manifest; ``file_id`` and ``file_name`` are known as well."""
+    names = {c.lower(): c for c in rows.columns}
+    pick = [next((names[k] for k in keys if k in names), None) for keys in (("id", "file_id"), ("filename", "file_name"), ("md5", "md5sum"))]
+    if None in pick[:2]:
+        raise ContractError("a manifest needs id and filename columns")
+    md5 = F.col(pick[2]) if pick[2] else F.lit(None).cast("string")
+    return rows.select(F.trim(F.col(pick[0])).alias("id"), F.trim(F.col(pick[1])).alias("filename"), md5.alias("md5")).where("id <> ''")
+
+
+def select_layer(expression: DataFrame, layer: str = "X") -> DataFrame:
+    """Rows of one expression layer, X, raw or a named one; a leading ``adata.`` is dropped."""
+    name = layer.removeprefix("adata.")
+    return expression.where(F.col("layer") == name).drop("layer")
+
+
 def storage_options(name: str) -> dict:
     """Options of an object store from a JSON environment variable."""
     import json

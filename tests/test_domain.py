@@ -164,3 +164,41 @@ def test_engine_end_to_end(spark, tmp_path, capsys):
     assert e.verify().where("ok").count() == 2
     assert cli.main(["describe"]) == 0 and '"hplot"' in capsys.readouterr().out
     assert cli.main(["agg", "--root", str(tmp_path)]) == 2 and cli.listed("a, b  c") == ["a", "b", "c"]
+
+
+def test_more_labels_and_tables(spark):
+    boxes = spark.createDataFrame([(1.0, 2.0, 3.0, 5.0)], "minx double, miny double, width double, height double")
+    assert tuple(boxes.select(*L.cell_centre(boxes.columns)).first()) == (2.0, 4.0)
+    with pytest.raises(ValueError):
+        L.cell_centre(["x"])
+    assert L.short_ids(["run_a_x_out", "run_b_out"]) == ["a_x", "b"] and L.short_ids(["one"]) == ["one"]
+    df = spark.createDataFrame([("niche_10",), ("niche_9",)], "n string")
+    assert [r[0] for r in df.orderBy(L.niche_number("n")).collect()] == ["niche_9", "niche_10"]
+    rows = spark.createDataFrame([(" a ", "f"), ("", "g")], "file_id string, file_name string")
+    assert [tuple(r) for r in tables.gdc_manifest(rows).collect()] == [("a", "f", None)]
+    layers = spark.createDataFrame([(1, 1, "g", 1.0, "raw"), (1, 1, "g", 2.0, "X")], "sample_id long, cell_id long, gene string, value double, layer string")
+    assert tables.select_layer(layers, "adata.raw").first().value == 1.0
+
+
+def test_silhouette(spark):
+    rows = spark.createDataFrame([(1, i, [float(i // 10 * 100 + i % 10)]) for i in range(20)], "sample_id long, cell_id long, features array<double>")
+    assert cluster.silhouette(rows, labels(spark, [i // 10 for i in range(20)])) > 0.9
+
+
+def test_jobs(spark):
+    import threading
+
+    from cytoplan.plans.jobs import JobManager
+
+    jobs = JobManager(spark, slots=1)
+    gate = threading.Event()
+    first = jobs.submit("wait", lambda job: gate.wait(30))
+    waiting = jobs.submit("count", lambda job: spark.range(10).count())
+    jobs.cancel(waiting.id)
+    gate.set()
+    assert jobs.wait(first.id).status == "done" and jobs.wait(waiting.id).status == "cancelled" and waiting.began is None
+    bad = jobs.submit("bad", lambda job: 1 / 0)
+    assert jobs.wait(bad.id).status == "failed" and jobs.lines(bad.id)[1] == ["ZeroDivisionError: division by zero"]
+    for i in range(4100):
+        bad.say(str(i))
+    assert jobs.lines(bad.id, 0, 1)[1] == ["100"]
