@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels take at once; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 20
@@ -177,8 +176,3 @@ def rows_of_windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(counts)), counts)
     start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[:-1], counts)
     return start, row
-
-
-def ordered_partitions(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
-    """Rows in global order of ``keys`` over range partitions."""
-    return df.repartitionByRange(n or parallelism(df.sparkSession), *[F.col(k) for k in keys]).sortWithinPartitions(*keys)

@@ -137,7 +137,6 @@ class Index:
         """Windows of the group's size that hold a hit; ``at`` has the hits' first words."""
         m, k = group.words, group.shingle
         span = m - k + 1
-        own = np.zeros(len(hashes) + 1, bool)
         keys = np.array(sorted({s for c in group.counts for s in c}), _U)
         place = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
         mine = keys[place] == hashes[at]
@@ -151,7 +150,6 @@ class Index:
         row = key >> 40
         begin = (key & ((1 << 40) - 1)) - (1 << 20) + first[row]
         low, high = np.maximum(begin, first[row]), np.minimum(begin + m, first[row + 1])
-        del own
         for s in range(0, len(row), 1 << 12):
             lo, hi, r = low[s : s + (1 << 12)], high[s : s + (1 << 12)], row[s : s + (1 << 12)]
             cell = lo[:, None] + np.arange(span)

@@ -90,7 +90,6 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
     used, column = np.unique(feature[keep], return_inverse=True)
     w, b = np.zeros(len(used)), np.log(np.array([(grade <= k).sum() + 1 for k in range(GRADES)]) / np.array([(grade > k).sum() + 1 for k in range(GRADES)]))
     z, zb, t = w.copy(), b.copy(), 1.0
-    above = grade[:, None] > np.arange(GRADES)
     rate = 4.0 / max(1.0, float(np.median(np.bincount(row, value**2, n))))
     sigmoid = lambda v: 1 / (1 + np.exp(-v))
 
@@ -107,13 +106,12 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
 
     for _ in range(rounds):
         gw, gb = slope(z, zb)
-        new = z - rate * n**0 * gw
+        new = z - rate * gw
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         nb = np.maximum.accumulate(zb - rate * gb + np.arange(GRADES) * 1e-3)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t_new * (new - w), nb + (t - 1) / t_new * (nb - b)
         w, b, t = new, nb, t_new
-    del above
     live = np.flatnonzero(w)
     return Ordinal(used[live], w[live], np.maximum.accumulate(b))
 
