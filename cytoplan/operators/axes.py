@@ -12,8 +12,7 @@ KEY = ["sample_id", "cell_id"]
 
 def by_celltype(cells: DataFrame, types: list[str]) -> DataFrame:
     """value 1 for cells of the types, else 0; names are compared in their sanitised form."""
-    wanted = [r for r in types]
-    known = F.array(*[sanitise(F.lit(t)) for t in wanted])
+    known = F.array(*[sanitise(F.lit(t)) for t in types])
     return cells.select(*KEY, F.when(F.array_contains(known, sanitise("cell_type")), 1.0).otherwise(0.0).alias("value"))
 
 
