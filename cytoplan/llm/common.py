@@ -59,6 +59,13 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def partitions_of(df: DataFrame, each: int) -> int:
+    """Tasks for data in proportion to ``df``, by Spark's estimate of its size, ``each`` bytes a task; at least :func:`parallelism`, which stands where the size is unknown."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = parallelism(df.sparkSession)
+    return least if size >= 1 << 60 else min(max(least, -(-size // each)), max(least, 1 << 17))
+
+
 # ---------------------------------------------------------------- Arrow text buffers
 
 

@@ -7,15 +7,21 @@ Candidates. Every string of ``least`` bytes belongs to its anchor, the leftmost
 equal strings have equal anchors at equal places. Strings with one anchor stand side by side, and their text is a window of
 ``least`` to ``2 * least - GRAM`` bytes. Windows are sent as numbers (hashes of the anchor and of the window, document, place) to
 their anchor's bucket, after each task has folded windows that it saw before. There, a window that equals an earlier one is removed as a
-whole; windows with one anchor and different text are fetched from their documents.
+whole; windows with one anchor and different text are fetched from their documents. Buckets grow in number with the bytes of the
+table and are read one at a time, in sorted order.
 
-Suffix arrays. The suffixes of those windows of ``least`` or more bytes whose first ``least`` bytes occur twice in an anchor's
+Very common anchors. An anchor with more than ``HOT`` different windows is not gathered: each string of those windows becomes its own
+anchor, is sent by the hash of all its bytes, and all but the first of equal strings are removed. A task that holds ``MOST`` windows
+of a bucket sends such anchors on at once, so no bucket need fit in memory, whatever its commonest anchor.
+
+Suffix arrays, for all other anchors. The suffixes of those windows of ``least`` or more bytes whose first ``least`` bytes occur twice in an anchor's
 group are sorted, with the lengths of the prefixes that neighbours share. A stack scan lists the common-prefix intervals of
 ``least`` or more bytes. An interval whose suffixes follow different bytes (or a window's beginning) cannot be extended to the left
 and is a maximal repeat group; the others lie within one that can. All occurrences of a maximal repeat but the first are removed.
 
 Distribution: texts are joined by document with the few windows or spans they have; no text is collected, and no pairs are listed.
-Buckets hold numbers only, and groups of suffixes are cut by the hash of their first bytes, which never parts a repeat.
+Buckets hold numbers only; a group of suffixes has at most ``HOT`` of an anchor and one head (its first bytes) each, and larger runs
+of groups are cut between heads, which never parts a repeat.
 
 Edge cases: null texts are empty; rows with equal doc_id and text are one document and have equal results, rows with one doc_id
 and different texts follow each other by hash of the text; a null doc_id comes before all others; texts below ``least`` bytes are
@@ -35,9 +41,13 @@ from . import common as C
 
 LEAST, GRAM = 100, 32
 #: Windows that a task gathers before it sends them to their buckets.
-HELD = 600_000
+HELD = 400_000
+#: Different windows of an anchor that are gathered in one task; windows of a bucket that are held at once; windows whose suffixes are sorted at once.
+HOT, MOST, WINDOWS = 256, 1 << 20, 12_000
 #: Suffixes that are sorted at once.
 SUFFIXES = 1 << 16
+#: Bytes of the table for each task that buckets are dealt to, and buckets a task.
+TASK_BYTES, PER_TASK = 8 << 20, 6
 _U = np.uint64
 _PLACE = _U((1 << 22) - 1)
 _NONE = np.iinfo(np.int64).min
@@ -47,16 +57,16 @@ SPANS = "doc long, mark long, start long, size int"
 FOUND = "bucket int, n int, anchor binary, window binary, doc binary, mark binary, start binary, size binary"
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+def windows(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Anchor hash, window hash, row, start in the row and size of every window of the rows of a buffer of up to 4 MB."""
-    reach = least - GRAM + 1
+    reach = least - gram + 1
     n = len(data) - least + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
         return empty.astype(_U), empty.astype(_U), empty, empty, empty
     prefix = C.prefix_hash(data)
-    grams = len(data) - GRAM + 1
-    h = C.mix64((prefix[GRAM:] - prefix[:-GRAM]) * C._power(C._BASE_INV, grams))
+    grams = len(data) - gram + 1
+    h = C.mix64((prefix[gram:] - prefix[:-gram]) * C._power(C._BASE_INV, grams))
     low = (h & ~_PLACE) | np.arange(grams, dtype=_U)
     have = 1
     while have * 2 <= reach:
@@ -129,10 +139,6 @@ def _blobs(cols: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "n", *FIELDS])
 
 
-def _unblob(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x.as_py(), kind) for b in batches for x in b.column(name)] or [np.zeros(0, kind)]) for name, kind in zip(FIELDS, KINDS, strict=True)]
-
-
 # ---------------------------------------------------------------- suffix arrays
 
 
@@ -239,12 +245,20 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc (doc_id, or the least long for null), mark (hash of the text), start and size of spans of bytes to remove; they may overlap."""
-    if least < 2 * GRAM:
-        raise ValueError(f"least must be {2 * GRAM} or more")
-    n = C.parallelism(docs.sparkSession)
-    rows = _rows(docs)
+MET = "anchor long, hot boolean, " + SPANS
+
+
+def _met(anchor: np.ndarray | None, hot: np.ndarray | None, doc: pa.Array, mark: pa.Array, start: pa.Array, size: pa.Array) -> pa.RecordBatch:
+    """Windows to fetch, or spans to remove (no anchor)."""
+    name = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor.view(np.int64))
+    flag = pa.nulls(len(doc), pa.bool_()) if hot is None else pa.array(hot)
+    return pa.RecordBatch.from_arrays([name, flag, doc, mark, start, size], ["anchor", "hot", "doc", "mark", "start", "size"])
+
+
+def meeting(pieces: DataFrame, n: int, least: int, gram: int) -> DataFrame:
+    """MET rows of all windows of ``pieces`` (doc, mark, base, text); a piece stands at byte ``base`` of its document."""
+    buckets = n * PER_TASK
+    most, hot_size = MOST, HOT
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -260,66 +274,124 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     e = s + (1 << 16)
                     yield _blobs([zero[s:e], zero[s:e], doc[s:e], mark[s:e], start[s:e], (end - start)[s:e]], (C.mix64(doc[s:e].view(_U)) % _U(n)).astype(np.int64) - n)
             cols = [c[first] for c in cols]
-            yield _blobs(cols, (C.mix64(cols[0]) % _U(n)).astype(np.int64))
+            yield _blobs(cols, (C.mix64(cols[0]) % _U(buckets)).astype(np.int64))
 
         for batch in batches:
-            doc, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for i, j, data, offsets in C.text_chunks(batch.column(2)):
+            doc, mark, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for i, j, data, offsets in C.text_chunks(batch.column(3)):
                 step = C.CHUNK_BYTES
-                pieces = [(0, data, offsets)] if len(data) <= step else [(p, data[p : p + step + least - 1], np.array([0, min(step + least - 1, len(data) - p)])) for p in range(0, len(data), step)]
-                for base, part, cut in pieces:
-                    anchor, window, row, start, length = windows(part, cut, least)
-                    if len(anchor):
-                        held.append([anchor, window, doc[i:j][row], mark[i:j][row], start + base, length])
-                        size += len(anchor)
-                if size >= HELD:
-                    yield from flush()
-                    held.clear()
-                    size = 0
+                parts = [(0, data, offsets)] if len(data) <= step else [(p, data[p : p + step + least - 1], np.array([0, min(step + least - 1, len(data) - p)])) for p in range(0, len(data), step)]
+                for at, part, cut in parts:
+                    anchor, window, row, start, length = windows(part, cut, least, gram)
+                    for s in range(0, len(anchor), HELD):
+                        e = s + HELD
+                        held.append([anchor[s:e], window[s:e], doc[i:j][row[s:e]], mark[i:j][row[s:e]], start[s:e] + at + base[i:j][row[s:e]], length[s:e]])
+                        size += len(held[-1][0])
+                        if size >= HELD:
+                            yield from flush()
+                            held.clear()
+                            size = 0
         if held:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        for b in whole:  # what tasks have removed already passes through
-            done = b.filter(pa.array(np.asarray(b.column("bucket")) < 0))
-            if done.num_rows:
-                cols = _unblob([done])
-                yield _out(None, *_spans(*cols[2:5], cols[5].astype(np.int64)).columns)
-        cols = _unblob([b.filter(pa.array(np.asarray(b.column("bucket")) >= 0)) for b in whole])
-        some = repeated(cols[0])
-        cols = [c[some] for c in cols]
-        later, first = fold(cols)
-        yield _out(None, *_spans(*(cols[k][later] for k in (2, 3, 4)), cols[5][later].astype(np.int64)).columns)
-        cols = [c[first] for c in cols]
-        some = repeated(cols[0])
-        if len(some):
-            yield _out(cols[0][some], *(pa.array(cols[k][some]) for k in (2, 3, 4)), pa.array(cols[5][some].astype(np.int32)))
-
-    def _out(anchor: np.ndarray | None, doc: pa.Array, mark: pa.Array, start: pa.Array, size: pa.Array) -> pa.RecordBatch:
-        name = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor.view(np.int64))
-        return pa.RecordBatch.from_arrays([name, doc, mark, start, size], ["anchor", "doc", "mark", "start", "size"])
-
-    sent = rows.select("doc", "mark", "text").mapInArrow(find, FOUND)
-    met = C.materialise(sent.repartition(n, "bucket").mapInArrow(meet, "anchor long, " + SPANS), "suffix-met")
+        held: list[list[np.ndarray]] = []
+        size, limit, bucket = 0, most, None
+        gone = np.zeros(0, _U)  # anchors of the bucket whose windows are sent on
+
+        def folded() -> tuple[list[np.ndarray], pa.RecordBatch]:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            later, first = fold(cols)
+            return [c[first] for c in cols], _met(None, None, *_spans(*(cols[k][later] for k in (2, 3, 4)), cols[5][later].astype(np.int64)).columns)
+
+        def sent(cols: list[np.ndarray], rows: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for s in range(0, len(rows), 1 << 16):
+                r = rows[s : s + (1 << 16)]
+                yield _met(cols[0][r], hot[s : s + (1 << 16)], *(pa.array(cols[k][r]) for k in (2, 3, 4)), pa.array(cols[5][r].astype(np.int32)))
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            if not len(gone):  # windows of anchors that occur once are of no use
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                some = repeated(cols[0])
+                held[:] = [[c[some] for c in cols]]
+            cols, spans = folded()
+            yield spans
+            some = repeated(cols[0])
+            _, which, count = np.unique(cols[0][some], return_inverse=True, return_counts=True)
+            yield from sent(cols, some, count[which] > hot_size)
+
+        def shrink() -> Iterator[pa.RecordBatch]:
+            """Fold the held windows, and send on those of very common anchors."""
+            nonlocal held, size, limit, gone
+            cols, spans = folded()
+            yield spans
+            if len(cols[0]) > limit // 2 and gram < least:
+                names, which, count = np.unique(cols[0], return_inverse=True, return_counts=True)
+                hot = count > hot_size
+                gone = np.union1d(gone, names[hot])
+                rows = np.flatnonzero(hot[which])
+                yield from sent(cols, rows, np.ones(len(rows), bool))
+                cols = [c[~hot[which]] for c in cols]
+            held, size = [cols], len(cols[0])
+            limit = max(most, 2 * size)
+
+        for batch in batches:
+            names = batch.column("bucket").to_numpy()
+            for k, name in enumerate(names.tolist()):
+                cols = [np.frombuffer(batch.column(f)[k].as_py(), kind) for f, kind in zip(FIELDS, KINDS, strict=True)]
+                if name < 0:  # what tasks have removed already passes through
+                    yield _met(None, None, *_spans(*cols[2:5], cols[5].astype(np.int64)).columns)
+                    continue
+                if name != bucket:
+                    yield from finish()
+                    held, size, limit, bucket, gone = [], 0, most, name, np.zeros(0, _U)
+                if len(gone):
+                    out = np.isin(cols[0], gone)
+                    yield from sent(cols, np.flatnonzero(out), np.ones(int(out.sum()), bool))
+                    cols = [c[~out] for c in cols]
+                held.append(cols)
+                size += len(cols[0])
+                if size > limit:
+                    yield from shrink()
+        yield from finish()
+
+    blobs = pieces.select("doc", "mark", "base", "text").mapInArrow(find, FOUND)
+    return blobs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, MET)
+
+
+def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc (doc_id, or the least long for null), mark (hash of the text), start and size of spans of bytes to remove; they may overlap."""
+    if least < 2 * GRAM:
+        raise ValueError(f"least must be {2 * GRAM} or more")
+    n = C.partitions_of(docs, TASK_BYTES)
+    rows = _rows(docs)
+    met = C.materialise(meeting(rows.withColumn("base", F.lit(0).cast("long")), n, least, GRAM), "suffix-met")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, docs_, marks, starts, texts = [], [], [], [], []
-            for k in range(batch.num_rows):
-                text = batch.column(2)[k].as_py().encode()
-                for w in batch.column(3)[k].as_py():
-                    anchors.append(w["anchor"])
-                    starts.append(w["start"])
-                    texts.append(text[w["start"] : w["start"] + w["size"]])
-                    docs_.append(batch.column(0)[k].as_py())
-                    marks.append(batch.column(1)[k].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchors, docs_, marks, starts)] + [pa.array(texts, pa.binary())], ["anchor", "doc", "mark", "start", "text"])
-
-    wanted = met.where("anchor is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("windows"))
-    texts = rows.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "windows").mapInArrow(fetch, "anchor long, doc long, mark long, start long, text binary")
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                flat, offsets = C.text_buffer(part.column(2))
+                lists = part.column(3)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                fields = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+                begin = offsets[owner] + fields[2]
+                texts = [flat[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + fields[3]).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fields[0]), pa.array(fields[1].astype(bool)), *[part.column(k).take(pa.array(owner)) for k in (0, 1)], pa.array(fields[2]), pa.array(texts, pa.binary())],
+                    ["anchor", "hot", "doc", "mark", "start", "text"],
+                )
+
+    wanted = met.where("anchor is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "hot", "start", "size")).alias("windows"))
+    texts = rows.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "windows").mapInArrow(fetch, "anchor long, hot boolean, doc long, mark long, start long, text binary")
+    spans = met.where("anchor is null").select("doc", "mark", "start", "size")
+    if not met.where("hot").isEmpty():
+        texts = C.materialise(texts, "suffix-texts")
+        strings = meeting(texts.where("hot").select("doc", "mark", F.col("start").alias("base"), "text"), n, least, least)
+        spans = spans.unionByName(strings.select("doc", "mark", "start", "size"))
+        texts = texts.where("not hot")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -329,23 +401,23 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
             for doc, mark, start, length in removals(*(table.column(k).to_numpy() for k in range(4)), table.column(4).to_pylist(), least):
                 yield _spans(doc, mark, start, length)
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size > 50_000:  # whole anchors only: rows come sorted by anchor
-                table = pa.Table.from_batches(held)
-                name = table.column(0).to_numpy()
-                end = int(np.searchsorted(name, name[-1]))
-                if end:
-                    yield from run(table.slice(0, end))
-                    rest = table.slice(end).combine_chunks()
-                    held, size = rest.to_batches(), rest.num_rows
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                held.append(whole.slice(i, 4096))
+                size += held[-1].num_rows
+                if size > WINDOWS:  # whole anchors only: rows come sorted by anchor
+                    table = pa.Table.from_batches(held)
+                    name = table.column(0).to_numpy()
+                    end = int(np.searchsorted(name, name[-1]))
+                    if end:
+                        yield from run(table.slice(0, end))
+                        rest = table.slice(end).combine_chunks()
+                        held, size = rest.to_batches(), rest.num_rows
         if held:
             yield from run(pa.Table.from_batches(held))
 
-    sorted_ = texts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(sort, SPANS)
-    return met.where("anchor is null").select("doc", "mark", "start", "size").unionByName(sorted_)
+    sorted_ = texts.select("anchor", "doc", "mark", "start", "text").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(sort, SPANS)
+    return spans.unionByName(sorted_)
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
