@@ -1,25 +1,28 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are runs of letters, digits and non-ASCII characters in lower case; shingles are runs of five words (an item of fewer words
-is one shingle). A shingle weighs ln(1 + items / items that have it). For an item of m words every window of m words of a text,
-cut off at the text's ends, that shares any shingle with any item of that length is given a 64-bit weighted SimHash; windows
-without a common shingle have similarity 0 and are passed over. A multi-index finds the items near a window: fingerprints are cut
-into eight blocks of eight bits and each block's table lists the items within ``RADIUS // 8`` bits of each value, so every item
-within ``RADIUS`` bits is met in one block at least. Candidates are verified by exact weighted Jaccard similarity of shingle
-multisets (sum of weights times the smaller counts over that of the larger counts); ``threshold`` or more is a match.
+is one shingle). A shingle weighs ln(1 + items / items that have it), in whole 2**-20ths. For an item of m words every window of m
+words of a text, cut off at the text's ends, that shares any shingle with any item of that length is given a 64-bit weighted SimHash
+from running sums; windows without a common shingle have similarity 0 and are passed over. A multi-index finds the items near a
+window: fingerprints are cut into ``BLOCKS`` blocks, and a pair within ``RADIUS`` bits differs by ``RADIUS // BLOCKS`` or fewer in
+one block at least, so the items listed under the block values that near make up the candidates. Those within ``RADIUS`` bits are
+verified by exact weighted Jaccard similarity of shingle multisets (sum of weights times the smaller counts over that of the larger
+counts), kept up from window to window; ``threshold`` or more is a match.
 
-``RADIUS`` is 20: at similarity 0.8 the expected distance is about 10 bits with a deviation of 3.
+At similarity 0.8 fingerprints differ by about 10 of 64 bits with a deviation of 3, and every alignment near the best is tried as
+well; the tests measure the recall at ``RADIUS`` 15.
 
 Distribution: documents are read once and never shuffled. Items are sent to the tasks in groups of at most ``ITEM_BYTES`` of text;
-a larger benchmark takes several passes.
+a larger benchmark takes several passes. A task holds a chunk of text, and work grows with its words, not with an item's length.
 
-Edge cases: null and wordless items match nothing, null texts hold nothing; equal items are all reported; repeated rows are
-judged alike; an empty benchmark or table gives no matches. Other columns are ignored, or kept by :func:`clean`.
+Edge cases: null and wordless items match nothing, null texts hold nothing; equal items are all reported, of rows with one item_id
+the best match; of windows with equal similarity the first is reported; repeated rows are judged alike; an empty benchmark or table
+gives no matches. Other columns are ignored, or kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WORDS, RADIUS, THRESHOLD, BLOCKS = 5, 20, 0.8, 8
+WORDS, RADIUS, THRESHOLD, BLOCKS = 5, 15, 0.8, 4
+SCALE = 1 << 20
+#: Windows that are compared at once.
+WINDOWS = 4096
 ITEM_BYTES = 16 << 20
 _U = np.uint64
 #: Bytes that separate words: ASCII but letters and digits.
@@ -45,6 +51,35 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield i, data, offsets, starts, ends, first, C.span_hash(C.prefix_hash(data), starts, ends)
 
 
+def _near_masks(bits: int, most: int) -> np.ndarray:
+    """All numbers of ``bits`` bits with ``most`` or fewer ones."""
+    every = np.arange(1 << bits)
+    return every[np.bitwise_count(every) <= most].astype(np.uint16)
+
+
+class Block:
+    """Items by one block of their fingerprints."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, at, counts = np.unique(values, return_inverse=True, return_counts=True)
+        self.items = np.argsort(at, kind="stable")
+        self.starts = np.append(0, np.cumsum(counts))
+
+    def near(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all items listed under a block value near a window's."""
+        masks = _near_masks(64 // BLOCKS, RADIUS // BLOCKS)
+        if len(self.values) <= len(masks):
+            window, listed = np.nonzero(np.bitwise_count(values[:, None] ^ self.values[None, :]) <= RADIUS // BLOCKS)
+        else:  # fewer values are near a window than there are
+            probe = (values[:, None] ^ masks[None, :]).ravel()
+            at = np.minimum(np.searchsorted(self.values, probe), len(self.values) - 1)
+            hit = np.flatnonzero(self.values[at] == probe)
+            window, listed = hit // len(masks), at[hit]
+        n = self.starts[listed + 1] - self.starts[listed]
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(window, n), self.items[np.repeat(self.starts[listed], n) + nth]
+
+
 @dataclass
 class Group:
     """Items of one number of words."""
@@ -52,37 +87,44 @@ class Group:
     words: int
     shingle: int
     ids: np.ndarray
-    counts: list[dict[int, int]]
+    hashes: np.ndarray  # item by place of the shingle
     prints: np.ndarray
-    tables: np.ndarray  # block, value, item: whether the item is near that value
+    own: np.ndarray  # the shingles of its items, as places among all
+    blocks: list[Block]
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs within RADIUS bits, by window and then item."""
+        parts = prints.view(np.uint16).reshape(len(prints), BLOCKS)
+        keys = [window * len(self.ids) + item for b, block in enumerate(self.blocks) for window, item in [block.near(parts[:, b])]]
+        window, item = np.divmod(np.unique(np.concatenate(keys)), len(self.ids))
+        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        return window[close], item[close]
 
 
 class Index:
     """All items, by their number of words, and the shingles that any of them has."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         column = pa.array(texts, pa.large_string())
         for at, _, _, _, _, first, words in word_hashes(column):
             for k in range(len(first) - 1):
                 own = words[first[k] : first[k + 1]]
                 if len(own):
-                    by_size[len(own)].append((ids[at + k], C.window_hash(own, min(WORDS, len(own)))))
-        n = sum(map(len, by_size.values()))
-        seen = Counter(s for group in by_size.values() for _, h in group for s in set(h.tolist()))
-        self.default = float(np.log1p(n)) if n else 1.0
-        self.weight = {s: float(np.log1p(n / k)) for s, k in seen.items()}
-        self.keys = np.array(sorted(self.weight), _U)
-        self.weights = np.array([self.weight[int(k)] for k in self.keys])
+                    by_size.setdefault(len(own), []).append((ids[at + k], C.window_hash(own, min(WORDS, len(own)))))
+        every = [h for group in by_size.values() for _, h in group]
+        self.keys, seen = np.unique(np.concatenate([np.unique(h) for h in every] or [np.zeros(0, _U)]), return_counts=True)
+        self.default = round(float(np.log1p(len(every) or 1)) * SCALE)
+        self.weights = np.round(np.log1p(len(every) / np.maximum(seen, 1)) * SCALE).astype(np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys >> _U(44)] = True
         self.groups = []
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
         for m, group in sorted(by_size.items()):
             hashes = np.stack([h for _, h in group])
-            prints = self.fingerprints(hashes, np.ones(hashes.shape, bool))
-            blocks = prints.view(np.uint8).reshape(len(group), BLOCKS)
-            self.groups.append(Group(m, min(WORDS, m), np.array([i for i, _ in group]), [Counter(h.tolist()) for _, h in group], prints, np.stack([near[:, blocks[:, b]] for b in range(BLOCKS)])))
+            ends = np.arange(1, len(group) + 1) * hashes.shape[1]
+            prints = fingerprints(hashes.ravel(), self.weigh(self.find(hashes.ravel())), ends - hashes.shape[1], ends)
+            blocks = prints.view(np.uint16).reshape(len(group), BLOCKS)
+            self.groups.append(Group(m, min(WORDS, m), np.array([i for i, _ in group]), hashes, prints, np.unique(self.find(hashes.ravel())), [Block(blocks[:, b]) for b in range(BLOCKS)]))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash among the items' shingles, or -1."""
@@ -94,23 +136,16 @@ class Index:
             out[at[hit]] = place[hit]
         return out
 
-    def fingerprints(self, hashes: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """Weighted SimHash of each row of shingle hashes."""
-        place = self.find(hashes.ravel()).reshape(hashes.shape)
-        weight = np.where(place >= 0, self.weights[place] if len(self.weights) else 0.0, self.default) * valid
-        half = weight.sum(1) / 2
-        out = np.zeros(len(hashes), _U)
-        for b in range(64):
-            out |= ((weight * ((hashes >> _U(b)) & _U(1)).astype(bool)).sum(1) > half).astype(_U) << _U(b)
-        return out
+    def weigh(self, place: np.ndarray) -> np.ndarray:
+        """Weights of shingles by their place; those that no item has weigh as one that a single item of many has."""
+        return np.where(place >= 0, self.weights[place], self.default) if len(self.weights) else np.full(len(place), self.default)
 
     def similarity(self, a: dict[int, int], b: dict[int, int]) -> float:
         """Weighted Jaccard similarity of two shingle multisets."""
-        low = high = 0.0
-        for s in a.keys() | b.keys():
-            w, x, y = self.weight.get(s, self.default), a.get(s, 0), b.get(s, 0)
-            low += w * min(x, y)
-            high += w * max(x, y)
+        names = sorted(a.keys() | b.keys())
+        weights = self.weigh(self.find(np.array(names, _U))).tolist()
+        low = sum(w * min(a.get(s, 0), b.get(s, 0)) for s, w in zip(names, weights, strict=True))
+        high = sum(w * max(a.get(s, 0), b.get(s, 0)) for s, w in zip(names, weights, strict=True))
         return low / high if high else 0.0
 
     def matches(self, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
@@ -120,12 +155,16 @@ class Index:
             for shingle in sorted({g.shingle for g in self.groups}):
                 hashes = C.window_hash(words, shingle)
                 index, row = C.rows_of_windows(first, shingle)
-                hit = self.find(hashes[index]) >= 0
+                place = self.find(hashes)
+                hit = place[index] >= 0
                 if not hit.any():
                     continue
+                weights = self.weigh(place)
                 for group in self.groups:
                     if group.shingle == shingle:
-                        self._windows(group, hashes, first, index[hit], row[hit], threshold, best)
+                        mine = np.isin(place[index[hit]], group.own)
+                        if mine.any():
+                            self._windows(group, hashes, weights, first, index[hit][mine], row[hit][mine], threshold, best)
             chars = None
             for (row, item), (value, a, b) in sorted(best.items()):
                 if chars is None:
@@ -133,39 +172,85 @@ class Index:
                 zero = chars[offsets[row]]
                 yield at + row, item, value, int(chars[starts[a]] - zero), int(chars[ends[b - 1]] - zero)
 
-    def _windows(self, group: Group, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.ndarray, threshold: float, best: dict) -> None:
-        """Windows of the group's size that hold a hit; ``at`` has the hits' first words."""
+    def _windows(self, group: Group, hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.ndarray, threshold: float, best: dict) -> None:
+        """Windows of the group's size that hold a hit; ``at`` has the hits' first words, in order."""
         m, k = group.words, group.shingle
-        span = m - k + 1
-        keys = np.array(sorted({s for c in group.counts for s in c}), _U)
-        place = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-        mine = keys[place] == hashes[at]
-        at, row = at[mine], row[mine]
-        if not len(at):
-            return
-        # First words of windows, also before the text's first word; a window's place is unique with its row.
-        begin = (at[:, None] - np.arange(span)[None, :]).ravel()
-        row = np.repeat(row, span)
-        key = np.unique(row * (1 << 40) + (begin - first[row] + (1 << 20)))
-        row = key >> 40
-        begin = (key & ((1 << 40) - 1)) - (1 << 20) + first[row]
-        low, high = np.maximum(begin, first[row]), np.minimum(begin + m, first[row + 1])
-        for s in range(0, len(row), 1 << 12):
-            lo, hi, r = low[s : s + (1 << 12)], high[s : s + (1 << 12)], row[s : s + (1 << 12)]
-            cell = lo[:, None] + np.arange(span)
-            valid = cell <= (hi - k)[:, None]
-            block = hashes[np.minimum(cell, len(hashes) - 1)]
-            prints = self.fingerprints(block, valid)
-            bytes_ = prints.view(np.uint8).reshape(len(prints), BLOCKS)
-            near = np.zeros((len(prints), len(group.ids)), bool)
-            for b in range(BLOCKS):
-                near |= group.tables[b][bytes_[:, b]]
-            near &= np.bitwise_count(prints[:, None] ^ group.prints[None, :]) <= RADIUS
-            for w, i in zip(*np.nonzero(near), strict=True):
-                value = self.similarity(Counter(block[w][valid[w]].tolist()), group.counts[i])
-                name = (int(r[w]), int(group.ids[i]))
+        # Windows begin up to m - k words before a hit; each once.
+        begin = at - (m - k)
+        same = row[1:] == row[:-1]
+        begin[1:] = np.where(same, np.maximum(begin[1:], at[:-1] + 1), begin[1:])
+        n = at - begin + 1
+        row = np.repeat(row, n)
+        begin = np.repeat(begin, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        low, high = np.maximum(begin, first[row]), np.minimum(begin + m, first[row + 1]) - k + 1  # of the shingles
+        some = high > low
+        low, high, row = low[some], high[some], row[some]
+        prints = fingerprints(hashes, weights, low, high)
+        windows, items = [], []
+        for s in range(0, len(prints), WINDOWS):
+            w, i = group.near(prints[s : s + WINDOWS])
+            windows.append(w + s)
+            items.append(i)
+        w, i = np.concatenate([np.zeros(0, np.int64), *windows]), np.concatenate([np.zeros(0, np.int64), *items])
+        order = np.lexsort((w, row[w], i))
+        w, i = w[order], i[order]
+        cuts = np.flatnonzero((i[1:] != i[:-1]) | (row[w][1:] != row[w][:-1])) + 1
+        for part in np.split(np.arange(len(w)), cuts):
+            if len(part):
+                own = w[part]
+                name = (int(row[own[0]]), int(group.ids[i[part[0]]]))
+                value, a, b = _best(group.hashes[i[part[0]]], self.weigh(self.find(group.hashes[i[part[0]]])), hashes, weights, low[own], high[own])
                 if value >= threshold and value > best.get(name, (0.0,))[0]:
-                    best[name] = (value, int(lo[w]), int(hi[w]))
+                    best[name] = (value, a, b + k - 1)
+
+
+def fingerprints(hashes: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Weighted SimHash of each run hashes[low:high]."""
+    edge = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(edge, low, 1)
+    np.add.at(edge, high, -1)
+    used = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    place = np.searchsorted(used, np.stack([low, high]))
+    own, weight = hashes[used], weights[used]
+    sums = np.zeros(len(used) + 1, np.int64)
+
+    def of_runs(value: np.ndarray) -> np.ndarray:
+        np.cumsum(value, out=sums[1:])
+        return sums[place[1]] - sums[place[0]]
+
+    total = of_runs(weight)
+    out = np.zeros(len(low), _U)
+    for b in range(64):
+        out |= (2 * of_runs(weight * ((own >> _U(b)) & _U(1)).astype(np.int64)) > total).astype(_U) << _U(b)
+    return out
+
+
+def _best(item: np.ndarray, item_weights: np.ndarray, hashes: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[float, int, int]:
+    """Highest weighted Jaccard similarity of ``item`` and a run hashes[low:high], and the first run that has it. Runs come in order."""
+    want = Counter(item.tolist())
+    sought = int(item_weights.sum())
+    have: Counter[int] = Counter()
+    shared = total = 0
+    start = end = int(low[0])
+    best = (0.0, start, start)
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        if a >= end:
+            have.clear()
+            shared = total = 0
+            start = end = a
+        for s, w in zip(hashes[end:b].tolist(), weights[end:b].tolist(), strict=True):
+            shared += w * (have[s] < want[s])
+            total += w
+            have[s] += 1
+        for s, w in zip(hashes[start:a].tolist(), weights[start:a].tolist(), strict=True):
+            have[s] -= 1
+            shared -= w * (have[s] < want[s])
+            total -= w
+        start, end = a, b
+        value = shared / (total + sought - shared)
+        if value > best[0]:
+            best = (value, a, b)
+    return best
 
 
 def indexes(benchmark: DataFrame) -> list[Index]:
