@@ -169,12 +169,12 @@ hits AS (SELECT id, pos, name FROM pairs JOIN tp USING (pair)),
 enough AS (SELECT id, name FROM (SELECT DISTINCT id, name, pair FROM pairs JOIN tp USING (pair)) JOIN sizes USING (name) GROUP BY id, name, size HAVING count(*) >= size * {threshold / (2 - threshold)}),
 heads AS (SELECT h.id, h.name, h.pos FROM hits h SEMI JOIN enough USING (id, name) ANTI JOIN hits g ON g.id = h.id AND g.name = h.name AND g.pos = h.pos - 1),
 units AS (
-  SELECT DISTINCT id, doc_id, 0 AS unit, 0 AS head, '' AS only, pair FROM pairs
+  SELECT DISTINCT id, doc_id, 0 AS unit, 0 AS head, '' AS sole, pair FROM pairs
   UNION ALL SELECT DISTINCT id, doc_id, line, 0, '', pair FROM pairs WHERE line = line2
   UNION ALL SELECT DISTINCT h.id, p.doc_id, b.line, h.pos, h.name, p.pair FROM heads h JOIN sizes USING (name) JOIN pairs p ON p.id = h.id AND p.pos >= h.pos AND p.pos < h.pos + span JOIN pairs b ON b.id = h.id AND b.pos = h.pos),
-counts AS (SELECT id, unit, head, only, count(*) AS k FROM units GROUP BY ALL),
-met AS (SELECT id, any_value(doc_id) AS doc_id, unit, head, only, name, count(*) AS shared FROM units JOIN tp USING (pair) WHERE only IN ('', name) GROUP BY id, unit, head, only, name),
-dice AS (SELECT id, doc_id, unit, head, head + span AS stop, name, k, shared, 2.0 * shared / (k + size) AS dice FROM met JOIN counts USING (id, unit, head, only) JOIN sizes USING (name)),
+counts AS (SELECT id, unit, head, sole, count(*) AS k FROM units GROUP BY ALL),
+met AS (SELECT id, any_value(doc_id) AS doc_id, unit, head, sole, name, count(*) AS shared FROM units JOIN tp USING (pair) WHERE sole IN ('', name) GROUP BY id, unit, head, sole, name),
+dice AS (SELECT id, doc_id, unit, head, head + span AS stop, name, k, shared, 2.0 * shared / (k + size) AS dice FROM met JOIN counts USING (id, unit, head, sole) JOIN sizes USING (name)),
 fine AS (SELECT * FROM dice WHERE dice >= {threshold}),
 best AS (SELECT *, row_number() OVER (PARTITION BY id, unit ORDER BY shared DESC, dice DESC, name, k) AS r FROM fine c
   WHERE NOT EXISTS (SELECT 1 FROM fine o WHERE o.id = c.id AND o.head > 0 AND c.head > 0 AND o.head <= c.head AND c.head < o.stop AND o.shared > c.shared))

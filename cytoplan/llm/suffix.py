@@ -41,13 +41,15 @@ from . import common as C
 
 LEAST, GRAM = 100, 32
 #: Windows that a task gathers before it sends them to their buckets.
-HELD = 400_000
+HELD = 200_000
 #: Different windows of an anchor that are gathered in one task; windows of a bucket that are held at once; windows whose suffixes are sorted at once.
 HOT, MOST, WINDOWS = 256, 1 << 20, 12_000
 #: Suffixes that are sorted at once.
 SUFFIXES = 1 << 16
 #: Bytes of the table for each task that buckets are dealt to, and buckets a task.
-TASK_BYTES, PER_TASK = 8 << 20, 6
+TASK_BYTES, PER_TASK = 2 << 20, 2
+#: Bytes of text whose windows are found at once.
+PIECE = 1 << 19
 _U = np.uint64
 _PLACE = _U((1 << 22) - 1)
 _NONE = np.iinfo(np.int64).min
@@ -278,8 +280,8 @@ def meeting(pieces: DataFrame, n: int, least: int, gram: int) -> DataFrame:
 
         for batch in batches:
             doc, mark, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for i, j, data, offsets in C.text_chunks(batch.column(3)):
-                step = C.CHUNK_BYTES
+            for i, j, data, offsets in C.text_chunks(batch.column(3), PIECE):
+                step = PIECE
                 parts = [(0, data, offsets)] if len(data) <= step else [(p, data[p : p + step + least - 1], np.array([0, min(step + least - 1, len(data) - p)])) for p in range(0, len(data), step)]
                 for at, part, cut in parts:
                     anchor, window, row, start, length = windows(part, cut, least, gram)
@@ -425,7 +427,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = C.materialise(repeats(docs, least), "suffix-spans").groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "size")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             ids, texts, found = (batch.column(k) for k in range(3))
             spans, kept, sizes = [], [], []
             for k in range(batch.num_rows):
