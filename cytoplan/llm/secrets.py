@@ -4,14 +4,16 @@ Base patterns, leftmost and non-overlapping for each kind, on code points; match
 ``assign``, ``access`` and ``hex`` (see ``PATTERNS``). They always stay.
 
 The field tags each token (a run of word characters and ``+/.-``, or one other mark) as begin, inside or outside of a secret. Its
-features are the token's shape, length, mix of classes, number of class changes and distinct characters, and whether it is one of
-a few telling words; the same in brief of the two tokens before and the one after; and the file's share of digits and of symbols.
-It is trained here by maximum likelihood (forward-backward, Adam) on drawn examples of credentials and of numbers, addresses and
-links that are none, and on at most ``SAMPLE`` documents of up to ``LONGEST`` characters, in order of their ids' hashes, whose base matches are the labels.
+features are the token's shape, length, mix of classes, number of class changes and distinct characters, whether it has the form of
+an identifier (UUID) or of a web token, and whether it is one of a few telling words; the same in brief of the two tokens before and
+the one after; and the file's share of digits and of symbols. It is trained here by maximum likelihood (forward-backward, Adam) on
+drawn examples of credentials of many kinds (keys, web tokens, passwords named in a sentence, passwords in addresses) and of numbers,
+addresses, links, identifiers and versions that are none, and on windows of at most ``SAMPLE`` documents, in order of their ids' hashes,
+whose base matches are the labels; at most ``PER_TEXT`` windows with a match are taken from a document.
 Decoding is by Viterbi. Where a token's score for outside beats the others by more than any change of transitions can win back,
 every best path passes outside there; only the stretches between such tokens are decoded, with the same result.
 
-A ``crf`` span is a tagged run of tokens that touches no base span and has ``SHORTEST`` or more characters.
+A ``crf`` span is a tagged run of tokens that touches no base span.
 
 Edge cases: null texts are empty and have no spans; repeated rows have equal results; an empty table trains on the drawn examples
 alone. Other columns are ignored, or kept by :func:`redact`. Documents are read by independent tasks, never shuffled.
@@ -20,6 +22,7 @@ alone. Other columns are ignored, or kept by :func:`redact`. Documents are read
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -37,9 +40,14 @@ PATTERNS = {
     "hex": re.compile(r"[0-9a-f]{24,}"),  # whole runs of [0-9a-f]+ of 24 or more
 }
 KINDS = ("assign", "access", "hex", "crf")
-SAMPLE, LONGEST, SHORTEST, SEED = 400, 20_000, 12, 7
+SAMPLE, PER_TEXT, SEED = 400, 20, 7
 #: Words that often stand beside credentials.
 TELLING = ("password", "passwd", "pwd", "secret", "token", "api", "apikey", "api_key", "key", "access", "auth", "bearer", "credential", "credentials", "private", "login", "aws", "client_secret", "access_key", "authorization")
+#: Words whose neighbours they tell about.
+CONTEXT = ("is", "was", "commit", "sha", "sha256", "md5", "checksum", "digest", "uuid", "id", "request", "session", "version", "build", "order", "invoice", "ticket", "phone", "basic", "user", "username", "pass", "passphrase", "connect", "with")
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+WEB_TOKEN = re.compile(r"eyJ[\w\-]{8,}\.[\w\-]{4,}(?:\.[\w\-]*)?")
+PREFIX = re.compile(r"(?:gh[pousr]_|glpat-|xox[abps]-|sk-|sk_|pk_|rk_|AIza|ya29\.|npm_|hf_)")
 TOKEN = re.compile(r"[\w+/.\-]+|[^\s\w]")
 OUT, BEGIN, IN = 0, 1, 2
 
@@ -92,11 +100,15 @@ def token_features(token: str) -> tuple[list[str], list[str]]:
         own = [f"shape={_shape(token)}", f"kinds={kinds[:5]}", f"length={min(n, 48) // 4}", f"changes={min(changes, 12) // 2}", f"distinct={min(len(set(token)), 24) // 4}"]
         own += [f"hex={min(n, 40) // 8}"] if hexes and not token.isdigit() else []
         own += ["digits"] if token.isdigit() else []
+        own += ["uuid"] if n == 36 and UUID.fullmatch(token) else ["web-token"] if token.startswith("eyJ") and WEB_TOKEN.fullmatch(token) else ["prefix"] if n >= 16 and PREFIX.match(token) else []
+        own += ["word-and-digits"] if 6 <= n < 16 and kinds[:1] == "0" and any(c.isalpha() for c in token) and "." not in token and "/" not in token else []
         own += ["long-mixed"] if n >= 16 and "0" in kinds and ("a" in kinds or "A" in kinds) and changes >= 4 and "." not in token else []
-        brief = ["digits"] if token.isdigit() else [f"mixed={min(n, 24) // 8}"]
+        brief = ["digits"] if token.isdigit() else ["slashes"] if token.startswith("//") else [f"mixed={min(n, 24) // 8}"]
     if low in TELLING or any(low.endswith(s) for s in ("_key", "_token", "_secret", "password")):
         own.append("telling")
         brief.append("telling")
+    if low in CONTEXT:
+        brief.append(f"word={low}")
     return own, brief
 
 
@@ -132,7 +144,7 @@ class Field:
     def _row(self, token: str) -> int:
         """Scores of a token for itself, for the token after it, the one after that, and the one before it."""
         key = None
-        if token.isalpha() and token.lower() not in TELLING and (token.islower() or token.isupper() or token[1:].islower()) and not token.lower().endswith("password"):
+        if token.isalpha() and token.lower() not in TELLING and token.lower() not in CONTEXT and (token.islower() or token.isupper() or token[1:].islower()) and not token.lower().endswith("password"):
             key = (token.islower(), token.isupper(), min(len(token), 24))
             at = self.plain.get(key)
             if at is not None:
@@ -203,37 +215,64 @@ def viterbi(e: np.ndarray, steps: np.ndarray, after_out: bool, before_out: bool)
 # ---------------------------------------------------------------- training
 
 
-def drawn_examples(seed: int = SEED, n: int = 700) -> list[tuple[str, list[tuple[int, int]]]]:
+def drawn_examples(seed: int = SEED, n: int = 900) -> list[tuple[str, list[tuple[int, int]]]]:
     """Lines with credentials (and where these are), and lines with numbers, addresses and links that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda s, k: "".join(rng.choice(list(s), k))
+    one = lambda *x: str(x[int(rng.integers(0, len(x)))])
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed, hexes = lower + lower.upper() + digits, "0123456789abcdef"
     word = lambda: pick(lower, int(rng.integers(2, 10)))
     prose = lambda: " ".join(word().title() if rng.random() < 0.15 else word() for _ in range(int(rng.integers(3, 9))))
-    mixed = lower + lower.upper() + digits
+    uuid = lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))
+    human = lambda: one(word().title() + pick(digits, int(rng.integers(2, 5))), word() + pick(digits, 3) + word(), pick(mixed, int(rng.integers(7, 13))) + pick(digits, 2), word() + "_" + pick(digits, 4))
+    web = lambda: "eyJ" + pick(mixed, int(rng.integers(12, 40))) + ".eyJ" + pick(mixed, int(rng.integers(16, 60))) + "." + pick(mixed + "_-", int(rng.integers(20, 43)))
+    prefixed = lambda: one("ghp_", "gho_", "glpat-", "xoxb-", "sk-", "sk_live_", "npm_", "hf_", "AIza") + pick(mixed, int(rng.integers(16, 40)))
     out = []
+
+    def secret(head: str, value: str, tail: str = "") -> None:
+        out.append((head + value + tail, [(len(head), len(head) + len(value))]))
+
     for _ in range(n):
-        kind = int(rng.integers(0, 5))
-        size = int(rng.integers(16, 44))
-        value = (pick("0123456789abcdef", size), pick(mixed, size), pick(mixed + "+/", size) + "8Z", "AKIA" + pick(lower.upper() + digits, 16), pick(lower, 2) + "_" + pick(mixed, size))[kind]
-        name = str(rng.choice([*TELLING, "db_" + word() + "_key", "x-api-key"]))
-        left = (f'{name} = "', f"{name}: ", f"{name}={''}", f"{name} is ", "Bearer ", "")[int(rng.integers(0, 6))]
-        head = prose() + " " + left
-        out.append((head + value + ('" ' if left.endswith('"') else " ") + prose(), [(len(head), len(head) + len(value))]))
-        plain = (
-            f"{word()}.{int(rng.integers(1, 99))}@{word()}{int(rng.integers(1, 9))}.example.com",
-            f"+{int(rng.integers(1, 99))} ({int(rng.integers(100, 999))}) {pick(digits, 3)}-{pick(digits, 4)}",
-            pick(digits, int(rng.integers(4, 20))),
-            f"https://www.{word()}.org/{word()}/{word()}-{int(rng.integers(1, 9999))}.html",
-            f"{int(rng.integers(1, 255))}.{int(rng.integers(1, 255))}.{int(rng.integers(1, 255))}.{int(rng.integers(1, 255))}",
-            f"{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}",
-            f"the {str(rng.choice(TELLING))} {word()} {word()}",
-            f"{word()}{str(rng.choice(['***', '$$$', '###', '&&&', '!!']))} {word()} | {word()}",
-            f"{word().upper()} {word().upper()}!! {word().upper()}",
-            f"{word()}-{word()}-{word()}/{word()}.{word()}",
-            pick(lower, int(rng.integers(14, 40))),
-        )[int(rng.integers(0, 11))]
-        out.append((prose() + " " + plain + " " + prose(), []))
+        kind, size = int(rng.integers(0, 5)), int(rng.integers(16, 44))
+        value = (pick(hexes, size), pick(mixed, size), pick(mixed + "+/", size) + "8Z", "AKIA" + pick(lower.upper() + digits, 16), pick(lower, 2) + "_" + pick(mixed, size))[kind]
+        name = one(*TELLING, "db_" + word() + "_key", "x-api-key")
+        left = one(f'{name} = "', f"{name}: ", f"{name}=", f"{name} is ", "Bearer ", "")
+        secret(prose() + " " + left, value, ('" ' if left.endswith('"') else " ") + prose())
+        turn = int(rng.integers(0, 4))
+        if turn == 0:
+            secret(prose() + one(" ", " Authorization: Bearer ", " token ", " jwt="), web(), " " + prose())
+        elif turn == 1:
+            secret(prose() + " " + one("password", "pwd", "passwd", "passphrase", "the password", "login password", "user " + word() + " pass", "credentials " + word()) + one(" ", " is ", " was ", " for it is "), human(), one(" ", ". ", ", ") + prose())
+        elif turn == 2:
+            scheme, host = one("postgres", "mysql", "mongodb", "redis", "amqp", "https", "ftp"), one(f"{word()}.{word()}.com", "localhost", f"10.0.{int(rng.integers(0, 99))}.{int(rng.integers(1, 99))}")
+            secret(prose() + " " + one("", "url=", "connect ") + f"{scheme}://{one(word(), 'root', 'admin')}:", one(human(), pick(mixed, size)), f"@{host}" + one("", f":{int(rng.integers(1000, 9999))}") + "/" + word() + " " + prose())
+        else:
+            secret(prose() + one(" ", " use ", " key ", " with "), prefixed(), " " + prose())
+        for _ in range(2):
+            plain = (
+                f"{word()}.{int(rng.integers(1, 99))}@{word()}{int(rng.integers(1, 9))}.example.com",
+                f"+{int(rng.integers(1, 99))} ({int(rng.integers(100, 999))}) {pick(digits, 3)}-{pick(digits, 4)}",
+                pick(digits, int(rng.integers(4, 20))),
+                f"https://www.{word()}.org/{word()}/{word()}-{int(rng.integers(1, 9999))}.html",
+                f"{int(rng.integers(1, 255))}.{int(rng.integers(1, 255))}.{int(rng.integers(1, 255))}.{int(rng.integers(1, 255))}",
+                f"{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}",
+                f"the {one(*TELLING)} {word()} {word()}",
+                f"{word()}{one('***', '$$$', '###', '&&&', '!!')} {word()} | {word()}",
+                f"{word().upper()} {word().upper()}!! {word().upper()}",
+                f"{word()}-{word()}-{word()}/{word()}.{word()}",
+                pick(lower, int(rng.integers(14, 40))),
+                one("id ", "request ", "uuid: ", "session id ", "") + uuid(),
+                one("commit ", "sha ", "at ", "build ") + pick(hexes, int(rng.integers(7, 13))),
+                f"version {int(rng.integers(0, 9))}.{int(rng.integers(0, 20))}.{int(rng.integers(0, 20))}-{one('rc', 'beta', 'alpha')}{int(rng.integers(1, 9))}",
+                one("order ", "invoice ", "ticket ", "model ") + pick(lower.upper(), int(rng.integers(2, 4))) + one("", "-") + pick(digits, int(rng.integers(3, 7))),
+                f"{one('password', 'token', 'secret', 'key')} {one('policy', 'manager', 'reset', 'length')} {word()}",
+                f"{one('http', 'https', 'ftp')}://{word()}.{word()}.com:{int(rng.integers(80, 9999))}/{word()}",
+                f"{word()}{int(rng.integers(1, 99))} and {word()}{int(rng.integers(1, 99))}.{word()}",
+                f"{word()}: {word()}@{word()}.com",
+                f"{int(rng.integers(1, 12))}:{pick(digits, 2)} {one('am', 'pm')}, {int(rng.integers(1, 99))}kg {int(rng.integers(1, 99))}km/h",
+            )[int(rng.integers(0, 20))]
+            out.append((prose() + " " + plain + " " + prose(), []))
     return out
 
 
@@ -260,15 +299,27 @@ def _windows(text: str, spans: list[tuple[int, int]], reach: int = 10, others: i
         yield names, tags[lo:hi].tolist()
 
 
+Window = tuple[list[list[str]], list[int]]
+
+
+def labelled_windows(text: str, seed: int) -> list[Window]:
+    """Windows about the first ``PER_TEXT`` base matches of a text, and some others. The value is the secret: of an assignment its second group."""
+    spans = [m.span(2) for m in PATTERNS["assign"].finditer(text) if len(m[2]) >= 6] + [(a, b) for a, kind, b in base_spans(text) if kind]
+    found = list(_windows(text, spans, seed=seed))
+    return found[: min(PER_TEXT, len(spans))] + found[len(spans) :]
+
+
 def train(texts: list[str], rounds: int = 80, rate: float = 0.08, decay: float = 1e-3) -> Field:
-    """Maximum likelihood on drawn examples and on texts whose base matches are the labels."""
-    data = []
+    """:func:`fit_windows` on windows of ``texts``."""
+    return fit_windows([w for k, text in enumerate(texts) for w in labelled_windows(text, k)], rounds, rate, decay)
+
+
+def fit_windows(windows: list[Window], rounds: int = 80, rate: float = 0.08, decay: float = 1e-3) -> Field:
+    """Maximum likelihood on drawn examples and on labelled windows."""
+    data: list[Window] = []
     for text, spans in drawn_examples():
         data += _windows(text, spans, others=0 if spans else 1)
-    for k, text in enumerate(texts):
-        # The value is the secret: of an assignment its second group, of other kinds all of the match.
-        spans = [m.span(2) for m in PATTERNS["assign"].finditer(text) if len(m[2]) >= 6] + [(a, b) for a, kind, b in base_spans(text) if kind]
-        data += _windows(text, spans, seed=k)
+    data += windows
     names = sorted({x for rows, _ in data for row in rows for x in row})
     place = {x: i for i, x in enumerate(names)}
     wide = max(len(row) for rows, _ in data for row in rows)
@@ -313,13 +364,20 @@ def train(texts: list[str], rounds: int = 80, rate: float = 0.08, decay: float =
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Train on at most ``sample`` documents, the first by hash of id and then of text."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")).where(F.length("text").between(1, LONGEST))
-    ids = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if ids is None:
-        return train([])
-    texts = [r[0] for r in rows.where(F.col("h") <= F.lit(ids)).select("text", "h").orderBy("h", "text").limit(sample).collect()]
-    return train(texts)
+    """Train on windows of at most ``sample`` documents, the first by hash of id and then of text; texts stay in the tasks."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).where(F.length("text") > 0)
+    last = rows.select("h", "t").orderBy("h", "t").limit(sample).agg(F.max(F.struct("h", "t"))).first()[0]
+    if last is None:
+        return fit_windows([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json.dumps(labelled_windows(text, t & 0xFFFFFFFF)) for text, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.string())], ["h", "t", "windows"])
+
+    chosen = rows.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("t") <= last["t"]))).mapInArrow(run, "h long, t long, windows string")
+    lists = [r["windows"] for r in chosen.orderBy("h", "t").limit(sample).collect()]
+    return fit_windows([(rows_, tags) for text in lists for rows_, tags in json.loads(text)])
 
 
 # ---------------------------------------------------------------- scans
@@ -335,7 +393,7 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list
         places = [m.span() for m in TOKEN.finditer(text)]
         for i, j in runs:
             a, b = places[i][0], places[j - 1][1]
-            if b - a >= SHORTEST and not any(x < b and a < y for x, _, y in base):
+            if not any(x < b and a < y for x, _, y in base):
                 more.append((a, 3, b))
     return base, base + more
 
