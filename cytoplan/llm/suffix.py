@@ -45,7 +45,7 @@ HELD = 200_000
 #: Different windows of an anchor that are gathered in one task; windows of a bucket that are held at once; windows whose suffixes are sorted at once.
 HOT, MOST, WINDOWS = 256, 1 << 20, 12_000
 #: Suffixes that are sorted at once.
-SUFFIXES = 1 << 16
+SUFFIXES = 1 << 14
 #: Bytes of the table for each task that buckets are dealt to, and buckets a task.
 TASK_BYTES, PER_TASK = 2 << 20, 2
 #: Bytes of text whose windows are found at once.
@@ -387,7 +387,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 )
 
     wanted = met.where("anchor is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "hot", "start", "size")).alias("windows"))
-    texts = rows.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "windows").mapInArrow(fetch, "anchor long, hot boolean, doc long, mark long, start long, text binary")
+    texts = rows.repartition(n, "doc", "mark").join(wanted.repartition(n, "doc", "mark"), ["doc", "mark"]).select("doc", "mark", "text", "windows").mapInArrow(fetch, "anchor long, hot boolean, doc long, mark long, start long, text binary")
     spans = met.where("anchor is null").select("doc", "mark", "start", "size")
     if not met.where("hot").isEmpty():
         texts = C.materialise(texts, "suffix-texts")
@@ -447,7 +447,8 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 kept.append(b"".join([*parts, text[at:]]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    rows = _rows(docs).join(found, ["doc", "mark"], "left").select("doc_id", "text", "found")
+    n = C.partitions_of(docs, TASK_BYTES)  # small tasks: each sorts its texts
+    rows = _rows(docs).repartition(n, "doc", "mark").join(found.repartition(n, "doc", "mark"), ["doc", "mark"], "left").select("doc_id", "text", "found")
     return rows.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
