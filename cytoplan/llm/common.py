@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +20,68 @@ IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 _own_dir: list[str] = []
+#: Frames whose files have been written and not deleted yet.
+_kept: list[DataFrame] = []
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path under ``spark.checkpoint.dir``, which all executors share; a temporary one where that is unset (tests)."""
+    """A new folder path under ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset a temporary folder does in local mode only: on a cluster each machine would see its own, and rows be lost.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="cytoplan-"))
         base = _own_dir[0]
     return f"{base.rstrip('/')}/cytoplan/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch while frames are materialised: texts are long, and both sides of the pipe hold a batch.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's Arrow batches have the bounds of ``ARROW`` meanwhile."""
+    before = {key: spark.conf.get(key, None) for key in ARROW}
+    try:
+        for key, value in ARROW.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cytoplan_path = path  # type: ignore[attr-defined]
+    _kept.append(out)
     return out
 
 
+def materialised() -> int:
+    """A mark for :func:`discard_since`: how many frames have been materialised."""
+    return len(_kept)
+
+
+def discard_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the files of all frames materialised since ``mark`` but those to keep, once nothing reads them any more."""
+    later, _kept[mark:] = _kept[mark:], list(keep)
+    discard(*[df for df in later if not any(df is k for k in keep)])
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing reads any more."""
     for df in frames:
@@ -49,6 +90,7 @@ def discard(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _kept[:] = [k for k in _kept if k is not df]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +136,13 @@ def row_slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         i = j
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what is made of one stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) for consecutive rows, of bounded size."""
     flat, offsets = text_buffer(column)
