@@ -1,16 +1,16 @@
 """Toxicity: cumulative-link ordinal regression on sparse words.
 
 Severity grades are 0 to 3 and P(grade > k) = sigmoid(w . x - b_k) with one weight vector for all thresholds b_0 < b_1 < b_2. The
-expected severity is the sum of the three probabilities. Features are hashed words (letters, digits and non-ASCII in lower case)
+expected severity is the sum of the three probabilities. Features are hashed words (letters, digits and non-ASCII; A-Z in lower case)
 that the text has, worth 1 + ln(count); weights are fitted by proximal gradient with an L1 penalty, which leaves most at zero.
 
 The labels say toxic or not. A toxic training text is graded by how many words it has that mark toxic texts (smoothed log odds
 over ``MARK`` and in ``RARE`` or more of them): the lower, middle and upper third are grades 1, 2 and 3.
 
-Training takes at most ``SAMPLE`` labelled documents, half of either label, in order of their ids' hashes; only their feature
-counts come to the driver. Scoring covers every document by independent tasks, without a shuffle.
+Training takes at most ``SAMPLE`` labelled documents, half of either label, in order of their ids' hashes (of rows with one id all, up to
+twice as many); only their feature counts come to the driver. Scoring covers every document by independent tasks, without a shuffle.
 
-Edge cases: a null text has no features; labels without a document, null labels and null ids are left out, of several labels of an
+Edge cases: null texts and texts without a word have no features, and the severity that the thresholds alone give; labels without a document, null labels and null ids are left out, of several labels of an
 id the largest counts; without labels every weight is zero and every severity near zero; repeated rows are scored alike; an empty
 table gives no rows. Other columns are ignored.
 """
@@ -79,7 +79,19 @@ def grades(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> np.ndarra
     return out
 
 
-def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 300, penalty: float = 2e-3) -> Ordinal:
+def likelihood(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean of -log P(grade), P(grade) = P(> grade - 1) - P(> grade), and its slopes by weights and thresholds."""
+    n = len(grade)
+    p = 1 / (1 + np.exp(b[None, :] - np.bincount(row, value * w[column], n)[:, None]))
+    at = np.arange(n), grade
+    upper, lower = np.concatenate([np.ones((n, 1)), p], 1)[at], np.concatenate([p, np.zeros((n, 1))], 1)[at]
+    gap = np.maximum(upper - lower, 1e-12)
+    score = -(1 - upper - lower) / n  # of log(upper - lower) by the score, for logistic links
+    gb = np.array([((upper * (1 - upper) / gap) * (grade == k + 1) - (lower * (1 - lower) / gap) * (grade == k)).sum() for k in range(GRADES)]) / n
+    return -float(np.log(gap).mean()), np.bincount(column, value * score[row], len(w)), gb
+
+
+def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 300, penalty: float = 5e-4) -> Ordinal:
     """Penalised maximum likelihood of the cumulative logit model, by accelerated proximal gradient."""
     n = len(grade)
     if not n or not grade.any():
@@ -91,24 +103,12 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
     w, b = np.zeros(len(used)), np.log(np.array([(grade <= k).sum() + 1 for k in range(GRADES)]) / np.array([(grade > k).sum() + 1 for k in range(GRADES)]))
     z, zb, t = w.copy(), b.copy(), 1.0
     rate = 4.0 / max(1.0, float(np.median(np.bincount(row, value**2, n))))
-    sigmoid = lambda v: 1 / (1 + np.exp(-v))
-
-    def slope(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the mean of -log P(grade), P(grade) = P(> grade - 1) - P(> grade)."""
-        p = sigmoid(np.bincount(row, value * w[column], n)[:, None] - b[None, :])
-        upper = np.concatenate([np.ones((n, 1)), p], 1)[np.arange(n), grade]
-        lower = np.concatenate([p, np.zeros((n, 1))], 1)[np.arange(n), grade]
-        # d log(u - l) / d score = 1 - u - l for logistic links
-        score = -(1 - upper - lower) / n
-        gap = np.maximum(upper - lower, 1e-12)
-        gb = np.array([((upper * (1 - upper) / gap) * (grade == k + 1) - (lower * (1 - lower) / gap) * (grade == k)).sum() for k in range(GRADES)]) / n
-        return np.bincount(column, value * score[row], len(w)), gb
-
     for _ in range(rounds):
-        gw, gb = slope(z, zb)
+        _, gw, gb = likelihood(row, column, value, grade, z, zb)
         new = z - rate * gw
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
-        nb = np.maximum.accumulate(zb - rate * gb + np.arange(GRADES) * 1e-3)
+        gap = np.arange(GRADES) * 1e-3  # thresholds stay apart
+        nb = np.maximum.accumulate(zb - rate * gb - gap) + gap
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t_new * (new - w), nb + (t - 1) / t_new * (nb - b)
         w, b, t = new, nb, t_new
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(lists, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "toxic", "features", "amounts"])
 
     rows = rows.join(picked, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary, amounts binary")
-    got = sorted(map(tuple, rows.limit(2 * sample).collect()), key=lambda r: (r[0], r[1]))
+    got = [tuple(r) for r in rows.orderBy("doc_id", "features").limit(2 * sample).collect()]
     C.discard(known)
     features = [np.frombuffer(r[2], "<i4").astype(np.int64) for r in got]
     row = np.repeat(np.arange(len(got)), [len(f) for f in features])
