@@ -8,7 +8,9 @@ distinct fingerprint goes once per block to the group of that block's value. Wit
 rank, which puts those with long shared bit patterns together; leaves hold a few neighbours, upper nodes the bits on which all
 below them agree (a mask and a pattern). Two nodes are compared by the differences of the bits that both fix, counted over the
 levels from the top; a pair with more than ``radius`` is dropped with everything below it. Groups beyond ``GROUP_LIMIT`` are cut
-into tiles, and each pair of tiles is a group of its own, so no task holds an unbounded group and no link is lost.
+into ranges of Gray ranks, which are those of equal leading bits; two ranges whose leading bits differ by more than ``radius`` are dropped
+before a row is sent, and ranges that are still too large are cut by hash. Each pair of tiles left is a group of its own, so no task
+holds an unbounded group and no link is lost.
 A group emits a spanning star of each of its components, never all pairs.
 
 Edge cases: null or wordless texts have fingerprint zero; shorter texts are one shingle. Rows with a null ``doc_id`` take part,
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,8 @@ from . import common as C
 from .components import connected_components
 
 GROUP_LIMIT, LEAF, FAN = 8192, 16, 8
+#: Most leading bits that tell ranges of a large group apart.
+RANGE_BITS = 12
 _U = np.uint64
 _P1, _P2, _P3, _P4, _P5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -237,6 +241,37 @@ class Forest:
                 self.root = up
 
 
+def _tiles(rows: DataFrame, bounds: list[int], radius: int, most: int) -> DataFrame:
+    """route, key, i, j, side and fp of rows (route, key, bits, fp) of large groups, once for each tile within reach of their own."""
+    head = F.lit(0).cast("long")
+    for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        # The bits outside the route's block, and the leading ones of those.
+        rest = F.col("fp").bitwiseAND(F.lit((1 << lo) - 1))
+        if hi < 64:
+            rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", hi), lo))
+        head = F.when(F.col("route") == k, _leading(rest, 64 - (hi - lo))).otherwise(head)
+    rows = C.materialise(rows.select("route", "key", "bits", "fp", head.alias("head")), "simhash-heads")
+    tiles = C.materialise(rows.groupBy("route", "key", "bits", "head").agg(F.ceil(F.count("*") / GROUP_LIMIT).cast("int").alias("parts")), "simhash-tiles")
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in range(1 << b) if m.bit_count() <= radius]) for b in range(most + 1)])
+    near = tiles.select("route", "key", "head", "parts", F.explode(F.element_at(masks, F.col("bits") + 1)).alias("mask"))
+    near = near.select("route", "key", "head", "parts", F.col("head").bitwiseXOR(F.col("mask")).alias("other"))
+    near = near.join(tiles.select("route", "key", F.col("head").alias("other"), F.col("parts").alias("of_other")), ["route", "key", "other"])
+    near = near.groupBy("route", "key", "head", "parts").agg(F.collect_list(F.struct("other", "of_other")).alias("near"))
+    name = lambda head, part: F.shiftleft(head, 32) + part
+    out = rows.join(near, ["route", "key", "head"]).withColumn("own", name(F.col("head"), F.pmod(F.xxhash64("fp"), F.col("parts"))))
+    out = out.select("route", "key", "own", "fp", F.inline("near")).select("route", "key", "own", "fp", "other", F.explode(F.sequence(F.lit(0), F.col("of_other") - 1)).alias("part"))
+    out = out.withColumn("there", name(F.col("other"), F.col("part").cast("long")))
+    return out.select("route", "key", F.least("own", "there").alias("i"), F.greatest("own", "there").alias("j"), (F.col("own") > F.col("there")).cast("int").alias("side"), "fp")
+
+
+def _leading(rest: Column, width: int) -> Column:
+    """The first ``bits`` of a pattern of ``width`` bits."""
+    out = F.lit(0).cast("long")
+    for b in range(1, min(RANGE_BITS, width) + 1):
+        out = F.when(F.col("bits") == b, F.shiftrightunsigned(rest, width - b)).otherwise(out)
+    return out
+
+
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints within ``radius`` bits. Takes distinct ``fp``."""
     if not 0 <= radius < 16:
@@ -245,15 +280,13 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     bounds = [64 * k // n for k in range(n + 1)]
     routes = F.array(*[F.struct(F.lit(k).alias("route"), F.shiftrightunsigned("fp", bounds[k]).bitwiseAND(F.lit((1 << (bounds[k + 1] - bounds[k])) - 1 if n > 1 else -1)).alias("key")) for k in range(n)])
     sent = C.materialise(fps.select("fp", F.inline(routes)), "simhash-routes")
-    hot = sent.groupBy("route", "key").count().where(F.col("count") > GROUP_LIMIT).select("route", "key", F.ceil(F.col("count") / GROUP_LIMIT).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiled = (
-        sent.join(hot, ["route", "key"], "left")
-        .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("route", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-    )
+    most = min(RANGE_BITS, 64 - max(hi - lo for lo, hi in zip(bounds, bounds[1:])))
+    bits = F.least(F.lit(most), F.ceil(F.log2(F.col("count") / GROUP_LIMIT)).cast("int") + 1)
+    hot = C.materialise(sent.groupBy("route", "key").count().where(F.col("count") > GROUP_LIMIT).select("route", "key", bits.alias("bits")), "simhash-hot")
+    keys = ["route", "key", "i", "j"]
+    tiled = sent.join(hot, ["route", "key"], "left_anti").select("route", "key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "fp")
+    if not hot.isEmpty():
+        tiled = tiled.unionByName(_tiles(sent.join(hot, ["route", "key"]), bounds, radius, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -284,7 +317,6 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
         if size:
             yield from flush(True)
 
-    keys = ["route", "key", "i", "j"]
     edges = tiled.repartition(C.parallelism(fps.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
     return edges.where("a <> b").distinct()
 
