@@ -40,6 +40,23 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--kernel", default="exponential")
     p.add_argument("--lambda", dest="scale", type=float, default=25.0)
     p.add_argument("--clusters", type=int)
+    p.add_argument("--family", choices=("niche", "gexniche", "hniche"), default="niche")
+    p.add_argument("--agreement", choices=("niche", "gexniche", "hniche"), help="family to compare with in niche-profile")
+    p.add_argument("--top-n", type=int, default=10)
+    p.add_argument("--k-hops", type=int, default=2)
+    p.add_argument("--genes", type=listed, default=None)
+    p.add_argument("--n-components", type=int, default=50)
+    p.add_argument("--scope", choices=("cohort", "sample"), default="cohort")
+    p.add_argument("--epochs", type=int, default=300)
+    p.add_argument("--early-stop-patience", type=int, default=20)
+    p.add_argument("--early-stop-min-delta", type=float, default=1e-4)
+    p.add_argument("--early-stop-min-epochs", type=int, default=50)
+    p.add_argument("--region-radius", type=float, default=15.0)
+    p.add_argument("--low", type=int)
+    p.add_argument("--high", type=int)
+    p.add_argument("--covering-only", action="store_true")
+    p.add_argument("--out", help="folder that hplot-finalize writes the summary to")
+    p.add_argument("--storage-options", help="environment variable that holds options of an object store as JSON")
     p.add_argument("--mode", default="celltype")
     p.add_argument("--batch-correct", default="none")
     p.add_argument("--regions", action="store_true")
@@ -56,8 +73,10 @@ def main(argv: list[str] | None = None) -> int:
         print(describe())
         return 0
     spark = SparkSession.builder.appName("cytoplan").getOrCreate()
+    if a.storage_options:
+        tables.apply_storage_options(spark, a.storage_options)
     engine = Engine(spark, a.root)
-    cfg = HplotConfig(a.base_type, a.target_type, a.base_type_by, a.target_type_by, a.base_gene_threshold, a.max_neighbor_distance, a.k, a.n, a.r)
+    cfg = HplotConfig(a.base_type, a.target_type, a.base_type_by, a.target_type_by, a.base_gene_threshold, a.max_neighbor_distance, a.k, a.n, a.r, a.low, a.high, a.covering_only)
     cells = tables.read_cells(spark, a.cells) if a.cells else None
     expression = spark.read.schema(tables.EXPRESSION).parquet(a.expression) if a.expression else None
     try:
@@ -70,19 +89,25 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "hplot":
             engine.hplot(cfg, a.overwrite).show()
         elif a.command == "hplot-finalize":
-            engine.finalize(cfg).show()
+            summary = engine.finalize(cfg if a.base_type else None)
+            if a.out:
+                summary.write.mode("overwrite").parquet(a.out)
+            summary.show()
         elif a.command == "agg":
             engine.aggregates(a.name or "", a.types, a.max_neighbor_distance, a.k, a.n, a.r, a.min_size).show()
         elif a.command == "cci":
-            engine.cci(tables.read_lr_pairs(spark, a.lr_pairs), a.kernel, a.scale, a.max_neighbor_distance, a.overwrite).show()
+            engine.cci(tables.read_lr_pairs(spark, a.lr_pairs), a.kernel, a.scale, a.max_neighbor_distance, a.overwrite, a.genes).show()
         elif a.command == "niche":
-            engine.niche(clusters=a.clusters, mode=a.mode, batch_correct=a.batch_correct, with_regions=a.regions).show()
+            found = engine.niche(a.family, a.clusters, a.k_hops, a.max_neighbor_distance, a.mode, a.genes, a.n_components, a.batch_correct, a.epochs, a.regions, None, a.scope, a.early_stop_patience, a.early_stop_min_delta, a.early_stop_min_epochs, a.region_radius)
+            found.show()
         elif a.command == "niche-profile":
-            for name, df in engine.niche_profile().items():
+            for name, df in engine.niche_profile(a.family, a.agreement, a.top_n).items():
                 print(name)
                 df.show()
         elif a.command == "verify":
             engine.verify().show()
+            if a.genes:
+                engine.missing_genes(a.genes).show()
         elif a.command == "export":
             print(engine.export())
     except tables.ContractError as e:

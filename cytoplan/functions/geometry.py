@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from fractions import Fraction
 
 import numpy as np
@@ -172,20 +173,37 @@ def clip_half_plane(polygon: np.ndarray, point: np.ndarray, normal: np.ndarray)
     d = (polygon - point) @ normal
     if (d <= 0).all():
         return polygon
-    out = []
-    for i in range(len(polygon)):
-        j = (i + 1) % len(polygon)
-        if d[i] <= 0:
-            out.append(polygon[i])
-        if (d[i] < 0 < d[j]) or (d[j] < 0 < d[i]):
-            out.append(polygon[i] + (polygon[j] - polygon[i]) * (d[i] / (d[i] - d[j])))
-    return np.array(out).reshape(-1, 2)
+    after, to = np.roll(d, -1), np.roll(polygon, -1, axis=0)
+    crosses = ((d < 0) & (after > 0)) | ((d > 0) & (after < 0))
+    share = np.divide(d, d - after, out=np.zeros_like(d), where=crosses)
+    both = np.stack([polygon, polygon + (to - polygon) * share[:, None]], 1)
+    return both.reshape(-1, 2)[np.stack([d <= 0, crosses], 1).ravel()]
 
 
-def voronoi_cell(points: np.ndarray, i: int, neighbours: np.ndarray, radius: float, corners: int = 64) -> np.ndarray:
+def voronoi_cell(points: np.ndarray, i: int, neighbours: np.ndarray, radius: float, corners: int = 256) -> np.ndarray:
     """Voronoi cell of point i cut to a disk: a regular polygon clipped by the bisectors to its Delaunay neighbours."""
     turn = np.arange(corners) * 2 * np.pi / corners
     cell = points[i] + radius * np.stack([np.cos(turn), np.sin(turn)], 1)
     for j in neighbours:
         cell = clip_half_plane(cell, (points[i] + points[j]) / 2, points[j] - points[i])
     return cell
+
+
+def border_length(cell: np.ndarray, here: np.ndarray, there: np.ndarray) -> float:
+    """Length of the sides of a Voronoi cell that lie on the bisector of its point and another."""
+    if len(cell) < 3:
+        return 0.0
+    side = there - here
+    off = np.abs((cell - (here + there) / 2) @ side) / np.sqrt(side @ side)
+    on = off < 1e-7 * max(1.0, float(np.abs(cell - here).max()))
+    to = np.roll(cell, -1, axis=0)
+    return float(np.sqrt(((to - cell) ** 2).sum(1))[on & np.roll(on, -1)].sum())
+
+
+def multipolygon_wkb(polygons: list[np.ndarray]) -> bytes:
+    """Well-known binary, little-endian, of polygons without holes; each ring is closed."""
+    parts = [struct.pack("<BII", 1, 6, len(polygons))]
+    for p in polygons:
+        ring = np.concatenate([p, p[:1]]).astype("<f8")
+        parts += [struct.pack("<BIII", 1, 3, 1, len(ring)), ring.tobytes()]
+    return b"".join(parts)

@@ -33,8 +33,9 @@ def by_aggregate(membership: DataFrame) -> DataFrame:
 
 
 def by_cci(scores: DataFrame, column: str) -> DataFrame:
-    """Mean over the pairs of one score column."""
-    return scores.groupBy(*KEY).agg(F.avg(column).alias("value"))
+    """Mean over the pairs of one score column; rows that are not zero suffice if they carry ``n_pairs``."""
+    mean = F.sum(column) / F.max("n_pairs") if "n_pairs" in scores.columns else F.avg(column)
+    return scores.groupBy(*KEY).agg(mean.alias("value"))
 
 
 def flagged(cells: DataFrame, base: DataFrame, target: DataFrame, threshold: float = 0.0) -> DataFrame:

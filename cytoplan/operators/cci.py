@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,44 +37,58 @@ def neighbour_expression(weighted: DataFrame, expression: DataFrame) -> DataFram
     return sums.join(all_weights, KEY).select(*KEY, "gene", "total", F.when(F.col("weight") > 0, F.col("total") / F.col("weight")).otherwise(0.0).alias("mean"))
 
 
-def scores(cells: DataFrame, adj: DataFrame, expression: DataFrame, pairs: DataFrame, kernel: str = "exponential", scale: float = 25.0) -> DataFrame:
-    """ligand, receptor and out_sum, out_mean (own ligand, neighbours' receptor), in_sum, in_mean (own receptor, neighbours' ligand)."""
-    known = panel_pairs(pairs, expression)
-    genes = known.select(sanitise("ligand").alias("gene")).union(known.select(sanitise("receptor").alias("gene"))).distinct()
+def scores(cells: DataFrame, adj: DataFrame, expression: DataFrame, pairs: DataFrame, kernel: str = "exponential", scale: float = 25.0, dense: bool = True) -> DataFrame:
+    """ligand, receptor and out_sum, out_mean (own ligand, neighbours' receptor), in_sum, in_mean (own receptor, neighbours' ligand).
+
+    ``dense`` gives a row for every cell and pair; otherwise only rows that are not zero, with ``n_pairs``, the number of pairs.
+    """
+    known = panel_pairs(pairs, expression).select("ligand", "receptor", sanitise("ligand").alias("l"), sanitise("receptor").alias("r"))
+    genes = known.select(F.col("l").alias("gene")).union(known.select(F.col("r").alias("gene"))).distinct()
     # Only genes of some pair enter the neighbour sums.
     own = expression.select(*KEY, sanitise("gene").alias("gene"), F.coalesce("value", F.lit(0.0)).alias("value")).join(genes, "gene", "left_semi")
     own = staged(own, "panel")
     near = staged(neighbour_expression(weights(adj, kernel, scale), own), "neighbours")
-    rows = _with_pairs(cells, known)
     value = lambda end: own.select(*KEY, F.col("gene").alias(end), F.col("value").alias(f"own_{end}"))
     around = lambda end: near.select(*KEY, F.col("gene").alias(end), F.col("total").alias(f"sum_{end}"), F.col("mean").alias(f"mean_{end}"))
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    columns = [(z("own_l") * z("mean_r")).alias("out_mean"), (z("own_l") * z("sum_r")).alias("out_sum"), (z("own_r") * z("mean_l")).alias("in_mean"), (z("own_r") * z("sum_l")).alias("in_sum")]
+    if dense:
+        rows = _with_pairs(cells.select(*KEY), known)
+    else:
+        # A score needs the cell's own ligand or receptor.
+        having = [own.where("value <> 0").select(*KEY, F.col("gene").alias(end)).join(known, end).select(*KEY, "ligand", "receptor", "l", "r") for end in ("l", "r")]
+        rows = having[0].union(having[1]).distinct().join(cells.select(*KEY), KEY, "left_semi")
     for end in ("l", "r"):
         rows = rows.join(value(end), [*KEY, end], "left").join(around(end), [*KEY, end], "left")
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.select(
-        *KEY,
-        "ligand",
-        "receptor",
-        (z("own_l") * z("mean_r")).alias("out_mean"),
-        (z("own_l") * z("sum_r")).alias("out_sum"),
-        (z("own_r") * z("mean_l")).alias("in_mean"),
-        (z("own_r") * z("sum_l")).alias("in_sum"),
-    )
-
-
-#: Pairs that one run scores; a pair list is a curated table of a few thousand rows.
-MOST_PAIRS = 20_000
-
-
-def _with_pairs(cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every cell with every pair: the result's own grain. The pairs, whose number is checked, are a literal of each row."""
-    rows = pairs.select("ligand", "receptor", sanitise("ligand").alias("l"), sanitise("receptor").alias("r")).orderBy("ligand", "receptor").limit(MOST_PAIRS + 1).collect()
-    if len(rows) > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} pairs")
-    if not rows:
-        return cells.select(*KEY, *[F.lit("").alias(c) for c in ("ligand", "receptor", "l", "r")]).where("false")
-    listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("ligand", "receptor", "l", "r")]) for r in rows])
-    return cells.select(*KEY, F.inline(listed))
+    out = rows.select(*KEY, "ligand", "receptor", *columns)
+    return out if dense else out.where("out_mean <> 0 or out_sum <> 0 or in_mean <> 0 or in_sum <> 0").withColumn("n_pairs", F.lit(known.count()))
+
+
+#: Pairs that one literal holds.
+PAIRS = 5_000
+
+
+def _with_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every row with every pair: the dense result's own grain. Pairs, a curated table, are literals of each row, ``PAIRS`` at a time."""
+    names = pairs.columns
+    listed = sorted(map(tuple, pairs.collect()))
+    parts = []
+    for i in range(0, len(listed), PAIRS):
+        literal = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(names, p, strict=True)]) for p in listed[i : i + PAIRS]])
+        parts.append(rows.select(*rows.columns, F.inline(literal)))
+    return functools.reduce(DataFrame.unionAll, parts) if parts else rows.select(*rows.columns, *[F.lit("").alias(c) for c in names]).where("false")
+
+
+def summary_of(sparse: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """:func:`summary` of all cells and pairs from the rows that are not zero."""
+    parts = [F.struct(F.lit(d).alias("direction"), F.lit(a).alias("aggregation"), F.col(f"{d}_{a}").alias("value")) for d in ("out", "in") for a in ("mean", "sum")]
+    rows = sparse.select("sample_id", "ligand", "receptor", F.inline(F.array(*parts)))
+    keys = ["sample_id", "ligand", "receptor", "direction", "aggregation"]
+    sums = rows.groupBy(*keys).agg(F.sum("value").alias("s"), F.sum((F.col("value") > 0).cast("long")).alias("p"))
+    kinds = F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(a).alias("aggregation")) for d in ("out", "in") for a in ("mean", "sum")])
+    grid = _with_pairs(cells.groupBy("sample_id").agg(F.count("*").alias("n_cells")), pairs.select("ligand", "receptor"))
+    grid = grid.select("sample_id", "n_cells", "ligand", "receptor", F.inline(kinds)).join(sums, keys, "left")
+    return grid.select(*keys, "n_cells", (F.coalesce("s", F.lit(0.0)) / F.col("n_cells")).alias("mean"), (F.coalesce("p", F.lit(0)) / F.col("n_cells")).alias("frac_pos"))
 
 
 def summary(scored: DataFrame) -> DataFrame:

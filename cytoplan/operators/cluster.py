@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+from collections import deque
 from collections.abc import Iterable
 
 import numpy as np
@@ -13,13 +15,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import discard, staged
 from . import graph
 
 KEY = ["sample_id", "cell_id"]
 #: Edges that a community search may hold in one task; larger cohorts are clustered by sample or by k-means.
 MOST_EDGES = 20_000_000
-#: Cells that train the encoder on the driver.
-TRAIN_CELLS = 50_000
+#: Cells whose samples train the encoder in one task.
+GROUP_CELLS = 100_000
 
 
 def centred(rows: DataFrame, column: str = "features", by: str = "sample_id") -> DataFrame:
@@ -104,8 +107,71 @@ def knn_graph(nearest: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- communities
 
 
+def _moved(weights: list[dict[int, float]], strength: list[float], group: list[int], mass: dict[int, float], total: float, resolution: float, rng: np.random.Generator) -> None:
+    """Nodes move to the group of a neighbour, or to one of their own, while that helps; ``group`` and ``mass`` follow."""
+    queue = deque(rng.permutation(len(weights)).tolist())
+    waiting = set(queue)
+    free = max(group, default=0) + 1
+    while queue:
+        i = queue.popleft()
+        waiting.discard(i)
+        old = group[i]
+        gain: dict[int, float] = {old: 0.0}
+        for j, w in weights[i].items():
+            gain[group[j]] = gain.get(group[j], 0.0) + w
+        mass[old] -= strength[i]
+        best = max(gain, key=lambda g: (gain[g] - resolution * strength[i] * mass[g] / total, g == old, -g))
+        if gain[best] - resolution * strength[i] * mass[best] / total < 0:
+            best, free = free, free + 1
+        mass[best] = mass.get(best, 0.0) + strength[i]
+        if best != old:
+            group[i] = best
+            for j in weights[i]:
+                if group[j] != best and j not in waiting:
+                    waiting.add(j)
+                    queue.append(j)
+
+
+def _refined(weights: list[dict[int, float]], strength: list[float], group: list[int], total: float, resolution: float, rng: np.random.Generator) -> list[int]:
+    """Parts of each group: nodes that are still alone join the part of a neighbour in their group, where that helps most."""
+    part, mass, alone = list(range(len(weights))), list(strength), [True] * len(weights)
+    for i in rng.permutation(len(weights)).tolist():
+        if not alone[i]:
+            continue
+        gain: dict[int, float] = {}
+        for j, w in weights[i].items():
+            if group[j] == group[i]:
+                gain[part[j]] = gain.get(part[j], 0.0) + w
+        if not gain:
+            continue
+        best = max(gain, key=lambda p: (gain[p] - resolution * strength[i] * mass[p] / total, -p))
+        if gain[best] - resolution * strength[i] * mass[best] / total > 0:
+            mass[best] += strength[i]
+            mass[i] -= strength[i]
+            part[i], alone[i], alone[best] = best, False, False
+    return part
+
+
+def _pieces(weights: list[dict[int, float]], group: list[int]) -> list[int]:
+    """Connected pieces of the groups, numbered from 0."""
+    piece = [-1] * len(weights)
+    count = 0
+    for i in range(len(weights)):
+        if piece[i] < 0:
+            piece[i] = count
+            stack = [i]
+            while stack:
+                for j in weights[stack.pop()]:
+                    if piece[j] < 0 and group[j] == group[i]:
+                        piece[j] = count
+                        stack.append(j)
+            count += 1
+    return piece
+
+
 def communities(n: int, a: np.ndarray, b: np.ndarray, resolution: float, seed: int) -> np.ndarray:
-    """Labels by greedy modularity with a resolution: nodes move while that helps, groups become nodes, and groups that fall apart are split."""
+    """Labels by Leiden's method for modularity with a resolution: nodes move, groups are refined into parts that hang together, and the
+    parts become the nodes of the next round, which begins with the groups found; until no part has two nodes."""
     rng = np.random.default_rng(seed)
     weights: list[dict[int, float]] = [{} for _ in range(n)]
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -113,60 +179,30 @@ def communities(n: int, a: np.ndarray, b: np.ndarray, resolution: float, seed: i
             weights[x][y] = weights[x].get(y, 0.0) + 1.0
             weights[y][x] = weights[y].get(x, 0.0) + 1.0
     loops = [0.0] * n
-    label = np.arange(n)
     total = sum(map(lambda w: sum(w.values()), weights)) or 1.0
+    node, group = np.arange(n), list(range(n))
     while True:
-        size = len(weights)
         strength = [sum(w.values()) + 2 * own for w, own in zip(weights, loops, strict=True)]
-        group, mass = list(range(size)), list(strength)
-        moved = False
-        queue = rng.permutation(size).tolist()
-        waiting = set(queue)
-        while queue:
-            i = queue.pop(0)
-            waiting.discard(i)
-            gain: dict[int, float] = {group[i]: 0.0}
-            for j, w in weights[i].items():
-                gain[group[j]] = gain.get(group[j], 0.0) + w
-            old = group[i]
-            mass[old] -= strength[i]
-            best = max(gain, key=lambda g: (gain[g] - resolution * strength[i] * mass[g] / total, g == old, -g))
-            mass[best] += strength[i]
-            if best != old:
-                group[i] = best
-                moved = True
-                for j in weights[i]:
-                    if group[j] != best and j not in waiting:
-                        waiting.add(j)
-                        queue.append(j)
-        # A group must hang together: otherwise each part is a group of its own.
-        part = [-1] * size
-        count = 0
-        for i in range(size):
-            if part[i] < 0:
-                part[i] = count
-                stack = [i]
-                while stack:
-                    for j in weights[stack.pop()]:
-                        if part[j] < 0 and group[j] == group[i]:
-                            part[j] = count
-                            stack.append(j)
-                count += 1
-        label = np.array(part)[label]
-        if not moved or count == size:
-            break
-        new: list[dict[int, float]] = [{} for _ in range(count)]
-        own = [0.0] * count
-        for i in range(size):
+        mass: dict[int, float] = {}
+        for g, x in zip(group, strength, strict=True):
+            mass[g] = mass.get(g, 0.0) + x
+        _moved(weights, strength, group, mass, total, resolution, rng)
+        names, place = np.unique(_refined(weights, strength, group, total, resolution, rng), return_inverse=True)
+        if len(names) == len(weights):
+            return np.array(_pieces(weights, group), int)[node] if n else node
+        part = place.tolist()
+        new: list[dict[int, float]] = [{} for _ in names]
+        own = [0.0] * len(names)
+        above = [0] * len(names)
+        for i, w_of in enumerate(weights):
+            above[part[i]] = group[i]
             own[part[i]] += loops[i]
-            for j, w in weights[i].items():
+            for j, w in w_of.items():
                 if part[i] == part[j]:
                     own[part[i]] += w / 2
                 else:
                     new[part[i]][part[j]] = new[part[i]].get(part[j], 0.0) + w
-        weights, loops = new, own
-    _, label = np.unique(label, return_inverse=True)
-    return label
+        weights, loops, group, node = new, own, above, place[node]
 
 
 def modularity(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> float:
@@ -216,9 +252,12 @@ def silhouette(rows: DataFrame, labels: DataFrame, column: str = "features", sam
     """Mean silhouette (squared Euclidean distance) of at most ``sample`` cells, the first by hash; nan with one cluster."""
     both = rows.join(labels.where("niche_id is not null"), KEY).orderBy(F.xxhash64(*KEY)).limit(sample)
     vec = both.select(array_to_vector(column).alias("features"), F.col("niche_id").alias("prediction")).persist()
-    if vec.select("prediction").distinct().count() < 2:
-        return float("nan")
-    return ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(vec)
+    try:
+        if vec.select("prediction").distinct().count() < 2:
+            return float("nan")
+        return ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(vec)
+    finally:
+        vec.unpersist()
 
 
 def winner(scores: DataFrame, least: float = 0.005) -> DataFrame:
@@ -234,30 +273,46 @@ def winner(scores: DataFrame, least: float = 0.005) -> DataFrame:
 def _normalised(n: int, a: np.ndarray, b: np.ndarray):
     """The graph convolution: symmetric normalisation with self-loops, as a function of features."""
     degree = np.bincount(a, minlength=n) + 1.0
-    w = 1 / np.sqrt(degree[a] * degree[b])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    w = (1 / np.sqrt(degree[a] * degree[b]))[:, None]
+    heads = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
 
     def apply(x: np.ndarray) -> np.ndarray:
         out = x / degree[:, None]
-        np.add.at(out, a, w[:, None] * x[b])
+        if len(a):
+            out[a[heads]] += np.add.reduceat(w * x[b], heads)
         return out
 
     return apply
 
 
-def train_encoder(x: np.ndarray, a: np.ndarray, b: np.ndarray, hidden: int = 64, out: int = 32, epochs: int = 300, patience: int = 20, min_delta: float = 1e-4, min_epochs: int = 50, rate: float = 1e-3, decay: float = 1e-4, seed: int = 0) -> list[np.ndarray]:
-    """Two graph convolutions trained to tell nodes from row-shuffled ones by the graph's summary (deep graph infomax)."""
-    rng = np.random.default_rng(seed)
-    conv = _normalised(len(x), a, b)
-    shape = [(x.shape[1], hidden), (hidden, out), (out, out)]
-    w = [rng.normal(0, np.sqrt(2 / sum(s)), s) for s in shape]
-    m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-    ax = conv(x)
-    best, since = np.inf, 0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for epoch in range(1, epochs + 1):
+class Encoder:
+    """Two graph convolutions trained to tell nodes from row-shuffled ones by the graph's summary (deep graph infomax), with Adam."""
+
+    def __init__(self, wide: int, hidden: int = 64, out: int = 32, rate: float = 1e-3, decay: float = 1e-4, dropout: float = 0.2, seed: int = 0):
+        rng = np.random.default_rng(seed)
+        self.shapes = [(wide, hidden), (hidden, out), (out, out)]
+        self.w = [rng.normal(0, np.sqrt(2 / sum(s)), s) for s in self.shapes]
+        self.m, self.v = [np.zeros_like(p) for p in self.w], [np.zeros_like(p) for p in self.w]
+        self.rate, self.decay, self.dropout, self.steps = rate, decay, dropout, 0
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in (*self.w, *self.m, *self.v)])
+
+    def load(self, flat: np.ndarray, steps: int) -> None:
+        cuts = np.cumsum([a * b for a, b in self.shapes] * 3)[:-1]
+        parts = [p.reshape(s) for p, s in zip(np.split(np.asarray(flat, float), cuts), self.shapes * 3, strict=True)]
+        self.w, self.m, self.v, self.steps = parts[:3], parts[3:6], parts[6:], steps
+
+    def step(self, x: np.ndarray, ax: np.ndarray, conv, rng: np.random.Generator) -> float:
+        """One step on one graph of features ``x`` and convolved features ``ax``; the loss before it."""
+        w = self.w
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         bx = conv(x[rng.permutation(len(x))])
         h = [np.maximum(y @ w[0], 0) for y in (ax, bx)]
-        ah = [conv(y) for y in h]
+        keep = [(rng.random(y.shape) >= self.dropout) / (1 - self.dropout) for y in h]
+        ah = [conv(y * d) for y, d in zip(h, keep, strict=True)]
         z = [y @ w[1] for y in ah]
         s = sigmoid(z[0].mean(0))
         u = w[2] @ s
@@ -269,40 +324,116 @@ def train_encoder(x: np.ndarray, a: np.ndarray, b: np.ndarray, hidden: int = 64,
         dz = [np.outer(d[0], u) + (ds * s * (1 - s))[None] / len(x), np.outer(d[1], u)]
         g = [np.zeros_like(p_) for p_ in w]
         g[2] = np.outer(du, s)
-        for y, hh, ahh, dd in ((ax, h[0], ah[0], dz[0]), (bx, h[1], ah[1], dz[1])):
+        for y, hh, kk, ahh, dd in ((ax, h[0], keep[0], ah[0], dz[0]), (bx, h[1], keep[1], ah[1], dz[1])):
             g[1] += ahh.T @ dd
-            g[0] += y.T @ (conv(dd @ w[1].T) * (hh > 0))
+            g[0] += y.T @ (conv(dd @ w[1].T) * kk * (hh > 0))
+        self.steps += 1
         for k in range(3):
-            grad = g[k] + decay * w[k]
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            v[k] = 0.999 * v[k] + 0.001 * grad * grad
-            w[k] = w[k] - rate * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.999**epoch)) + 1e-8)
-        since = 0 if loss < best * (1 - min_delta) else since + 1
-        best = min(best, loss)
-        if epoch >= min_epochs and since >= patience:
+            grad = g[k] + self.decay * w[k]
+            self.m[k] = 0.9 * self.m[k] + 0.1 * grad
+            self.v[k] = 0.999 * self.v[k] + 0.001 * grad * grad
+            w[k] = w[k] - self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.999**self.steps)) + 1e-8)
+        return loss
+
+
+class Stopper:
+    """Whether the mean loss has failed to improve for ``patience`` epochs, after ``min_epochs`` at least."""
+
+    def __init__(self, patience: int = 20, min_delta: float = 1e-4, min_epochs: int = 50):
+        self.patience, self.min_delta, self.min_epochs = patience, min_delta, min_epochs
+        self.best, self.since, self.epoch = np.inf, 0, 0
+
+    def done(self, loss: float) -> bool:
+        self.epoch += 1
+        better = not np.isfinite(self.best) or loss < self.best - self.min_delta * max(abs(self.best), 1.0)
+        self.best, self.since = (loss, 0) if better else (self.best, self.since + 1)
+        return self.epoch >= self.min_epochs and self.since >= self.patience
+
+
+Graph = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def train_on(encoder: Encoder, graphs: list[Graph], epochs: int, seed: int, stopper: Stopper | None = None) -> list[float]:
+    """Epochs over ``graphs`` (features, a, b) in random order, one graph a step; the mean loss of each epoch."""
+    rng = np.random.default_rng(seed)
+    ready = [(x, conv(x), conv) for x, a, b in graphs for conv in [_normalised(len(x), a, b)]]
+    out = []
+    for _ in range(epochs):
+        out.append(float(np.mean([encoder.step(*ready[i], rng) for i in rng.permutation(len(ready))])))
+        if stopper and stopper.done(out[-1]):
             break
-    return w
+    return out
+
+
+def train_encoder(x: np.ndarray, a: np.ndarray, b: np.ndarray, hidden: int = 64, out: int = 32, epochs: int = 300, patience: int = 20, min_delta: float = 1e-4, min_epochs: int = 50, seed: int = 0) -> list[np.ndarray]:
+    """The weights after training on one graph."""
+    encoder = Encoder(x.shape[1], hidden, out, seed=seed)
+    train_on(encoder, [(x, a, b)], epochs, seed, Stopper(patience, min_delta, min_epochs))
+    return encoder.w
+
+
+def _graphs(nodes: pd.DataFrame, links: pd.DataFrame) -> list[Graph]:
+    """One graph a sample, by sample_id."""
+    ends = dict(list(links.groupby("sample_id")))
+    out = []
+    for sample, own in nodes.sort_values(KEY, kind="stable").groupby("sample_id"):
+        ids, edges = own["cell_id"].to_numpy(np.int64), ends.get(sample, links.iloc[:0])
+        out.append((np.stack(own["features"].to_numpy()), np.searchsorted(ids, edges["a"]), np.searchsorted(ids, edges["b"])))
+    return out
 
 
-def encode(features: DataFrame, adj: DataFrame, epochs: int = 300, hidden: int = 64, out: int = 32, seed: int = 0, train_cells: int = TRAIN_CELLS) -> DataFrame:
-    """sample_id, cell_id, features: the encoder's embedding of each cell.
+def _round(shared, epochs: int, seed: int, stopper: Stopper | None):
+    """Training of one group's samples, as a function of the group's key, nodes and links."""
 
-    Whole samples, in order of their ids' hashes, up to ``train_cells`` cells (and one sample at least), train it on the driver;
-    every sample is then encoded in its own task.
+    def run(key: tuple, own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"n": [], "samples": [], "losses": [], "steps": [], "flat": []})
+        graphs, mine = _graphs(own, edges), copy.deepcopy(shared.value)
+        losses = train_on(mine, graphs, epochs, seed + int(key[0]), copy.deepcopy(stopper))
+        return pd.DataFrame({"n": [len(own)], "samples": [len(graphs)], "losses": [losses], "steps": [mine.steps], "flat": [mine.flat()]})
+
+    return run
+
+
+def fit_encoder(features: DataFrame, adj: DataFrame, epochs: int = 300, hidden: int = 64, out: int = 32, seed: int = 0, patience: int = 20, min_delta: float = 1e-4, min_epochs: int = 50, group_cells: int = GROUP_CELLS) -> Encoder:
+    """An encoder trained on every sample, one graph a step.
+
+    Samples are dealt by hash into groups of about ``group_cells`` cells, one task each. A group trains by itself for a round of
+    ``patience`` epochs from the common weights; then weights and moments are averaged by cells. One group is trained in one go. The
+    loss that stops training is the mean over all samples.
     """
-    sizes = features.groupBy("sample_id").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("sample_id"))
-    chosen, total = [], 0
-    for r in sizes.orderBy("h").limit(1000).collect():
-        if chosen and total + r["n"] > train_cells:
+    total = features.count()
+    groups = max(1, -(-total // group_cells))
+    number = F.pmod(F.xxhash64("sample_id"), F.lit(groups)).cast("int").alias("group")
+    nodes, links = staged(features.select(number, *KEY, "features"), "encoder-nodes"), staged(adj.select(number, "sample_id", "a", "b"), "encoder-links")
+    first = nodes.select(F.size("features").alias("n")).first()
+    encoder = Encoder(first["n"] if first else 0, hidden, out, seed=seed)
+    if first is None:
+        return encoder
+    stopper = Stopper(patience, min_delta, min_epochs)
+    spark, epoch = features.sparkSession, 0
+    while epoch < epochs:
+        span = epochs if groups == 1 else min(patience, epochs - epoch)
+        shared = spark.sparkContext.broadcast(encoder)
+        run = _round(shared, span, seed + 7919 * epoch, stopper if groups == 1 else None)
+        trained = nodes.groupBy("group").cogroup(links.groupBy("group")).applyInPandas(run, "n long, samples long, losses array<double>, steps long, flat array<double>")
+        trained = staged(trained, "encoder-round")
+        weighted = lambda column, by: trained.select(by, F.posexplode(column).alias("i", "x")).groupBy("i").agg((F.sum(F.col(by) * F.col("x")) / F.sum(by)).alias("x")).orderBy("i")
+        flat = weighted("flat", "n").toArrow().column("x").to_numpy()
+        losses = [r["x"] for r in weighted("losses", "samples").collect()]
+        encoder.load(flat, int(trained.agg(F.max("steps")).first()[0]))
+        discard(trained)
+        epoch += span
+        if any([stopper.done(x) for x in losses]):
             break
-        chosen.append(r["sample_id"])
-        total += r["n"]
-    nodes = features.where(F.col("sample_id").isin(chosen)).orderBy(*KEY).toPandas()
-    links = adj.where(F.col("sample_id").isin(chosen)).select("sample_id", "a", "b").toPandas()
-    place = {k: i for i, k in enumerate(zip(nodes["sample_id"], nodes["cell_id"], strict=True))}
-    ends = [np.array([place[k] for k in zip(links["sample_id"], links[c], strict=True)], np.int64) for c in ("a", "b")]
-    weights = train_encoder(np.stack(nodes["features"].to_numpy()), *ends, hidden=hidden, out=out, epochs=epochs, seed=seed)
-    shared = features.sparkSession.sparkContext.broadcast(weights)
+    discard(nodes, links)
+    return encoder
+
+
+def encode(features: DataFrame, adj: DataFrame, epochs: int = 300, hidden: int = 64, out: int = 32, seed: int = 0, group_cells: int = GROUP_CELLS, **stop: float) -> DataFrame:
+    """sample_id, cell_id, features: the embedding of each cell by :func:`fit_encoder`; every sample is encoded in its own task."""
+    encoder = fit_encoder(features, adj, epochs, hidden, out, seed, group_cells=group_cells, **stop)
+    shared = features.sparkSession.sparkContext.broadcast(encoder.w)
 
     def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("cell_id", kind="stable")

@@ -44,6 +44,18 @@ def khop_expression(cells: DataFrame, adj: DataFrame, expression: DataFrame, gen
     return dense.select("sample_id", F.col("a").alias("cell_id"), "hop", "gene", F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)).alias("value"))
 
 
+def khop_means(cells: DataFrame, adj: DataFrame, rows: DataFrame, k: int = 2) -> DataFrame:
+    """sample_id, cell_id, features: the mean vector of each exact ring, 0 to k, one after the other; empty rings are 0. rows: features."""
+    first = rows.select(F.size("features").alias("n")).first()
+    wide = first["n"] if first else 0
+    there = rows.select("sample_id", F.col("cell_id").alias("b"), *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(wide)])
+    means = graph.rings(cells, adj, k).join(there, ["sample_id", "b"]).groupBy("sample_id", "a", "hop").agg(F.count("*").alias("n"), *[F.avg(f"f{i}").alias(f"f{i}") for i in range(wide)])
+    packed = means.select("sample_id", "a", "hop", F.array(*[f"f{i}" for i in range(wide)]).alias("v")).groupBy("sample_id", "a").agg(F.map_from_entries(F.collect_list(F.struct("hop", "v"))).alias("by_hop"))
+    none = F.array_repeat(F.lit(0.0), wide)
+    blocks = [F.coalesce(F.element_at("by_hop", F.lit(hop)), none) for hop in range(k + 1)]
+    return packed.select("sample_id", F.col("a").alias("cell_id"), F.concat(*blocks).alias("features"))
+
+
 def vectors(long: DataFrame, name: str) -> DataFrame:
     """sample_id, cell_id, features: values in order of hop and ``name``."""
     packed = F.array_sort(F.collect_list(F.struct("hop", name, "value")))

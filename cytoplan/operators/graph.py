@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+import functools
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import delaunay, triangle_edges
+from ..sources.stage import staged
 
 EDGES = "sample_id long, src long, dst long, length double"
 TRIANGLES = "sample_id long, a long, b long, c long"
@@ -58,28 +59,29 @@ def neighbour_lists(adj: DataFrame) -> DataFrame:
 
 
 def rings(cells: DataFrame, adj: DataFrame, k: int) -> DataFrame:
-    """sample_id, a, b, hop: the exact number of hops from a to b, 0 to k, a itself at 0."""
-    pairs = cells.select("sample_id", F.col("cell_id").alias("a"), F.col("cell_id").alias("b"), F.lit(0).alias("hop"))
+    """sample_id, a, b, hop: the exact number of hops from a to b, 0 to k, a itself at 0.
+
+    Edges go both ways, so a neighbour of a cell at hop h lies at h - 1, h or h + 1: a new level is what the last one reaches less the
+    last two. Levels that later ones start from are staged.
+    """
+    same = ["sample_id", "a", "b"]
     step = adj.select("sample_id", F.col("a").alias("m"), F.col("b").alias("n"))
-    level = pairs
+    levels = [cells.select("sample_id", F.col("cell_id").alias("a"), F.col("cell_id").alias("b"))]
     for hop in range(1, k + 1):
-        # The last level's pairs move one edge on; the smallest hop of a pair wins.
-        level = level.where(F.col("hop") == hop - 1).select("sample_id", "a", F.col("b").alias("m")).join(step, ["sample_id", "m"]).select("sample_id", "a", F.col("n").alias("b"), F.lit(hop).alias("hop"))
-        pairs = pairs.unionAll(level).groupBy("sample_id", "a", "b").agg(F.min("hop").alias("hop"))
-        level = pairs
-    return pairs
+        if hop == 1:
+            new = cells.select("sample_id", F.col("cell_id").alias("a")).join(adj.select(*same), ["sample_id", "a"]).select(*same).distinct()
+        else:
+            new = levels[-1].withColumnRenamed("b", "m").join(step, ["sample_id", "m"]).select("sample_id", "a", F.col("n").alias("b")).distinct()
+            new = new.where("a <> b").join(levels[-1], same, "left_anti")
+            if hop > 2:
+                new = new.join(levels[-2], same, "left_anti")
+        levels.append(staged(new, "ring") if 1 < hop < k else new)
+    return functools.reduce(DataFrame.unionAll, [level.withColumn("hop", F.lit(hop)) for hop, level in enumerate(levels)])
 
 
 def khop(cells: DataFrame, adj: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of at most k hops, a itself included; k = 0 is a alone."""
-    pairs = cells.select("sample_id", F.col("cell_id").alias("a"), F.col("cell_id").alias("b"))
-    if k < 1:
-        return pairs
-    step = adj.select("sample_id", F.col("a").alias("m"), F.col("b").alias("n"))
-    near = pairs.unionAll(adj.select("sample_id", "a", "b"))
-    for _ in range(k - 1):
-        near = near.unionAll(near.withColumnRenamed("b", "m").join(step, ["sample_id", "m"]).select("sample_id", "a", F.col("n").alias("b"))).distinct()
-    return near if k > 1 else near.distinct()
+    return rings(cells, adj, max(0, k)).drop("hop")
 
 
 def _search(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarray:
@@ -115,28 +117,31 @@ def hops_to(cells: DataFrame, adj: DataFrame, source: str) -> DataFrame:
     return left.cogroup(adj.select("sample_id", "a", "b").groupBy("sample_id")).applyInPandas(run, "sample_id long, cell_id long, hops int")
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's component, by taking the smaller root over edges and jumping to roots of roots."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not (root[root] == root).all():
+            root = root[root]
+
+
 def components(members: DataFrame, adj: DataFrame) -> DataFrame:
     """sample_id, cell_id, component (its smallest cell_id) of the subgraph that ``members`` (sample_id, cell_id) induce."""
 
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(nodes["cell_id"].to_numpy(np.int64))
-        own = set(ids.tolist())
-        to: dict[int, list[int]] = {}
-        for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
-            if a in own and b in own:
-                to.setdefault(a, []).append(b)
-        label: dict[int, int] = {}
-        for i in ids.tolist():
-            if i in label:
-                continue
-            label[i] = i
-            queue = deque([i])
-            while queue:
-                for y in to.get(queue.popleft(), ()):
-                    if y not in label:
-                        label[y] = i
-                        queue.append(y)
-        return pd.DataFrame({"sample_id": nodes["sample_id"].iloc[0] if len(nodes) else 0, "cell_id": ids, "component": [label[i] for i in ids.tolist()]})
+        a, b = edges["a"].to_numpy(np.int64), edges["b"].to_numpy(np.int64)
+        if len(ids):
+            at, to = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b))
+            inside = (ids[at] == a) & (ids[to] == b)
+            root = _joined(len(ids), at[inside], to[inside])
+        return pd.DataFrame({"sample_id": nodes["sample_id"].iloc[0] if len(nodes) else 0, "cell_id": ids, "component": ids[root] if len(ids) else ids})
 
     return members.select("sample_id", "cell_id").distinct().groupBy("sample_id").cogroup(adj.select("sample_id", "a", "b").groupBy("sample_id")).applyInPandas(run, "sample_id long, cell_id long, component long")
 

@@ -1,4 +1,4 @@
-"""Niche regions: Voronoi cells capped to a radius, merged over Delaunay neighbours of one niche."""
+"""Niche regions: Voronoi cells capped to a radius, merged where cells of one niche share a boundary."""
 
 from __future__ import annotations
 
@@ -7,14 +7,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import polygon_area, voronoi_cell
+from ..functions.geometry import border_length, multipolygon_wkb, polygon_area, voronoi_cell
+from ..sources.stage import staged
 from . import graph
 
 KEY = ["sample_id", "cell_id"]
+#: Microns of common boundary that two cells must have more of to merge.
+BORDER = 0.5
+VORONOI = "sample_id long, cell_id long, area double, x array<double>, y array<double>, borders array<struct<b: long, length: double>>"
 
 
 def voronoi_cells(cells: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFrame:
-    """sample_id, cell_id, area, wkt of each cell's capped Voronoi polygon; edges are the unpruned Delaunay edges."""
+    """sample_id, cell_id, area, x, y (corners) and borders (neighbour and common boundary's length) of each cell's capped Voronoi polygon.
+
+    edges are the unpruned Delaunay edges. Only neighbours nearer than twice the radius can share a boundary within both disks.
+    """
 
     def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("cell_id", kind="stable")
@@ -25,24 +32,39 @@ def voronoi_cells(cells: DataFrame, edges: DataFrame, radius: float = 15.0) -> D
             near[x].append(y)
             near[y].append(x)
         shapes = [voronoi_cell(xy, i, np.array(near[i], int), radius) for i in range(len(ids))]
-        text = ["POLYGON ((" + ", ".join(f"{x:.3f} {y:.3f}" for x, y in [*s, s[0]]) + "))" if len(s) > 2 else "POLYGON EMPTY" for s in shapes]
-        return pd.DataFrame({"sample_id": nodes["sample_id"], "cell_id": ids, "area": [polygon_area(s) for s in shapes], "wkt": text})
+        borders = [[{"b": int(ids[j]), "length": border_length(shapes[i], xy[i], xy[j])} for j in near[i] if ((xy[i] - xy[j]) ** 2).sum() < 4 * radius * radius] for i in range(len(ids))]
+        return pd.DataFrame({"sample_id": nodes["sample_id"], "cell_id": ids, "area": [polygon_area(s) for s in shapes], "x": [s[:, 0] for s in shapes], "y": [s[:, 1] for s in shapes], "borders": borders})
 
-    return cells.select(*KEY, "x_um", "y_um").groupBy("sample_id").cogroup(edges.select("sample_id", "src", "dst").groupBy("sample_id")).applyInPandas(run, "sample_id long, cell_id long, area double, wkt string")
+    return cells.select(*KEY, "x_um", "y_um").groupBy("sample_id").cogroup(edges.select("sample_id", "src", "dst").groupBy("sample_id")).applyInPandas(run, VORONOI)
 
 
-def niche_regions(cells: DataFrame, labels: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFrame:
-    """sample_id, niche_id, region_id (smallest cell_id), n_cells, area, wkt (the members' polygons) of each merged region.
+def niche_regions(cells: DataFrame, labels: DataFrame, edges: DataFrame, radius: float = 15.0, border: float = BORDER) -> DataFrame:
+    """sample_id, niche_id, region_id (smallest cell_id), n_cells, area, wkt and wkb (the members' polygons) of each merged region.
 
-    Capped Voronoi cells have disjoint interiors, so a region's area is the sum of its members'. Cells merge over Delaunay edges
-    shorter than twice the radius, as only then the capped cells can touch.
+    Cells of one niche merge if their capped Voronoi cells have more than ``border`` microns of boundary in common. Such cells have
+    disjoint interiors, so a region's area is the sum of its members'.
     """
     known = labels.where("niche_id is not null").select(*KEY, "niche_id")
-    adj = graph.adjacency(graph.prune(edges, 2 * radius))
+    shapes = staged(voronoi_cells(cells, edges, radius), "voronoi")
+    touching = shapes.select("sample_id", F.col("cell_id").alias("a"), F.inline("borders")).where((F.col("a") < F.col("b")) & (F.col("length") > border))
     of = lambda end, name: known.select("sample_id", F.col("cell_id").alias(end), F.col("niche_id").alias(name))
-    same = adj.join(of("a", "x"), ["sample_id", "a"]).join(of("b", "y"), ["sample_id", "b"]).where("x = y").select("sample_id", "a", "b")
-    parts = graph.components(known, same)
-    rows = parts.join(known, KEY).join(voronoi_cells(cells, edges, radius), KEY)
-    out = rows.groupBy("sample_id", "niche_id", F.col("component").alias("region_id")).agg(F.count("*").alias("n_cells"), F.sum("area").alias("area"), F.array_sort(F.collect_list(F.struct("cell_id", "wkt"))).alias("m"))
-    member = F.transform("m", lambda c: F.regexp_replace(c["wkt"], "^POLYGON ", ""))
-    return out.select("sample_id", "niche_id", "region_id", "n_cells", "area", F.concat(F.lit("MULTIPOLYGON ("), F.array_join(member, ", "), F.lit(")")).alias("wkt"))
+    same = touching.join(of("a", "p"), ["sample_id", "a"]).join(of("b", "q"), ["sample_id", "b"]).where("p = q").select("sample_id", "a", "b")
+    both = same.unionAll(same.select("sample_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    parts = graph.components(known, both)
+    rows = parts.join(known, KEY).join(shapes.drop("borders"), KEY)
+    out = rows.groupBy("sample_id", "niche_id", F.col("component").alias("region_id")).agg(F.count("*").alias("n_cells"), F.sum("area").alias("area"), F.array_sort(F.collect_list(F.struct("cell_id", "x", "y"))).alias("m"))
+
+    def written(batches):
+        for pdf in batches:
+            polygons = [[np.stack([p["x"], p["y"]], 1) for p in m if len(p["x"]) > 2] for m in pdf.pop("m")]
+            ring = lambda p: "((" + ", ".join(f"{x:.3f} {y:.3f}" for x, y in [*p, p[0]]) + "))"
+            pdf["wkt"] = ["MULTIPOLYGON (" + ", ".join(map(ring, ps)) + ")" if ps else "MULTIPOLYGON EMPTY" for ps in polygons]
+            pdf["wkb"] = [multipolygon_wkb(ps) for ps in polygons]
+            yield pdf
+
+    return out.mapInPandas(written, "sample_id long, niche_id int, region_id long, n_cells long, area double, wkt string, wkb binary")
+
+
+def one_hot(rows: DataFrame, niches: int) -> DataFrame:
+    """Regions with a column niche_0, niche_1, ... for each niche, 1.0 for their own."""
+    return rows.withColumns({f"niche_{k}": (F.col("niche_id") == k).cast("double") for k in range(niches)})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import aggregates, axes, cci, cluster, features, graph, hplot, profile, regions
+from ..operators import components as components_of
 from ..sources import tables
 from ..sources.stage import staged
 from ..streaming.arrivals import stream_hplot
@@ -203,11 +204,11 @@ def kmeans_by_sample(w: World) -> DataFrame:
 
 
 def leiden_sweep(w: World) -> DataFrame:
-    return cluster.sweep(cluster.knn_graph(cluster.knn(w.table("embeddings"))), repeats=3)
+    return cluster.sweep(cluster.knn_graph(cluster.knn(w.table("embeddings"))))
 
 
 def dgi_embeddings(w: World) -> DataFrame:
-    return cluster.encode(w.cell_features(), w.adj, epochs=60)
+    return cluster.encode(w.cell_features(), w.adj)
 
 
 def winner_setting(w: World) -> DataFrame:
@@ -218,7 +219,14 @@ def winner_setting(w: World) -> DataFrame:
 
 
 def niche_regions(w: World) -> DataFrame:
-    return _six(regions.niche_regions(w.cells, w.labels(), w.edges), "area").drop("wkt")
+    out = regions.niche_regions(w.cells, w.labels(), w.edges)
+    return _six(out, "area").withColumn("wkb", F.length("wkb"))
+
+
+def niche_expression_pca(w: World) -> DataFrame:
+    scores = components_of.expression_components(w.cells, w.expression, 2)
+    rows = features.khop_means(w.cells, w.adj, scores, 2)
+    return rows.select("sample_id", "cell_id", F.transform("features", lambda x: F.round(x, 4) + F.lit(0.0)).alias("features"))
 
 
 def stale_samples(w: World) -> DataFrame:
@@ -293,6 +301,7 @@ QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "dgi_embeddings": dgi_embeddings,
     "winner_setting": winner_setting,
     "niche_regions": niche_regions,
+    "niche_expression_pca": niche_expression_pca,
     "stale_samples": stale_samples,
     "pending_samples": pending_samples,
 }

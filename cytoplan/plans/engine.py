@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import aggregates, axes, cci, cluster, features, graph, hplot, profile, regions
+from ..operators import components as components_of
 from ..sources import tables
+from ..sources.stage import discard, staged
 
 
 @dataclass
@@ -29,13 +33,32 @@ class HplotConfig:
     high: int | None = None
     covering_only: bool = False
 
+    def key(self) -> str:
+        """The partition of the curve's rows; the range is applied when they are read."""
+        return config_key(**{k: v for k, v in asdict(self).items() if k not in ("low", "high", "covering_only")})
+
 
 AXES = ("celltype", "gene", "aggregate", "cci", "niche", "gexniche", "hniche")
 STABLE, EXPERIMENTAL = ("ingest", "run", "niche", "niche-profile", "verify", "export", "describe"), ("hplot", "hplot-finalize", "agg", "cci")
 
 
+#: Columns whose change makes a sample's results stale.
+CONTENT = {"cells": ("cell_id", "x_um", "y_um", "cell_type"), "expression": ("cell_id", "gene", "value")}
+#: Results by the partition columns above sample_id.
+RESULTS = {"hplot": "config", "cci": "config", "niches": "family", "niche_regions": "family", "aggregates": "name"}
+
+
+def config_key(**settings: Any) -> str:
+    """A partition name for results that were made with ``settings``."""
+    return "c" + hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
 class Engine:
-    """Commands on the tables under ``root``: cells, expression, graph_edges, hplot, aggregates, cci, niches and profiles."""
+    """Commands on the tables under ``root``: cells, expression, graph_edges, hplot, aggregates, cci, niches and profiles.
+
+    Results lie in partitions by what they were made with (a configuration, a family of niches, a name of aggregates) and by sample.
+    A run replaces all that it has of the samples asked for; ingesting a sample anew whose rows differ deletes its results.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -44,40 +67,71 @@ class Engine:
         return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        rows = self.spark.read.parquet(self.path(name))
+        return rows.withColumn("sample_id", F.col("sample_id").cast("long"))  # a partition's name is read as an int
 
-    def has(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _done(self, name: str) -> DataFrame | None:
-        return self.read(name) if self.has(name) else None
+    def _files(self, path: str) -> tuple[Any, Any]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _todo(self, name: str, overwrite: bool) -> DataFrame:
+    def has(self, name: str) -> bool:
+        p, fs = self._files(self.path(name))
+        return fs.exists(p) and any(not f.getPath().getName().startswith("_") for f in fs.listStatus(p))
+
+    def _done(self, name: str, /, **within: str) -> DataFrame | None:
+        if not self.has(name):
+            return None
+        rows = self.read(name)
+        for key, value in within.items():
+            rows = rows.where(F.col(key) == value)
+        return rows
+
+    def _todo(self, name: str, overwrite: bool, **within: str) -> DataFrame:
         """Cells of samples that ``name`` has no rows of."""
         cells = self.read("cells")
-        wanted = tables.pending(cells.select("sample_id").distinct(), self._done(name), overwrite)
+        wanted = tables.pending(cells.select("sample_id").distinct(), self._done(name, **within), overwrite)
         return cells.join(wanted, "sample_id", "left_semi")
 
-    def _write(self, df: DataFrame, name: str) -> None:
-        """Replaces the partitions of the samples in ``df`` and no others."""
-        tables.write_result(df, self.path(name), overwrite=True)
+    def _write(self, df: DataFrame, table: str, samples: DataFrame, /, **within: str) -> None:
+        tables.replace_samples(df, self.path(table), samples, **within)
+
+    def _forget(self, samples: DataFrame) -> None:
+        """Delete the results of ``samples``."""
+        folders = []
+        for name in RESULTS:
+            p, fs = self._files(self.path(name))
+            if fs.exists(p):
+                folders += [f.getPath().toString() for f in fs.listStatus(p) if f.isDirectory()]
+        if folders:
+            for r in samples.select("sample_id").distinct().toLocalIterator():
+                for folder in folders:
+                    tables.delete_path(self.spark, f"{folder}/sample_id={r['sample_id']}")
 
     def ingest(self, cells: DataFrame, expression: DataFrame | None = None) -> None:
-        tables.write_result(cells.select(*tables.CELLS.names), self.path("cells"), overwrite=True)
-        if expression is not None:
-            tables.write_result(expression.select(*tables.EXPRESSION.names), self.path("expression"), overwrite=True)
+        for name, new, schema in (("cells", cells, tables.CELLS), ("expression", expression, tables.EXPRESSION)):
+            if new is None:
+                continue
+            new = new.select(*schema.names)
+            if self.has(name):
+                known = self.read(name).select("sample_id").distinct()
+                stored = tables.fingerprint(self.read(name), CONTENT[name]).withColumnRenamed("n_cells", "n")
+                changed = tables.fingerprint(new, CONTENT[name]).withColumnRenamed("n_cells", "n").join(stored, ["sample_id", "n", "checksum"], "left_anti")
+                self._forget(staged(changed.select("sample_id").join(known, "sample_id", "left_semi"), "changed"))
+            self._write(new, name, new)
 
     def edges(self) -> DataFrame:
         """Unpruned Delaunay edges, kept with a fingerprint of each sample's cells; only new or changed samples are triangulated."""
         cells = self.read("cells")
         stored = self._done("graph_fingerprint")
         stale = tables.stale_samples(cells, stored) if stored is not None else cells.select("sample_id").distinct()
-        fresh = cells.join(stale, "sample_id", "left_semi")
-        if not fresh.isEmpty():
-            self._write(graph.delaunay_edges(fresh), "graph_edges")
-            self._write(tables.fingerprint(fresh), "graph_fingerprint")
-        return self.read("graph_edges")
+        stale = staged(stale, "stale")
+        if not stale.isEmpty():
+            fresh = cells.join(F.broadcast(stale), "sample_id", "left_semi")
+            self._write(graph.delaunay_edges(fresh), "graph_edges", stale)
+            self._write(tables.fingerprint(fresh), "graph_fingerprint", stale)
+        if not self.has("graph_edges"):
+            return self.spark.createDataFrame([], graph.EDGES)
+        return self.read("graph_edges").select("sample_id", "src", "dst", "length")
 
     def _axis(self, by: str, names: list[str]) -> DataFrame:
         cells = self.read("cells")
@@ -88,22 +142,29 @@ class Engine:
         if by == "aggregate":
             return axes.by_aggregate(self.read("aggregates").where(F.col("name").isin(names)))
         if by == "cci":
-            return axes.by_cci(self.read("cci"), names[0])
+            return axes.by_cci(self._cci(), names[0].removeprefix("cci_"))
         if by in AXES:
             return axes.by_niche(self.read("niches").where(F.col("family") == by), [int(n.rsplit("_", 1)[-1]) for n in names])
         raise tables.ContractError(f"an axis is one of {AXES}")
 
     def hplot(self, cfg: HplotConfig, overwrite: bool = False) -> DataFrame:
-        cells = self._todo("hplot", overwrite)
-        edges = graph.prune(self.edges(), cfg.reach_um)
+        cells = self._todo("hplot", overwrite, config=cfg.key())
+        edges = graph.prune(self.edges(), cfg.reach_um).join(cells.select("sample_id").distinct(), "sample_id", "left_semi")
         flags = axes.flagged(cells, self._axis(cfg.base_by, cfg.base), self._axis(cfg.target_by, cfg.target), cfg.base_threshold)
-        self._write(hplot.hplot(cells, flags, edges, cfg.k, cfg.n, cfg.r), "hplot")
+        self._write(hplot.hplot(cells, flags, edges, cfg.k, cfg.n, cfg.r), "hplot", cells, config=cfg.key())
         return self.finalize(cfg)
 
     def finalize(self, cfg: HplotConfig | None = None) -> DataFrame:
-        """The summary of all samples: layers without gaps, within the range."""
+        """The summary of all samples: layers without gaps, within the range. Without ``cfg``, of all configurations."""
+        rows = self._done("hplot", **({"config": cfg.key()} if cfg else {}))
+        if rows is None:
+            raise tables.MissingKeyError("there is no result to summarise; run hplot first")
         cfg = cfg or HplotConfig()
-        return hplot.gap_filled(hplot.in_range(self.read("hplot"), cfg.low, cfg.high, cfg.covering_only)).withColumn("distance", F.col("distance_um"))
+        parts = [rows.where(F.col("config") == r[0]).drop("config") for r in rows.select("config").distinct().orderBy("config").collect()]
+        if not parts:
+            parts = [rows.drop("config")]
+        out = [hplot.gap_filled(hplot.in_range(p, cfg.low, cfg.high, cfg.covering_only)).withColumn("distance", F.col("distance_um")) for p in parts]
+        return functools.reduce(DataFrame.unionByName, out)
 
     def run(self, cells: DataFrame, cfg: HplotConfig, expression: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
         self.ingest(cells, expression)
@@ -114,62 +175,91 @@ class Engine:
         aggregates.check_name(name, L.vocabulary(cells))
         adj = graph.adjacency(graph.prune(self.edges(), reach_um))
         base = axes.by_celltype(cells, types)
-        members = aggregates.membership(cells, axes.flagged(cells, base, base), adj, k, n, r, min_size).withColumn("name", F.lit(name))
-        old = self._done("aggregates")
-        if old is not None:
-            members = members.unionByName(old.where(F.col("name") != name).select(*members.columns))
-        members.write.mode("overwrite").parquet(self.path("aggregates_new"))
-        self._swap("aggregates_new", "aggregates")
+        members = aggregates.membership(cells, axes.flagged(cells, base, base), adj, k, n, r, min_size)
+        self._write(members, "aggregates", cells, name=name)
         return aggregates.features(cells, self.read("aggregates").where(F.col("name") == name))
 
-    def _swap(self, new: str, name: str) -> None:
-        conf = self.spark._jsc.hadoopConfiguration()
-        make = self.spark._jvm.org.apache.hadoop.fs.Path
-        source, target = make(self.path(new)), make(self.path(name))
-        fs = source.getFileSystem(conf)
-        fs.delete(target, True)
-        fs.rename(source, target)
-
-    def cci(self, pairs: DataFrame, kernel: str = "exponential", scale: float = 25.0, d_max: float = 25.0, overwrite: bool = False) -> DataFrame:
-        cells = self._todo("cci", overwrite)
-        adj = graph.adjacency(graph.prune(self.edges(), d_max))
-        self._write(cci.scores(cells, adj, self.read("expression"), pairs, kernel, scale), "cci")
-        return cci.summary(self.read("cci"))
-
-    def niche(self, family: str = "niche", clusters: int | None = None, k_hops: int = 2, reach_um: float = 25.0, mode: str = "celltype", genes: list[str] | None = None, components: int = 50, batch_correct: str = "none", epochs: int = 300, with_regions: bool = False) -> DataFrame:
-        """Neighbourhood features, encoder, correction, clustering and labels; null for isolated cells."""
+    def _cci(self, key: str | None = None) -> DataFrame:
+        """Scores of one configuration, by default the one that was run last."""
+        p, fs = self._files(self.path("cci"))
+        if key is None:
+            if not self.has("cci"):
+                raise tables.MissingKeyError("there are no interaction scores; run cci first")
+            key = max((f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(p) if f.isDirectory())[1].split("=", 1)[1]
+        return self._done("cci", config=key).drop("config")
+
+    def cci(self, pairs: DataFrame, kernel: str = "exponential", scale: float = 25.0, d_max: float = 25.0, overwrite: bool = False, genes: list[str] | None = None) -> DataFrame:
+        """Scores that are not zero are kept; the summary counts all cells."""
+        listed = sorted(map(tuple, pairs.select("ligand", "receptor").collect()))
+        key = config_key(pairs=listed, kernel=kernel, scale=scale, d_max=d_max, genes=genes)
+        cells = self._todo("cci", overwrite, config=key)
+        edges = graph.prune(self.edges(), d_max).join(cells.select("sample_id").distinct(), "sample_id", "left_semi")
+        known = cci.panel_pairs(pairs, self.read("expression"), genes)
+        self._write(cci.scores(cells, graph.adjacency(edges), self.read("expression"), known, kernel, scale, dense=False), "cci", cells, config=key)
+        return cci.summary_of(self._cci(key), self.read("cells"), known)
+
+    def niche(
+        self,
+        family: str = "niche",
+        clusters: int | None = None,
+        k_hops: int = 2,
+        reach_um: float = 25.0,
+        mode: str = "celltype",
+        genes: list[str] | None = None,
+        components: int = 50,
+        batch_correct: str = "none",
+        epochs: int = 300,
+        with_regions: bool = False,
+        probabilities: DataFrame | None = None,
+        scope: str = "cohort",
+        patience: int = 20,
+        min_delta: float = 1e-4,
+        min_epochs: int = 50,
+        region_radius: float = 15.0,
+    ) -> DataFrame:
+        """Neighbourhood features, encoder, correction, clustering and labels; null for isolated cells.
+
+        ``probabilities`` (sample_id, cell_id, cell_type, p) make the composition soft. Expression enters by ``components`` principal
+        components of each cell, averaged over hops; 0 takes the genes themselves.
+        """
         cells = self.read("cells")
         edges = self.edges()
-        adj = graph.adjacency(graph.prune(edges, reach_um))
+        adj = staged(graph.adjacency(graph.prune(edges, reach_um)), "adjacency")
         parts = []
         if mode in ("celltype", "both"):
-            parts.append(features.vectors(features.khop_composition(cells, adj, features.hard_probabilities(cells), L.vocabulary(cells), k_hops), "cell_type"))
+            p = features.hard_probabilities(cells) if probabilities is None else probabilities
+            parts.append(features.vectors(features.khop_composition(cells, adj, p, L.vocabulary(cells), k_hops), "cell_type"))
         if mode in ("expression", "both"):
-            expression = self.read("expression")
-            genes = genes or sorted(r[0] for r in expression.select("gene").distinct().limit(100_000).collect())
-            rows = features.vectors(features.khop_expression(cells, adj, expression, genes, k_hops), "gene")
-            parts.append(cluster.principal_components(rows, components) if components else rows)
+            expression = self.read("expression") if genes is None else tables.select_genes(self.read("expression"), genes)
+            if components:
+                parts.append(features.khop_means(cells, adj, components_of.expression_components(cells, expression, components), k_hops))
+            else:
+                parts.append(features.vectors(features.khop_expression(cells, adj, expression, genes or sorted(r[0] for r in expression.select("gene").distinct().collect()), k_hops), "gene"))
         if not parts:
             raise tables.ContractError("mode is celltype, expression or both")
         rows = parts[0] if len(parts) == 1 else features.concatenated(*parts)
-        rows = cluster.encode(graph.connected(rows, adj), adj, epochs=epochs)
+        rows = cluster.encode(graph.connected(rows, adj), adj, epochs=epochs, patience=patience, min_delta=min_delta, min_epochs=min_epochs)
         if batch_correct == "center":
             rows = cluster.centred(rows)
         elif batch_correct != "none":
             raise tables.ContractError("batch_correct is none or center")
-        rows = rows.persist()
+        rows = staged(rows, "embeddings")
         if clusters:
-            found = cluster.kmeans(rows, clusters)
+            found = cluster.kmeans(rows, clusters, scope=scope)
         else:
             keyed = rows.withColumn("vec_id", F.xxhash64("sample_id", "cell_id"))
-            swept = cluster.sweep(cluster.knn_graph(cluster.knn(keyed, column="features")))
-            best = cluster.winner(swept.select("resolution", "stability", "modularity", "min_frac", F.lit(0.0).alias("silhouette")).distinct())
-            found = swept.join(F.broadcast(best.select("resolution")), "resolution").select(F.col("node").alias("vec_id"), "niche_id").join(keyed, "vec_id").select("sample_id", "cell_id", "niche_id")
-        labels = cluster.labelled(cells, adj, found).withColumn("family", F.lit(family))
-        self._write(labels, "niches")
+            swept = staged(cluster.sweep(cluster.knn_graph(cluster.knn(keyed, column="features"))), "sweep")
+            named = swept.select("resolution", F.col("node").alias("vec_id"), "niche_id").join(keyed.select("vec_id", "sample_id", "cell_id"), "vec_id")
+            settings = swept.select("resolution", "stability", "modularity", "min_frac").distinct().collect()
+            scores = [(*s, cluster.silhouette(rows, named.where(F.col("resolution") == s["resolution"]))) for s in settings]
+            best = cluster.winner(self.spark.createDataFrame(scores, "resolution double, stability double, modularity double, min_frac double, silhouette double")).first()
+            found = named.where(F.col("resolution") == best["resolution"]).select("sample_id", "cell_id", "niche_id")
+        labels = staged(cluster.labelled(cells, adj, found), "labels")
+        self._write(labels, "niches", cells, family=family)
         if with_regions:
-            self._write(regions.niche_regions(cells, labels, edges), "niche_regions")
-        return self.read("niches")
+            self._write(regions.niche_regions(cells, labels, edges, region_radius), "niche_regions", cells, family=family)
+        discard(adj, rows, labels)
+        return self.read("niches").where(F.col("family") == family)
 
     def niche_profile(self, family: str = "niche", other: str | None = None, top_genes: int = 10) -> dict[str, DataFrame]:
         labels = self.read("niches").where(F.col("family") == family)
@@ -184,6 +274,12 @@ class Engine:
     def verify(self) -> DataFrame:
         return profile.verify(self.read("cells"))
 
+    def missing_genes(self, genes: list[str]) -> DataFrame:
+        """sample_id and gene of each asked gene that a sample's expression lacks."""
+        asked = self.spark.createDataFrame([(g,) for g in genes], "gene string").withColumn("key", L.sanitise("gene"))
+        have = self.read("expression").select("sample_id", L.sanitise("gene").alias("key")).distinct()
+        return self.read("cells").select("sample_id").distinct().join(F.broadcast(asked)).join(have, ["sample_id", "key"], "left_anti").select("sample_id", "gene")
+
     def export(self) -> str:
         if not self.has("hplot"):
             raise tables.MissingKeyError("there is no result to export; run hplot first")

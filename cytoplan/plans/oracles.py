@@ -97,6 +97,13 @@ _PARTS |= {
         ["parts", "blobs", "cells"],
         "SELECT c.sample_id, c.cell_id, CAST(b.aggregate_id AS INT) AS aggregate_id FROM cells c LEFT JOIN parts p ON p.sample_id = c.sample_id AND p.cell_id = c.cell_id LEFT JOIN blobs b ON b.sample_id = p.sample_id AND b.component = p.component",
     ),
+    "inside": (["members", "cells"], "SELECT m.sample_id, m.aggregate_id, c.cell_id, c.x_um AS x, c.y_um AS y FROM members m JOIN cells c ON c.sample_id = m.sample_id AND c.cell_id = m.cell_id WHERE m.aggregate_id IS NOT NULL"),
+    # A side of the hull has no other member on its right.
+    "hull": (
+        ["inside"],
+        """SELECT p.sample_id, p.aggregate_id, sum(p.x * q.y - q.x * p.y) / 2 AS area FROM inside p JOIN inside q ON p.sample_id = q.sample_id AND p.aggregate_id = q.aggregate_id AND p.cell_id <> q.cell_id
+WHERE NOT EXISTS (SELECT 1 FROM inside r WHERE r.sample_id = p.sample_id AND r.aggregate_id = p.aggregate_id AND (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < -1e-9) GROUP BY 1, 2""",
+    ),
     "pairs": ([], "SELECT * FROM (VALUES ('LIG', 'REC'), ('REC', 'HLA-A')) t(ligand, receptor)"),
 }
 
@@ -193,6 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "agg_membership": build("SELECT * FROM members", ["members"]),
         "agg_composition": build("SELECT g.sample_id, g.aggregate_id, g.cell_type, round(coalesce(k, 0) / n, 6) AS frac FROM (SELECT m.sample_id, m.aggregate_id, t.cell_type, count(DISTINCT m.cell_id) AS n FROM members m JOIN (SELECT DISTINCT sample_id, cell_type FROM cells) t ON t.sample_id = m.sample_id WHERE aggregate_id IS NOT NULL GROUP BY 1, 2, 3) g LEFT JOIN (SELECT m.sample_id, aggregate_id, cell_type, count(*) AS k FROM members m JOIN cells c ON c.sample_id = m.sample_id AND c.cell_id = m.cell_id WHERE aggregate_id IS NOT NULL GROUP BY 1, 2, 3) o ON o.sample_id = g.sample_id AND o.aggregate_id = g.aggregate_id AND o.cell_type = g.cell_type", ["members"]),
         "agg_super_nodes": build("SELECT m.sample_id, aggregate_id, count(*) AS n_cells, round(avg(x_um), 6) AS x_um, round(avg(y_um), 6) AS y_um FROM members m JOIN cells c ON c.sample_id = m.sample_id AND c.cell_id = m.cell_id WHERE aggregate_id IS NOT NULL GROUP BY 1, 2", ["members"]),
+        "agg_features": build("SELECT i.sample_id, i.aggregate_id, count(*) AS n_cells, round_even(avg(x), 0) AS center_x_um, round_even(avg(y), 0) AS center_y_um, round(any_value(area), 6) AS area_um2 FROM inside i JOIN hull h ON h.sample_id = i.sample_id AND h.aggregate_id = i.aggregate_id GROUP BY 1, 2", ["inside", "hull"]),
         "quotient_edges": build("SELECT e.sample_id, least(x.niche_id, y.niche_id) AS lo, greatest(x.niche_id, y.niche_id) AS hi, count(*) AS n_edges FROM pruned e JOIN labels_a x ON x.sample_id = e.sample_id AND x.cell_id = e.src JOIN labels_a y ON y.sample_id = e.sample_id AND y.cell_id = e.dst WHERE x.niche_id <> y.niche_id GROUP BY 1, 2, 3", ["pruned", "labels_a"]),
         **{f"cci_{k}": build(scored, ["scored"], kernel=k) for k in ("exponential", "gaussian", "binary")},
         "cci_summary": build("SELECT sample_id, ligand, receptor, direction, aggregation, count(*) AS n_cells, round(avg(v), 6) AS mean, round(avg(CAST(v > 0 AS INT)), 6) AS frac_pos FROM (" + " UNION ALL ".join(f"SELECT sample_id, ligand, receptor, '{d}' AS direction, '{a}' AS aggregation, {d}_{a} AS v FROM scored" for d in ("out", "in") for a in ("mean", "sum")) + ") GROUP BY 1, 2, 3, 4, 5", ["scored"]),

@@ -11,9 +11,14 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, which executors share; a temporary folder where that is unset (tests)."""
+    """A new path under ``spark.checkpoint.dir``, which executors share.
+
+    Where that is unset a temporary folder does in local mode only: on a cluster each machine would see its own, and rows be lost.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="cytoplan-"))
         base = _own[0]
@@ -24,4 +29,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` by way of Parquet: later plans start from a scan, and a lost executor costs no recomputation."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of staged frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "staged_at", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

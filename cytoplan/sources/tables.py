@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import sanitise
+from .stage import discard, staged
 
 CELLS = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("cell_id", T.LongType()), T.StructField("x_um", T.DoubleType()), T.StructField("y_um", T.DoubleType()), T.StructField("cell_type", T.StringType())])
 EXPRESSION = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("cell_id", T.LongType()), T.StructField("gene", T.StringType()), T.StructField("value", T.DoubleType())])
@@ -41,6 +42,27 @@ def write_result(df: DataFrame, path: str, format: str = "parquet", by_sample: b
     writer.save(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def replace_samples(df: DataFrame, path: str, samples: DataFrame, /, **within: str) -> None:
+    """Write ``df`` in place of all that ``path`` has of ``samples``, also of those without rows in ``df``.
+
+    ``within`` names partition columns above ``sample_id`` and their values; other partitions stay. The rows are staged first, so a
+    failure on the way leaves old rows or none of a sample, never both, and :func:`pending` asks for it again.
+    """
+    for name, value in within.items():
+        df = df.withColumn(name, F.lit(value))
+    rows = staged(df, "results")
+    folder = "/".join([path, *[f"{k}={v}" for k, v in within.items()]])
+    for r in samples.select("sample_id").distinct().toLocalIterator():
+        delete_path(df.sparkSession, f"{folder}/sample_id={r['sample_id']}")
+    rows.write.mode("append").partitionBy(*within, "sample_id").parquet(path)
+    discard(rows)
+
+
 def pending(samples: DataFrame, done: DataFrame | None, overwrite: bool = False) -> DataFrame:
     """Samples that have no result yet, or all with ``overwrite``."""
     return samples if overwrite or done is None else samples.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
@@ -88,6 +110,15 @@ def select_layer(expression: DataFrame, layer: str = "X") -> DataFrame:
     return expression.where(F.col("layer") == name).drop("layer")
 
 
+def apply_storage_options(spark: SparkSession, name: str) -> list[str]:
+    """Set the options that the environment variable ``name`` holds in the session's Hadoop configuration; the keys set."""
+    conf = spark._jsc.hadoopConfiguration()
+    options = storage_options(name)
+    for key, value in options.items():
+        conf.set(str(key), str(value))
+    return sorted(options)
+
+
 def storage_options(name: str) -> dict:
     """Options of an object store from a JSON environment variable."""
     import json
@@ -133,9 +164,9 @@ def select_genes(expression: DataFrame, genes: list[str]) -> DataFrame:
     return expression.withColumn("key", sanitise("gene")).join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi").drop("key")
 
 
-def fingerprint(cells: DataFrame) -> DataFrame:
-    """Number of cells and an order-free checksum of the centres of each sample: tells whether a stored graph is stale."""
-    row = F.xxhash64("cell_id", "x_um", "y_um").cast("decimal(38,0)")
+def fingerprint(cells: DataFrame, columns: tuple[str, ...] = ("cell_id", "x_um", "y_um")) -> DataFrame:
+    """Number of rows and an order-free checksum of ``columns`` of each sample: tells whether a stored graph or result is stale."""
+    row = F.xxhash64(*columns).cast("decimal(38,0)")
     return cells.groupBy("sample_id").agg(F.count("*").alias("n_cells"), F.sum(row).cast("string").alias("checksum"))
 
 

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import axes, graph, hplot
-from ..sources.stage import folder, staged
-from ..sources.tables import CELLS
+from ..sources.stage import discard, folder, staged
+from ..sources.tables import CELLS, replace_samples
 
 
 def follow(spark: SparkSession, source: str, out: str, base_types: list[str], target_types: list[str], reach: float = 25.0, checkpoint: str | None = None, once: bool = True):
     """Start a query that reads cells from new files under ``source`` and writes the curves of their samples under ``out``.
 
-    A file holds whole samples; a sample that arrives again replaces its curve. With ``once`` it takes what is there and ends.
+    A file holds whole samples; a sample that arrives again replaces its curve, also if it has none any more. With ``once`` it takes what is there and ends.
     """
 
     def each(batch: DataFrame, _: int) -> None:
         flags = axes.flagged(batch, axes.by_celltype(batch, base_types), axes.by_celltype(batch, target_types))
-        curve = hplot.hplot(batch, flags, graph.prune(staged(graph.delaunay_edges(batch), "edges"), reach))
-        curve.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(out)
+        edges = staged(graph.delaunay_edges(batch), "edges")
+        replace_samples(hplot.hplot(batch, flags, graph.prune(edges, reach)), out, batch)
+        discard(edges)
 
     stream = spark.readStream.schema(CELLS).parquet(source).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or folder(spark, "stream-state"))
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="30 seconds")).start()
