@@ -69,6 +69,11 @@ def type_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("sample_id", "cell_type").agg(F.count("*").alias("n_cells"))
 
 
+def most_common_types(cells: DataFrame) -> DataFrame:
+    """Cells of each type over all samples, the commonest first, ties by name."""
+    return cells.groupBy("cell_type").agg(F.count("*").alias("n_cells"), F.countDistinct("sample_id").alias("n_samples")).orderBy(F.desc("n_cells"), F.col("cell_type"))
+
+
 def verify(cells: DataFrame) -> DataFrame:
     """One row for each sample: cells, types, cells without a type or place, and whether the sample is usable."""
     return cells.groupBy("sample_id").agg(

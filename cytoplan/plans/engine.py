@@ -15,6 +15,7 @@ from ..functions import labels as L
 from ..operators import aggregates, axes, cci, cluster, features, graph, hplot, profile, regions
 from ..operators import components as components_of
 from ..sources import tables
+from ..sources.samples import resolved
 from ..sources.stage import discard, staged
 
 
@@ -140,9 +141,11 @@ class Engine:
         if by == "gene":
             return axes.by_gene(tables.select_genes(self.read("expression"), names), names)
         if by == "aggregate":
-            return axes.by_aggregate(self.read("aggregates").where(F.col("name").isin(names)))
+            known = [r[0] for r in self.read("aggregates").select("name").distinct().collect()]
+            return axes.by_aggregate(self.read("aggregates").where(F.col("name").isin(resolved(self.spark, known, names))))
         if by == "cci":
-            return axes.by_cci(self._cci(), names[0].removeprefix("cci_"))
+            scores = self._cci()
+            return axes.by_cci(scores, resolved(self.spark, [c for c in scores.columns if c.startswith(("out_", "in_"))], names[:1], "cci_")[0])
         if by in AXES:
             return axes.by_niche(self.read("niches").where(F.col("family") == by), [int(n.rsplit("_", 1)[-1]) for n in names])
         raise tables.ContractError(f"an axis is one of {AXES}")
