@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import delaunay, triangle_edges
 from ..sources.stage import staged
+from . import tiling
 
 EDGES = "sample_id long, src long, dst long, length double"
 TRIANGLES = "sample_id long, a long, b long, c long"
@@ -25,22 +26,32 @@ def _sample_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0] if len(pdf) else 0, "src": np.minimum(a, b), "dst": np.maximum(a, b), "length": np.sqrt((d * d).sum(1))})
 
 
-def delaunay_edges(cells: DataFrame) -> DataFrame:
+def delaunay_edges(cells: DataFrame, whole: int = tiling.WHOLE_CELLS) -> DataFrame:
     """Each undirected Delaunay edge once, src < dst, with its length in microns. Cells without coordinates are left out.
 
-    A sample is triangulated as a whole: an edge's circle may reach across it, so tiles would not be exact.
+    Samples of more than ``whole`` cells are triangulated in tiles, see :mod:`tiling`.
     """
     rows = cells.select("sample_id", "cell_id", "x_um", "y_um").where("x_um is not null and y_um is not null")
-    return rows.groupBy("sample_id").applyInPandas(_sample_edges, EDGES)
+    rows, sides = tiling.split(rows, whole)
+    edges = rows.groupBy("sample_id").applyInPandas(_sample_edges, EDGES)
+    if sides is None:
+        return edges
+    return edges.union(sides.groupBy("sample_id", "src", "dst").agg(F.min("length").alias("length")))
 
 
-def delaunay_triangles(cells: DataFrame) -> DataFrame:
+def delaunay_triangles(cells: DataFrame, whole: int = tiling.WHOLE_CELLS) -> DataFrame:
+    """Each Delaunay triangle once, a < b < c; see :func:`delaunay_edges`."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id", kind="stable")
         t = np.sort(pdf["cell_id"].to_numpy(np.int64)[delaunay(pdf[["x_um", "y_um"]].to_numpy(float))], axis=1)
         return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "a": t[:, 0], "b": t[:, 1], "c": t[:, 2]})
 
-    return cells.select("sample_id", "cell_id", "x_um", "y_um").groupBy("sample_id").applyInPandas(run, TRIANGLES)
+    rows, sides = tiling.split(cells.select("sample_id", "cell_id", "x_um", "y_um").where("x_um is not null and y_um is not null"), whole)
+    triangles = rows.groupBy("sample_id").applyInPandas(run, TRIANGLES)
+    if sides is None:
+        return triangles
+    return triangles.union(sides.where("w > dst").select("sample_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("c")))
 
 
 def prune(edges: DataFrame, most: float) -> DataFrame:
