@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, with production parameters."""
+"""The twelve operators as queries over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, packing, quality, rans, secrets, simhash, suffix, tokens, toxicity
+from . import align, chat, decontam, licenses, packing, quality, rans, secrets, simhash, suffix, tokens, toxicity, urls
 from .common import read_table, work_dir
 
 
@@ -56,6 +56,14 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_url_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op12_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(read_table(spark, sf_dir, "documents")).drop("groups")
+
+
 #: Every query, in the order of the operators' numbers.
 QUERIES = (
     op1_chat_perspectives,
@@ -68,6 +76,8 @@ QUERIES = (
     op8_suffix_repeats,
     op9_crf_secrets,
     op10_ordinal_toxicity,
+    op11_url_patterns,
+    op12_segment_alignment,
 )
 
 
@@ -76,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_perspectives": chat.PERSPECTIVES_SQL, "op3_license_dice": licenses.scan_sql()}
+    return {"op1_chat_perspectives": chat.PERSPECTIVES_SQL, "op3_license_dice": licenses.scan_sql(), "op11_url_patterns": urls.judge_sql()}
