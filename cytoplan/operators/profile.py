@@ -43,6 +43,20 @@ def markers(labels: DataFrame, expression: DataFrame, n: int | None = None, epsi
     return top(table, "niche_id", "gene", "log2_enrichment", n or (1 << 30))
 
 
+def enriched(sums: DataFrame, counts: DataFrame, groups: list[str], name: str, epsilon: float = 1e-6) -> DataFrame:
+    """Mean and log2 enrichment of what occurs in a group at all: ``groups``, ``name``, s, n, mean_value, log2_enrichment.
+
+    sums: ``groups``, ``name``, s (sum of values); counts: ``groups``, n (members). Both may come from partial sums of earlier runs. The
+    same numbers as :func:`markers` without its rows of zeros, so names may be as many as words.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    overall = sums.groupBy(name).agg(F.sum("s").alias("all"))
+    same = [F.col(f"x.{g}").eqNullSafe(F.col(f"y.{g}")) for g in groups]
+    rows = sums.alias("x").join(counts.alias("y"), same).select("x.*", "y.n").join(overall, name)
+    mean = F.col("s") / F.col("n")
+    return rows.select(*groups, name, "s", "n", mean.alias("mean_value"), F.log2((mean + epsilon) / (F.col("all") / F.lit(total) + epsilon)).alias("log2_enrichment"))
+
+
 def crosstab(a: DataFrame, b: DataFrame) -> DataFrame:
     """niche_a, niche_b, n_cells over cells that both label."""
     x = a.where("niche_id is not null").select(*KEY, F.col("niche_id").alias("niche_a"))

@@ -98,11 +98,13 @@ _PARTS |= {
         "SELECT c.sample_id, c.cell_id, CAST(b.aggregate_id AS INT) AS aggregate_id FROM cells c LEFT JOIN parts p ON p.sample_id = c.sample_id AND p.cell_id = c.cell_id LEFT JOIN blobs b ON b.sample_id = p.sample_id AND b.component = p.component",
     ),
     "inside": (["members", "cells"], "SELECT m.sample_id, m.aggregate_id, c.cell_id, c.x_um AS x, c.y_um AS y FROM members m JOIN cells c ON c.sample_id = m.sample_id AND c.cell_id = m.cell_id WHERE m.aggregate_id IS NOT NULL"),
-    # A side of the hull has no other member on its right.
+    # A side of the hull has no other member on its right, nor one on its line beyond its ends.
     "hull": (
         ["inside"],
         """SELECT p.sample_id, p.aggregate_id, sum(p.x * q.y - q.x * p.y) / 2 AS area FROM inside p JOIN inside q ON p.sample_id = q.sample_id AND p.aggregate_id = q.aggregate_id AND p.cell_id <> q.cell_id
-WHERE NOT EXISTS (SELECT 1 FROM inside r WHERE r.sample_id = p.sample_id AND r.aggregate_id = p.aggregate_id AND (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < -1e-9) GROUP BY 1, 2""",
+WHERE NOT EXISTS (SELECT 1 FROM inside r WHERE r.sample_id = p.sample_id AND r.aggregate_id = p.aggregate_id AND (
+  (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < -1e-9
+  OR (abs((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) <= 1e-9 AND ((q.x - p.x) * (r.x - q.x) + (q.y - p.y) * (r.y - q.y) > 1e-9 OR (q.x - p.x) * (p.x - r.x) + (q.y - p.y) * (p.y - r.y) > 1e-9)))) GROUP BY 1, 2""",
     ),
     "pairs": ([], "SELECT * FROM (VALUES ('LIG', 'REC'), ('REC', 'HLA-A')) t(ligand, receptor)"),
 }
