@@ -180,24 +180,97 @@ def clip_half_plane(polygon: np.ndarray, point: np.ndarray, normal: np.ndarray)
     return both.reshape(-1, 2)[np.stack([d <= 0, crosses], 1).ravel()]
 
 
-def voronoi_cell(points: np.ndarray, i: int, neighbours: np.ndarray, radius: float, corners: int = 256) -> np.ndarray:
-    """Voronoi cell of point i cut to a disk: a regular polygon clipped by the bisectors to its Delaunay neighbours."""
+def _centre_of(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Circumcentres of triples (columns); the same bits in whatever order a triple comes."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    (ax, bx, cx), (ay, by, cy) = (np.take_along_axis(v, order, 1).T for v in (x, y))
+    bx, by, cx, cy = bx - ax, by - ay, cx - ax, cy - ay
+    b2, c2, d = bx * bx + by * by, cx * cx + cy * cy, 2 * (bx * cy - by * cx)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return ax + (cy * b2 - by * c2) / d, ay + (bx * c2 - cx * b2) / d
+
+
+def capped_cells(ids: np.ndarray, xy: np.ndarray, first: np.ndarray, near: np.ndarray, near_xy: np.ndarray, radius: float, corners: int = 256) -> tuple[list[np.ndarray], np.ndarray]:
+    """Voronoi cells cut to disks: the corners of each, turning left, and the length of the boundary with each neighbour.
+
+    ``first[i]`` is the first of cell i's neighbours in ``near`` (ids) and ``near_xy``; they are its Delaunay neighbours, of which those
+    nearer than twice the radius count. A cell's side with a neighbour lies on their bisector between the bisectors of the others and the
+    disk, which is a computation on the line; so all sides of a batch are found at once. Corners are computed from the ids in order:
+    cells that share one have the same bits. Arcs have the corners of a regular polygon.
+    """
+    n, count = len(ids), np.diff(first)
+    out, length = [np.zeros((0, 2))] * n, np.zeros(len(near))
     turn = np.arange(corners) * 2 * np.pi / corners
-    cell = points[i] + radius * np.stack([np.cos(turn), np.sin(turn)], 1)
-    for j in neighbours:
-        cell = clip_half_plane(cell, (points[i] + points[j]) / 2, points[j] - points[i])
-    return cell
+    circle = radius * np.stack([np.cos(turn), np.sin(turn)], 1)
+    by_degree = np.argsort(count, kind="stable")
+    for at in range(0, n, 512):
+        rows = by_degree[at : at + 512]
+        d = int(count[rows].max()) if len(rows) else 0
+        slot = np.minimum(first[rows, None] + np.arange(d), max(len(near) - 1, 0))
+        there = np.arange(d) < count[rows, None]
+        v = near_xy[slot] - xy[rows, None] if d else np.zeros((len(rows), 0, 2))
+        square = (v**2).sum(2)
+        there &= (square < 4 * radius * radius) & (square > 0)
+        size = np.sqrt(np.where(there, square, 1))
+        # Places on j's bisector are v_j / 2 + t * along_j; k's bisector bounds t.
+        along = np.stack([-v[..., 1], v[..., 0]], 2) / size[..., None]
+        slope = np.einsum("rjc,rkc->rjk", along, v)
+        room = (square[:, None, :] - np.einsum("rjc,rkc->rjk", v, v)) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bound = room / slope
+        usable = there[:, None, :] & there[:, :, None] & ~np.eye(d, dtype=bool)
+        shut = (usable & (slope == 0) & (room < 0)).any(2)
+        high_at, low_at = np.where(usable & (slope > 0), bound, np.inf), np.where(usable & (slope < 0), bound, -np.inf)
+        half = np.sqrt(np.maximum(radius * radius - square / 4, 0))
+        if d:
+            top, bottom = high_at.argmin(2), low_at.argmax(2)
+            high, low = np.minimum(high_at.min(2), half), np.maximum(low_at.max(2), -half)
+            arc_high, arc_low = high_at.min(2) >= half, low_at.max(2) <= -half
+        else:
+            high = low = np.zeros((len(rows), 0))
+        real = there & ~shut & (high - low > 1e-9)
+        r, j = np.nonzero(real)
+        length[slot[r, j]] = (high - low)[r, j]
+        places = np.zeros((2, len(r), 2))
+        for end, (other, on_arc, t) in enumerate(((bottom, arc_low, low), (top, arc_high, high)) if d else ()):
+            third = other[r, j]
+            three = np.stack([ids[rows[r]], near[slot[r, j]], near[slot[r, third]]], 1)
+            xs, ys = (np.stack([xy[rows[r], c], near_xy[slot[r, j], c], near_xy[slot[r, third], c]], 1) for c in (0, 1))
+            cx, cy = _centre_of(three, xs, ys)
+            # On the disk: from the middle along the bisector, seen from the smaller id.
+            swap = np.where(three[:, 0] < three[:, 1], 1.0, -1.0)
+            wx, wy = swap * (xs[:, 1] - xs[:, 0]), swap * (ys[:, 1] - ys[:, 0])
+            reach = np.sqrt(np.maximum(radius * radius - (wx * wx + wy * wy) / 4, 0)) / np.sqrt(wx * wx + wy * wy) * swap * (-1 if end == 0 else 1)
+            mx, my = (xs[:, 0] + xs[:, 1]) / 2, (ys[:, 0] + ys[:, 1]) / 2
+            own = on_arc[r, j] | ~np.isfinite(cx + cy)
+            places[end] = np.stack([np.where(own, mx - reach * wy, cx), np.where(own, my + reach * wx, cy)], 1)
+        ends = np.searchsorted(r, np.arange(len(rows) + 1))
+        angle = np.arctan2(v[r, j, 1], v[r, j, 0])
+        order = np.lexsort((angle, r))
+        for k, row in enumerate(rows.tolist()):
+            own = order[ends[k] : ends[k + 1]]
+            if not len(own):
+                out[row] = xy[row] + circle
+                continue
+            begin, stop = places[0, own], places[1, own]
+            parts, after = [], np.roll(begin, -1, 0)
+            open_ = arc_high[k, j[own]] & np.roll(arc_low[k, j[own]], -1)
+            for s in range(len(own)):
+                parts.append(begin[s : s + 1])
+                if open_[s]:
+                    parts.append(stop[s : s + 1])
+                    a, b = (np.arctan2(q[1] - xy[row, 1], q[0] - xy[row, 0]) for q in (stop[s], after[s]))
+                    b += 2 * np.pi * (b <= a)
+                    inner = np.arange(np.floor(a / turn[1] + 1e-6) + 1, np.ceil(b / turn[1] - 1e-6)).astype(int)
+                    parts.append(xy[row] + circle[inner % corners])
+            out[row] = np.concatenate(parts)
+    return out, length
 
 
-def border_length(cell: np.ndarray, here: np.ndarray, there: np.ndarray) -> float:
-    """Length of the sides of a Voronoi cell that lie on the bisector of its point and another."""
-    if len(cell) < 3:
-        return 0.0
-    side = there - here
-    off = np.abs((cell - (here + there) / 2) @ side) / np.sqrt(side @ side)
-    on = off < 1e-7 * max(1.0, float(np.abs(cell - here).max()))
-    to = np.roll(cell, -1, axis=0)
-    return float(np.sqrt(((to - cell) ** 2).sum(1))[on & np.roll(on, -1)].sum())
+def voronoi_cell(points: np.ndarray, i: int, neighbours: np.ndarray, radius: float, corners: int = 256) -> np.ndarray:
+    """Corners of one cell; see :func:`capped_cells`."""
+    ends = np.array([0, len(neighbours)])
+    return capped_cells(np.array([i]), points[[i]], ends, np.asarray(neighbours, np.int64), points[neighbours], radius, corners)[0][0]
 
 
 def multipolygon_wkb(polygons: list[np.ndarray]) -> bytes:

@@ -1,15 +1,17 @@
-"""Niche regions: Voronoi cells capped to a radius, merged where cells of one niche share a boundary."""
+"""Niche regions: Voronoi cells capped to a radius, merged where cells of one niche share a boundary, and their dissolved outlines."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import border_length, multipolygon_wkb, polygon_area, voronoi_cell
+from ..functions.geometry import capped_cells, multipolygon_wkb, polygon_area
 from ..sources.stage import staged
-from . import graph
+from . import graph, outlines
 
 KEY = ["sample_id", "cell_id"]
 #: Microns of common boundary that two cells must have more of to merge.
@@ -20,22 +22,34 @@ VORONOI = "sample_id long, cell_id long, area double, x array<double>, y array<d
 def voronoi_cells(cells: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFrame:
     """sample_id, cell_id, area, x, y (corners) and borders (neighbour and common boundary's length) of each cell's capped Voronoi polygon.
 
-    edges are the unpruned Delaunay edges. Only neighbours nearer than twice the radius can share a boundary within both disks.
+    edges are the unpruned Delaunay edges. Only neighbours nearer than twice the radius can share a boundary within both disks. A cell goes
+    with the places of its neighbours, so any task takes any cells and none holds a sample.
     """
-
-    def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("cell_id", kind="stable")
-        ids, xy = nodes["cell_id"].to_numpy(np.int64), nodes[["x_um", "y_um"]].to_numpy(float)
-        a, b = np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"])
-        near: list[list[int]] = [[] for _ in ids]
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            near[x].append(y)
-            near[y].append(x)
-        shapes = [voronoi_cell(xy, i, np.array(near[i], int), radius) for i in range(len(ids))]
-        borders = [[{"b": int(ids[j]), "length": border_length(shapes[i], xy[i], xy[j])} for j in near[i] if ((xy[i] - xy[j]) ** 2).sum() < 4 * radius * radius] for i in range(len(ids))]
-        return pd.DataFrame({"sample_id": nodes["sample_id"], "cell_id": ids, "area": [polygon_area(s) for s in shapes], "x": [s[:, 0] for s in shapes], "y": [s[:, 1] for s in shapes], "borders": borders})
-
-    return cells.select(*KEY, "x_um", "y_um").groupBy("sample_id").cogroup(edges.select("sample_id", "src", "dst").groupBy("sample_id")).applyInPandas(run, VORONOI)
+    near = edges.where(F.col("length") < 2 * radius) if "length" in edges.columns else edges
+    both = near.select("sample_id", F.col("src").alias("cell_id"), F.col("dst").alias("b")).union(near.select("sample_id", "dst", "src"))
+    places = cells.select("sample_id", F.col("cell_id").alias("b"), F.col("x_um").alias("u"), F.col("y_um").alias("v"))
+    around = both.join(places, ["sample_id", "b"]).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("b", "u", "v"))).alias("near"))
+    rows = cells.where("x_um is not null and y_um is not null").select(*KEY, "x_um", "y_um").join(around, KEY, "left")
+    rows = rows.withColumn("near", F.coalesce("near", F.array().cast("array<struct<b: long, u: double, v: double>>")))
+
+    def lists(arrays: list[np.ndarray] | list[pa.Array], values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(a) for a in arrays])).astype(np.int32)), values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, xy = batch.column(1).to_numpy(), np.stack([batch.column(k).to_numpy() for k in (2, 3)], 1)
+            count = np.asarray(batch.column(4).value_lengths())
+            b, u, v = (batch.column(4).flatten().field(k).to_numpy() for k in range(3))
+            first = np.append(0, np.cumsum(count)).astype(np.int64)
+            shapes, length = capped_cells(ids, xy, first, b, np.stack([u, v], 1), radius)
+            flat = np.concatenate([np.zeros((0, 2)), *shapes])
+            borders = pa.StructArray.from_arrays([pa.array(b), pa.array(length)], ["b", "length"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([polygon_area(s) for s in shapes], pa.float64()), lists(shapes, pa.array(flat[:, 0])), lists(shapes, pa.array(flat[:, 1])), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), borders)],
+                [*KEY, "area", "x", "y", "borders"],
+            )
+
+    return rows.mapInArrow(run, VORONOI)
 
 
 def niche_regions(cells: DataFrame, labels: DataFrame, edges: DataFrame, radius: float = 15.0, border: float = BORDER) -> DataFrame:
@@ -68,3 +82,16 @@ def niche_regions(cells: DataFrame, labels: DataFrame, edges: DataFrame, radius:
 def one_hot(rows: DataFrame, niches: int) -> DataFrame:
     """Regions with a column niche_0, niche_1, ... for each niche, 1.0 for their own."""
     return rows.withColumns({f"niche_{k}": (F.col("niche_id") == k).cast("double") for k in range(niches)})
+
+
+def niche_outlines(cells: DataFrame, labels: DataFrame, edges: DataFrame, radius: float = 15.0, grid: float = outlines.GRID, most_rounds: int = outlines.MOST_ROUNDS, min_area: float = 0.0) -> tuple[DataFrame, int]:
+    """The dissolved outline of each merged region (see :data:`outlines.OUTLINES`; label is the niche, region_id the smallest cell_id), and the rounds of merging.
+
+    Capped Voronoi cells of one niche become one region if they share a side on the grid or have sides that run along each other, until a fixed point.
+    Cells, and then regions, of less than ``min_area`` are left out.
+    """
+    known = labels.where("niche_id is not null").select(*KEY, F.col("niche_id").cast("int").alias("label"))
+    shapes = staged(voronoi_cells(cells, edges, radius).where(F.col("area") >= min_area), "voronoi").withColumnRenamed("cell_id", "owner")
+    rows = shapes.join(known.withColumnRenamed("cell_id", "owner"), ["sample_id", "owner"])
+    sides, _, rounds = outlines.merged(outlines.sides(rows, "sample_id", "label", "owner"), grid, most_rounds=most_rounds)
+    return outlines.outlines(sides).where(F.col("area") >= min_area), rounds

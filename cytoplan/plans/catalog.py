@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import aggregates, axes, cci, cluster, features, graph, hplot, profile, regions
+from ..operators import aggregates, axes, cci, cluster, features, graph, hplot, outlines, profile, regions
 from ..operators import components as components_of
 from ..sources import tables
 from ..sources.stage import staged
@@ -76,6 +76,9 @@ class World:
     def embeddings(self) -> DataFrame:
         return self.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
 
+    def sides(self, shifted: bool = False) -> DataFrame:
+        return outlines.sides(X.footprints(self.spark, self.cells, shifted), "sample_id", "label", "owner")
+
     def cell_features(self) -> DataFrame:
         types = ["lymphocyte", "stroma", "tumor"]
         return features.vectors(features.khop_composition(self.cells, self.adj, features.hard_probabilities(self.cells), types), "cell_type")
@@ -223,6 +226,16 @@ def niche_regions(w: World) -> DataFrame:
     return _six(out, "area").withColumn("wkb", F.length("wkb"))
 
 
+def region_outlines(w: World) -> DataFrame:
+    sides, _, _ = outlines.merged(w.sides())
+    return _six(outlines.outlines(sides).select("sample_id", "label", "region_id", "n_shells", "n_holes", "n_sides", "area", "perimeter"), "area", "perimeter")
+
+
+def niche_outlines(w: World) -> DataFrame:
+    found, _ = regions.niche_outlines(w.cells, w.labels(), w.edges)
+    return _six(found.select("sample_id", "label", "region_id", "n_shells", "n_holes", "area", "perimeter"), "area", "perimeter")
+
+
 def niche_expression_pca(w: World) -> DataFrame:
     scores = components_of.expression_components(w.cells, w.expression, 2)
     rows = features.khop_means(w.cells, w.adj, scores, 2)
@@ -301,6 +314,11 @@ QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "dgi_embeddings": dgi_embeddings,
     "winner_setting": winner_setting,
     "niche_regions": niche_regions,
+    "shared_sides": lambda w: outlines.shared_sides(w.sides()),
+    "overlapping_sides": lambda w: outlines.overlapping_sides(w.sides(shifted=True)),
+    "merged_regions": lambda w: outlines.merged(w.sides(shifted=True))[1],
+    "region_outlines": region_outlines,
+    "niche_outlines": niche_outlines,
     "niche_expression_pca": niche_expression_pca,
     "stale_samples": stale_samples,
     "pending_samples": pending_samples,

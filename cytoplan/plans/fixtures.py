@@ -41,6 +41,27 @@ def pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "row_no int, ligand string, receptor string")
 
 
+def footprints_sql(shifted: bool) -> str:
+    """SQL of sample_id, owner, label and the corners xa, ya, ... xd, yd of a four-sided polygon for each cell; ``shifted`` moves some of them by 0.3."""
+
+    def corner(name: str, right: int, up: int) -> str:
+        at = f"(cell_id % 8 + {right})", f"(CAST((cell_id - cell_id % 8) / 8 AS BIGINT) + {up})"
+        move = " + CASE WHEN cell_id % 11 = 3 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END" if shifted else ""
+        x = f"CAST({at[0]} * 10 AS DOUBLE) + CAST(({at[0]} * 7919 + {at[1]} * 104729 + sample_id * 31) % 97 AS DOUBLE) / 30"
+        y = f"CAST({at[1]} * 10 AS DOUBLE) + CAST(({at[0]} * 6101 + {at[1]} * 15485863 + sample_id * 17) % 89 AS DOUBLE) / 30"
+        return f"{x}{move} AS x{name}, {y}{move} AS y{name}"
+
+    label = "CAST(CASE WHEN (cell_id % 8 - 3) * (cell_id % 8 - 3) + (CAST((cell_id - cell_id % 8) / 8 AS BIGINT) % 6 - 3) * (CAST((cell_id - cell_id % 8) / 8 AS BIGINT) % 6 - 3) < 4 THEN 1 ELSE 0 END AS INT)"
+    corners = ", ".join(corner(*c) for c in (("a", 0, 0), ("b", 1, 0), ("c", 1, 1), ("d", 0, 1)))
+    return f"SELECT sample_id, cell_id AS owner, {label} AS label, {corners} FROM cells"
+
+
+def footprints(spark: SparkSession, base: DataFrame, shifted: bool = False) -> DataFrame:
+    """sample_id, owner, label, x and y (corners) of each cell's footprint."""
+    rows = spark.sql(footprints_sql(shifted).replace("FROM cells", "FROM {cells}"), cells=base)
+    return rows.selectExpr("sample_id", "owner", "label", "array(xa, xb, xc, xd) AS x", "array(ya, yb, yc, yd) AS y")
+
+
 def bench_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Larger samples: one cell for each lineitem, in 64 samples of jittered lattices."""
     return spark.sql(f"""WITH base AS (SELECT l_orderkey % 64 AS sample_id, l_quantity q, l_extendedprice v, row_number() OVER (PARTITION BY l_orderkey % 64 ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS cell_id FROM parquet.`{sf_dir}/lineitem.parquet`)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import EXPRESSION_SQL, LABELS_SQL, cells_sql
+from .fixtures import EXPRESSION_SQL, LABELS_SQL, cells_sql, footprints_sql
 
 _PARTS: dict[str, tuple[list[str], str]] = {
     "cells": ([], cells_sql()),
@@ -110,6 +110,66 @@ WHERE NOT EXISTS (SELECT 1 FROM inside r WHERE r.sample_id = p.sample_id AND r.a
 }
 
 
+def _gap2(px: str, py: str, s: str) -> str:
+    """Squared distance of a point from segment ``s`` of columns x0, y0, x1, y1."""
+    w, h = f"({s}.x1 - {s}.x0)", f"({s}.y1 - {s}.y0)"
+    t = f"greatest(0, least(1, (({px} - {s}.x0) * {w} + ({py} - {s}.y0) * {h}) / ({w} * {w} + {h} * {h})))"
+    return f"(pow({px} - {s}.x0 - {t} * {w}, 2) + pow({py} - {s}.y0 - {t} * {h}, 2))"
+
+
+def _turn(s: str, px: str, py: str) -> str:
+    return f"(({s}.x1 - {s}.x0) * ({py} - {s}.y0) - ({s}.y1 - {s}.y0) * ({px} - {s}.x0))"
+
+
+def _shadow(s: str, pick: str) -> str:
+    return f"CASE WHEN abs({s}.x1 - {s}.x0) >= abs({s}.y1 - {s}.y0) THEN {pick}({s}.x0, {s}.x1) ELSE {pick}({s}.y0, {s}.y1) END"
+
+
+#: Sides of the footprints and their links, every side with every other.
+_SIDES: dict[str, tuple[list[str], str]] = {
+    **{f"foot_{name}": (["cells"], footprints_sql(name == "moved")) for name in ("still", "moved")},
+    **{
+        f"side_{name}": (
+            [f"foot_{name}"],
+            "SELECT sample_id, label, owner, s.* FROM (SELECT sample_id, label, owner, unnest([" + ", ".join(f"{{'x0': x{a}, 'y0': y{a}, 'x1': x{b}, 'y1': y{b}}}" for a, b in ("ab", "bc", "cd", "da")) + f"]) AS s FROM foot_{name})",
+        )
+        for name in ("still", "moved")
+    },
+    **{
+        f"grid_{name}": (
+            [f"side_{name}"],
+            f"""SELECT sample_id, label, owner, least((u0, v0), (u1, v1))[1] * 0.25 AS x0, least((u0, v0), (u1, v1))[2] * 0.25 AS y0, greatest((u0, v0), (u1, v1))[1] * 0.25 AS x1, greatest((u0, v0), (u1, v1))[2] * 0.25 AS y1
+FROM (SELECT *, round_even(x0 * 4, 0) AS u0, round_even(y0 * 4, 0) AS v0, round_even(x1 * 4, 0) AS u1, round_even(y1 * 4, 0) AS v1 FROM side_{name}) WHERE u0 <> u1 OR v0 <> v1""",
+        )
+        for name in ("still", "moved")
+    },
+    **{
+        f"equal_{name}": (
+            [f"grid_{name}"],
+            f"SELECT DISTINCT p.sample_id, p.owner AS a, q.owner AS b, greatest(abs(p.x1 - p.x0), abs(p.y1 - p.y0)) AS len FROM grid_{name} p JOIN grid_{name} q ON p.sample_id = q.sample_id AND p.label = q.label AND p.x0 = q.x0 AND p.y0 = q.y0 AND p.x1 = q.x1 AND p.y1 = q.y1 AND p.owner < q.owner",
+        )
+        for name in ("still", "moved")
+    },
+    "once": (["grid_moved"], "SELECT sample_id, label, x0, y0, x1, y1, min(owner) AS owner FROM grid_moved GROUP BY ALL"),
+    "beside": (
+        ["once", "equal_moved"],
+        f"""SELECT DISTINCT p.sample_id, p.owner AS a, q.owner AS b FROM once p JOIN once q ON p.sample_id = q.sample_id AND p.label = q.label AND p.owner < q.owner
+WHERE least(p.x0, p.x1) <= greatest(q.x0, q.x1) AND least(q.x0, q.x1) <= greatest(p.x0, p.x1) AND least(p.y0, p.y1) <= greatest(q.y0, q.y1) AND least(q.y0, q.y1) <= greatest(p.y0, p.y1)
+AND acos(least(1, abs((p.x1 - p.x0) * (q.x1 - q.x0) + (p.y1 - p.y0) * (q.y1 - q.y0)) / sqrt((pow(p.x1 - p.x0, 2) + pow(p.y1 - p.y0, 2)) * (pow(q.x1 - q.x0, 2) + pow(q.y1 - q.y0, 2))))) <= radians(3)
+AND ((sign({_turn("p", "q.x0", "q.y0")}) * sign({_turn("p", "q.x1", "q.y1")}) < 0 AND sign({_turn("q", "p.x0", "p.y0")}) * sign({_turn("q", "p.x1", "p.y1")}) < 0)
+  OR least({_gap2("p.x0", "p.y0", "q")}, {_gap2("p.x1", "p.y1", "q")}, {_gap2("q.x0", "q.y0", "p")}, {_gap2("q.x1", "q.y1", "p")}) <= 0.25)
+AND least({_shadow("p", "greatest")}, {_shadow("q", "greatest")}) - greatest({_shadow("p", "least")}, {_shadow("q", "least")}) >= 1
+UNION SELECT sample_id, a, b FROM equal_moved WHERE len >= 1""",
+    ),
+    "touch": (["beside", "equal_moved"], "SELECT sample_id, a, b FROM beside UNION SELECT sample_id, a, b FROM equal_moved"),
+    "grown": (["foot_moved", "touch"], "SELECT sample_id, owner, owner AS root FROM foot_moved UNION SELECT g.sample_id, CASE WHEN t.a = g.owner THEN t.b ELSE t.a END, g.root FROM grown g JOIN touch t ON t.sample_id = g.sample_id AND g.owner IN (t.a, t.b)"),
+    "joined": (["foot_still", "equal_still"], "SELECT sample_id, owner, owner AS root FROM foot_still UNION SELECT g.sample_id, CASE WHEN t.a = g.owner THEN t.b ELSE t.a END, g.root FROM joined g JOIN equal_still t ON t.sample_id = g.sample_id AND g.owner IN (t.a, t.b)"),
+    "homes": (["joined"], "SELECT sample_id, owner, min(root) AS region FROM joined GROUP BY ALL"),
+    "own_sides": (["side_still", "homes"], "SELECT s.*, region, least((x0, y0), (x1, y1)) AS p, greatest((x0, y0), (x1, y1)) AS q FROM side_still s JOIN homes h ON h.sample_id = s.sample_id AND h.owner = s.owner"),
+    "lone": (["own_sides"], "SELECT sample_id, label, region, p, q, count(*) AS n FROM own_sides GROUP BY ALL"),
+}
+
+
 def _cci(kernel: str) -> dict[str, tuple[list[str], str]]:
     w = {"exponential": "exp(-length / 25.0)", "gaussian": "exp(-length * length / 1250.0)", "binary": "1.0"}[kernel]
     return {
@@ -128,7 +188,7 @@ LEFT JOIN mass m ON m.sample_id = c.sample_id AND m.cell_id = c.cell_id""",
 
 def build(select: str, needs: list[str], axis: str = "celltype", kernel: str = "exponential") -> str:
     """The statement with the parts that it needs, in order."""
-    parts = {**_PARTS, "flags": FLAGS[axis], **_cci(kernel)}
+    parts = {**_PARTS, **_SIDES, "flags": FLAGS[axis], **_cci(kernel)}
     done: list[str] = []
 
     def visit(name: str) -> None:
@@ -140,7 +200,7 @@ def build(select: str, needs: list[str], axis: str = "celltype", kernel: str = "
     for n in needs:
         visit(n)
     # Parts that are used twice are kept, not run again.
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in ('walk', 'spread') else 'MATERIALIZED '}({parts[n][1]})" for n in done) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in ('walk', 'spread', 'grown', 'joined') else 'MATERIALIZED '}({parts[n][1]})" for n in done) + "\n" + select
 
 
 _SIX = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
@@ -218,6 +278,16 @@ def oracle_sql() -> dict[str, str]:
         "center_embeddings": "WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT vec_id, CAST(i - 1 AS INT) AS pos, round(x - avg(x) OVER (PARTITION BY label, i) + avg(x) OVER (PARTITION BY i), 4) + 0.0 AS x FROM l",
         "knn_graph": "WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT a, b, CAST(r AS INT) AS rank, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM d) WHERE r <= 15",
         "winner_setting": "SELECT CAST(p_size AS DOUBLE) AS resolution, n FROM (SELECT p_size, count(*) AS n, count(*) / sum(count(*)) OVER () AS f, avg(p_retailprice) AS s, max(p_retailprice) AS m FROM part GROUP BY 1) ORDER BY f >= 0.02 DESC, round(s, 6) DESC, m DESC, p_size LIMIT 1",
+        "shared_sides": build("SELECT sample_id, a, b FROM equal_still", ["equal_still"]),
+        "overlapping_sides": build("SELECT sample_id, a, b FROM beside", ["beside"]),
+        "merged_regions": build("SELECT sample_id, owner, min(root) AS region FROM grown GROUP BY ALL", ["grown"]),
+        # Holes of a connected region by Euler's formula.
+        "region_outlines": build(
+            """SELECT l.sample_id, l.label, l.region AS region_id, CAST(1 AS INT) AS n_shells, CAST(1 - v + e - f AS INT) AS n_holes, l.n_sides, round(area, 6) AS area, round(perimeter, 6) AS perimeter
+FROM (SELECT sample_id, label, region, count(*) AS e, count(*) FILTER (n = 1) AS n_sides, sum(sqrt(pow(p[1] - q[1], 2) + pow(p[2] - q[2], 2))) FILTER (n = 1) AS perimeter FROM lone GROUP BY ALL) l
+JOIN (SELECT sample_id, region, count(DISTINCT (x0, y0)) AS v, count(DISTINCT owner) AS f, sum(x0 * y1 - x1 * y0) / 2 AS area FROM own_sides GROUP BY ALL) o ON o.sample_id = l.sample_id AND o.region = l.region""",
+            ["lone", "own_sides"],
+        ),
         "stale_samples": build("SELECT DISTINCT sample_id FROM cells WHERE sample_id % 5 = 0", ["cells"]),
         "pending_samples": build("SELECT DISTINCT sample_id FROM cells WHERE sample_id % 2 = 1", ["cells"]),
     }
