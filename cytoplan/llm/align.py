@@ -38,8 +38,8 @@ from .tokens import byte_letters
 
 #: Bytes of text in a chunk; bounds what a task of the compose step holds.
 CHUNK = 8 << 20
-#: Segments that are tokenised at once.
-BATCH = 4096
+#: Segments that are tokenised at once, and alignments that are held to be packed by chunk.
+BATCH, HELD = 4096, 1 << 18
 _DIGIT = np.ones(256, bool)
 _DIGIT[48:58] = False
 
@@ -178,7 +178,7 @@ def chunks(docs: DataFrame, first: str, second: str, size: int = CHUNK) -> DataF
                 yield from segments()
                 chunk, held, numbers, n = chunk + 1, 0, _Numbers(), 0
         yield from segments()
-        pa.default_memory_pool().release_unused()
+        C.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "chunk long, no long, doc_id long, data binary, segment string")
 
@@ -186,26 +186,62 @@ def chunks(docs: DataFrame, first: str, second: str, size: int = CHUNK) -> DataF
 # ---------------------------------------------------------------- 2: alignments
 
 
+def _aligned_batches(batches: Iterator[pa.RecordBatch], column: int, first: str, second: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Batches of rows sorted by segment with the alignment of each row; equal segments are tokenised once."""
+    pair, last, known = pair_of(first, second), None, None
+    for batch in C.slices(batches, BATCH):
+        names = batch.column(column).to_pylist()
+        new = [s for s, before in zip(names, [last, *names], strict=False) if s != before]
+        found = iter(pair.align(new)) if new else iter(())
+        out = []
+        for s in names:
+            if s != last:
+                last, known = s, next(found)
+            out.append(known)
+        yield batch, out
+
+
 def alignments(parts: DataFrame, first: str, second: str) -> DataFrame:
-    """chunk, no, links (the segment's alignment, null if it has none): each distinct segment is tokenised and aligned once."""
+    """chunk and data: numbers of segments and their alignments (empty: none), many to a row; each distinct segment is tokenised and aligned once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, last, known = pair_of(first, second), None, None
-        for batch in C.slices(batches, BATCH):
-            names = batch.column(2).to_pylist()
-            new = [s for s, before in zip(names, [last, *names], strict=False) if s != before]
-            found = iter(pair.align(new)) if new else iter(())
-            out = []
-            for s in names:
-                if s != last:
-                    last, known = s, next(found)
-                out.append(known)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["chunk", "no", "links"])
-        pa.default_memory_pool().release_unused()
+        held: dict[int, tuple[list[int], list[str]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = list(held)
+            for i in range(0, len(names), 1024):
+                part = names[i : i + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([_pack_links(*held[c]) for c in part], pa.binary())], ["chunk", "data"])
+            held.clear()
+
+        for batch, links in _aligned_batches(batches, 2, first, second):
+            for chunk, no, link in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), links, strict=True):
+                own = held.get(chunk)
+                if own is None:
+                    own = held[chunk] = ([], [])
+                own[0].append(no)
+                own[1].append(link or "")
+            size += len(links)
+            if size >= HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
+        C.release()
 
     rows = parts.where("segment is not null").select("chunk", "no", "segment")
     rows = rows.repartition(C.partitions_of(rows, 64 << 20), "segment").sortWithinPartitions("segment")
-    return rows.mapInArrow(run, "chunk long, no long, links string")
+    return rows.mapInArrow(run, "chunk long, data binary")
+
+
+def _pack_links(nos: list[int], links: list[str]) -> bytes:
+    body = np.array(nos, "<u4").tobytes() + "\n".join(links).encode()
+    return len(nos).to_bytes(4, "little") + zlib.compress(body, 1)
+
+
+def _unpack_links(data: bytes) -> tuple[np.ndarray, list[str]]:
+    n, body = int.from_bytes(data[:4], "little"), zlib.decompress(data[4:])
+    return np.frombuffer(body, "<u4", n), body[4 * n :].decode().split("\n")
 
 
 # ---------------------------------------------------------------- 3: documents
@@ -214,10 +250,10 @@ def alignments(parts: DataFrame, first: str, second: str) -> DataFrame:
 class Links:
     """The alignments of a chunk's segments as arrays by segment number."""
 
-    def __init__(self, texts: pa.Array):
-        self.valid = ~np.asarray(texts.is_null())
-        self.texts = texts.to_pylist()
-        data, offsets = C.text_buffer(texts)
+    def __init__(self, texts: list[str]):
+        self.valid = np.array([t != "" for t in texts], bool)
+        self.texts = texts
+        data, offsets = C.text_buffer(pa.array(texts, pa.string()))
         starts, ends, _ = C.word_spans(data, offsets, _DIGIT)
         value, place = np.zeros(len(starts), np.int64), ends - 1
         for k in range(10):
@@ -257,9 +293,8 @@ _COMPOSED = pa.schema([("chunk", pa.int64()), ("no", pa.int64()), ("doc_id", pa.
 
 def composed(parts: DataFrame, links: DataFrame, with_groups: bool = False) -> DataFrame:
     """Rows of documents (doc_id, sizes, digest, data: pair numbers and how often) and of the chunks' pairs (no, pair, n_docs)."""
-    docs = parts.where("segment is null").select("chunk", F.lit(1).alias("kind"), "no", "doc_id", "data", F.lit(None).cast("string").alias("links"))
-    rows = links.select("chunk", F.lit(0), "no", F.lit(None).cast("long"), F.lit(None).cast("binary"), "links").union(docs)
-    rows = rows.toDF("chunk", "kind", "no", "doc_id", "data", "links")
+    docs = parts.where("segment is null").select("chunk", F.lit(1).alias("kind"), "no", "doc_id", "data")
+    rows = links.select("chunk", F.lit(0), F.lit(0).cast("long"), F.lit(None).cast("long"), "data").union(docs).toDF("chunk", "kind", "no", "doc_id", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts, held, n_docs = None, [], None, None
@@ -278,11 +313,15 @@ def composed(parts: DataFrame, links: DataFrame, with_groups: bool = False) -> D
                     yield from pairs()
                     now, texts, held, n_docs = chunk[i], [], None, None
                 if kind[i] == 0:
-                    texts.append(batch.column(5).slice(i, j - i))
+                    texts += map(_unpack_links, batch.column(4).slice(i, j - i).to_pylist())
                     continue
                 if held is None:
-                    held = Links(pa.concat_arrays(texts) if texts else pa.array([], pa.string()))
-                    texts, n_docs = [], np.zeros(len(held.pairs), np.int64)
+                    names = [""] * sum(len(nos) for nos, _ in texts)
+                    for nos, links in texts:
+                        for no, link in zip(nos.tolist(), links, strict=True):
+                            names[no] = link
+                    texts, held = [], Links(names)
+                    n_docs = np.zeros(len(held.pairs), np.int64)
                 out: list[list] = [[] for _ in range(7)]
                 for data in batch.column(4).slice(i, j - i).to_pylist():
                     numbers = unpacked(data)
@@ -297,7 +336,7 @@ def composed(parts: DataFrame, links: DataFrame, with_groups: bool = False) -> D
                 n = j - i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), batch.column(3).slice(i, n), *[pa.array(c, t) for c, t in zip(out, _COMPOSED.types[3:10], strict=True)], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_COMPOSED)
         yield from pairs()
-        pa.default_memory_pool().release_unused()
+        C.release()
 
     grouped = rows.repartition(C.partitions_of(parts, CHUNK), "chunk").sortWithinPartitions("chunk", "kind", "no")
     return grouped.mapInArrow(run, "chunk long, no long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, data binary, pair long, n_docs long")
@@ -344,7 +383,7 @@ def scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
                     sums[1].append(int((count[pairs] * times).sum()))
                 own = [batch.column(k).slice(i, j - i) for k in range(5, 12)]
                 yield pa.RecordBatch.from_arrays([*own[:5], pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), *own[5:]], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"])
-        pa.default_memory_pool().release_unused()
+        C.release()
 
     grouped = both.repartition(C.partitions_of(rows, CHUNK), "chunk").sortWithinPartitions("chunk", "kind", "no")
     return grouped.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string")
@@ -368,5 +407,9 @@ def segment_table(docs: DataFrame, first: str | None = None, second: str | None
     """segment and links (its alignment, null if its tokens do not spell it) of each distinct segment of the corpus."""
     first, second = first or default_paths()[0], second or default_paths()[1]
     parts = C.materialise(chunks(docs, first, second), "align-chunks")
-    one = parts.where("segment is not null").groupBy("segment").agg(F.min(F.struct("chunk", "no")).alias("at")).select("at.*", "segment")
-    return one.join(alignments(one, first, second), ["chunk", "no"]).select("segment", "links")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, links in _aligned_batches(batches, 0, first, second):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(links, pa.string())], ["segment", "links"])
+
+    return parts.where("segment is not null").select("segment").distinct().mapInArrow(run, "segment string, links string")

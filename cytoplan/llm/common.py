@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,11 +45,11 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """The session's Arrow batches have the bounds of ``ARROW`` meanwhile."""
+def small_batches(spark: SparkSession, most: int | None = None) -> Iterator[None]:
+    """The session's Arrow batches have the bounds of ``ARROW`` meanwhile, or ``most`` bytes."""
     before = {key: spark.conf.get(key, None) for key in ARROW}
     try:
-        for key, value in ARROW.items():
+        for key, value in (ARROW if most is None else ARROW | {"spark.sql.execution.arrow.maxBytesPerBatch": str(most)}).items():
             spark.conf.set(key, value)
         yield
     finally:
@@ -59,11 +60,11 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors. ``batch``: bytes of an Arrow batch meanwhile."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    with small_batches(spark):
+    with small_batches(spark, batch):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cytoplan_path = path  # type: ignore[attr-defined]
@@ -76,6 +77,11 @@ def materialised() -> int:
     return len(_kept)
 
 
+def since(mark: int) -> list[DataFrame]:
+    """Frames materialised since ``mark`` whose files are still there."""
+    return list(_kept[mark:])
+
+
 def discard_since(mark: int, *keep: DataFrame) -> None:
     """Delete the files of all frames materialised since ``mark`` but those to keep, once nothing reads them any more."""
     later, _kept[mark:] = _kept[mark:], list(keep)
@@ -93,6 +99,20 @@ def discard(*frames: DataFrame) -> None:
             _kept[:] = [k for k in _kept if k is not df]
 
 
+def _trimmer():
+    """The C library's call that gives free memory back to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """To be called at a task's end: workers live on, and what they hold without need counts against an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
