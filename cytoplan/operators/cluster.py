@@ -169,17 +169,19 @@ def _pieces(weights: list[dict[int, float]], group: list[int]) -> list[int]:
     return piece
 
 
-def communities(n: int, a: np.ndarray, b: np.ndarray, resolution: float, seed: int) -> np.ndarray:
-    """Labels by Leiden's method for modularity with a resolution: nodes move, groups are refined into parts that hang together, and the
+def communities(n: int, a: np.ndarray, b: np.ndarray, resolution: float, seed: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Labels by Leiden's method for modularity with a resolution (edges weigh 1 unless ``weight`` is given; loops count): nodes move, groups are refined into parts that hang together, and the
     parts become the nodes of the next round, which begins with the groups found; until no part has two nodes."""
     rng = np.random.default_rng(seed)
     weights: list[dict[int, float]] = [{} for _ in range(n)]
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if x != y:
-            weights[x][y] = weights[x].get(y, 0.0) + 1.0
-            weights[y][x] = weights[y].get(x, 0.0) + 1.0
     loops = [0.0] * n
-    total = sum(map(lambda w: sum(w.values()), weights)) or 1.0
+    for x, y, w in zip(a.tolist(), b.tolist(), [1.0] * len(a) if weight is None else weight.tolist(), strict=True):
+        if x != y:
+            weights[x][y] = weights[x].get(y, 0.0) + w
+            weights[y][x] = weights[y].get(x, 0.0) + w
+        elif weight is not None:
+            loops[x] += w
+    total = sum(map(lambda w: sum(w.values()), weights)) + 2 * sum(loops) or 1.0
     node, group = np.arange(n), list(range(n))
     while True:
         strength = [sum(w.values()) + 2 * own for w, own in zip(weights, loops, strict=True)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import aggregates, axes, cci, cluster, features, graph, hplot, outlines, profile, regions
+from ..operators import aggregates, axes, cci, cluster, communities, features, graph, harmony, hplot, outlines, profile, regions
 from ..operators import components as components_of
 from ..sources import tables
 from ..sources.stage import staged
@@ -210,6 +210,20 @@ def leiden_sweep(w: World) -> DataFrame:
     return cluster.sweep(cluster.knn_graph(cluster.knn(w.table("embeddings"))))
 
 
+def knn_lists(w: World) -> DataFrame:
+    rows = w.embeddings().select("vec_id", "features")
+    return _six(communities.nearest(rows, exact_below=0, size=64)[0].select("a", "b", "rank", "d2"), "d2")
+
+
+def niches_by_sample(w: World) -> DataFrame:
+    return communities.estimated(w.cell_features(), scope="sample")
+
+
+def harmony_embeddings(w: World) -> DataFrame:
+    rows = w.embeddings().select(F.col("label").cast("long").alias("sample_id"), F.col("vec_id").cast("long").alias("cell_id"), "features")
+    return harmony.corrected(rows, clusters=8, rounds=2).withColumn("features", F.transform("features", lambda x: F.round(x, 4) + F.lit(0.0)))
+
+
 def dgi_embeddings(w: World) -> DataFrame:
     return cluster.encode(w.cell_features(), w.adj)
 
@@ -311,6 +325,9 @@ QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "kmeans_niches": kmeans_niches,
     "kmeans_by_sample": kmeans_by_sample,
     "leiden_sweep": leiden_sweep,
+    "knn_lists": knn_lists,
+    "niches_by_sample": niches_by_sample,
+    "harmony_embeddings": harmony_embeddings,
     "dgi_embeddings": dgi_embeddings,
     "winner_setting": winner_setting,
     "niche_regions": niche_regions,

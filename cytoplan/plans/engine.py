@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import aggregates, axes, cci, cluster, features, graph, hplot, profile, regions
+from ..operators import aggregates, axes, cci, cluster, communities, features, graph, harmony, hplot, profile, regions
 from ..operators import components as components_of
 from ..sources import tables
 from ..sources.samples import resolved
-from ..sources.stage import discard, staged
+from ..sources.stage import staged, stages
 
 
 @dataclass
@@ -46,7 +46,7 @@ STABLE, EXPERIMENTAL = ("ingest", "run", "niche", "niche-profile", "verify", "ex
 #: Columns whose change makes a sample's results stale.
 CONTENT = {"cells": ("cell_id", "x_um", "y_um", "cell_type"), "expression": ("cell_id", "gene", "value")}
 #: Results by the partition columns above sample_id.
-RESULTS = {"hplot": "config", "cci": "config", "niches": "family", "niche_regions": "family", "aggregates": "name"}
+RESULTS = {"hplot": "config", "cci": "config", "niches": "family", "niche_regions": "family", "niche_outlines": "family", "aggregates": "name", "embeddings": "config"}
 
 
 def config_key(**settings: Any) -> str:
@@ -109,6 +109,10 @@ class Engine:
                     tables.delete_path(self.spark, f"{folder}/sample_id={r['sample_id']}")
 
     def ingest(self, cells: DataFrame, expression: DataFrame | None = None) -> None:
+        with stages():
+            self._ingest(cells, expression)
+
+    def _ingest(self, cells: DataFrame, expression: DataFrame | None) -> None:
         for name, new, schema in (("cells", cells, tables.CELLS), ("expression", expression, tables.EXPRESSION)):
             if new is None:
                 continue
@@ -125,19 +129,26 @@ class Engine:
         cells = self.read("cells")
         stored = self._done("graph_fingerprint")
         stale = tables.stale_samples(cells, stored) if stored is not None else cells.select("sample_id").distinct()
-        stale = staged(stale, "stale")
-        if not stale.isEmpty():
-            fresh = cells.join(F.broadcast(stale), "sample_id", "left_semi")
-            self._write(graph.delaunay_edges(fresh), "graph_edges", stale)
-            self._write(tables.fingerprint(fresh), "graph_fingerprint", stale)
+        with stages():
+            stale = staged(stale, "stale")
+            if not stale.isEmpty():
+                fresh = cells.join(stale, "sample_id", "left_semi")
+                self._write(graph.delaunay_edges(fresh), "graph_edges", stale)
+                self._write(tables.fingerprint(fresh), "graph_fingerprint", stale)
         if not self.has("graph_edges"):
             return self.spark.createDataFrame([], graph.EDGES)
         return self.read("graph_edges").select("sample_id", "src", "dst", "length")
 
+    def _some(self, axis: DataFrame, what: str, names: list[str]) -> DataFrame:
+        """``axis``, unless no cell has any of ``names``: a curve of nothing would be silent."""
+        if axis.where("value > 0").isEmpty():
+            raise tables.MissingKeyError(f"none of these {what} occurs in the cells: {', '.join(map(str, names)) or '(none given)'}")
+        return axis
+
     def _axis(self, by: str, names: list[str]) -> DataFrame:
         cells = self.read("cells")
         if by == "celltype":
-            return axes.by_celltype(cells, names)
+            return self._some(axes.by_celltype(cells, names), "cell types", names)
         if by == "gene":
             return axes.by_gene(tables.select_genes(self.read("expression"), names), names)
         if by == "aggregate":
@@ -147,14 +158,15 @@ class Engine:
             scores = self._cci()
             return axes.by_cci(scores, resolved(self.spark, [c for c in scores.columns if c.startswith(("out_", "in_"))], names[:1], "cci_")[0])
         if by in AXES:
-            return axes.by_niche(self.read("niches").where(F.col("family") == by), [int(n.rsplit("_", 1)[-1]) for n in names])
+            return self._some(axes.by_niche(self.read("niches").where(F.col("family") == by), [int(n.rsplit("_", 1)[-1]) for n in names]), "niches", names)
         raise tables.ContractError(f"an axis is one of {AXES}")
 
     def hplot(self, cfg: HplotConfig, overwrite: bool = False) -> DataFrame:
         cells = self._todo("hplot", overwrite, config=cfg.key())
         edges = graph.prune(self.edges(), cfg.reach_um).join(cells.select("sample_id").distinct(), "sample_id", "left_semi")
         flags = axes.flagged(cells, self._axis(cfg.base_by, cfg.base), self._axis(cfg.target_by, cfg.target), cfg.base_threshold)
-        self._write(hplot.hplot(cells, flags, edges, cfg.k, cfg.n, cfg.r), "hplot", cells, config=cfg.key())
+        with stages():
+            self._write(hplot.hplot(cells, flags, edges, cfg.k, cfg.n, cfg.r), "hplot", cells, config=cfg.key())
         return self.finalize(cfg)
 
     def finalize(self, cfg: HplotConfig | None = None) -> DataFrame:
@@ -178,19 +190,23 @@ class Engine:
         aggregates.check_name(name, L.vocabulary(cells))
         adj = graph.adjacency(graph.prune(self.edges(), reach_um))
         base = axes.by_celltype(cells, types)
-        members = aggregates.membership(cells, axes.flagged(cells, base, base), adj, k, n, r, min_size)
-        self._write(members, "aggregates", cells, name=name)
+        with stages():
+            self._write(aggregates.membership(cells, axes.flagged(cells, base, base), adj, k, n, r, min_size), "aggregates", cells, name=name)
         return aggregates.features(cells, self.read("aggregates").where(F.col("name") == name))
 
     def _cci(self, key: str | None = None) -> DataFrame:
         """Scores of one configuration, by default the one that was run last."""
-        p, fs = self._files(self.path("cci"))
         if key is None:
-            if not self.has("cci"):
+            if not self.has("cci") or not self.has("cci_runs"):
                 raise tables.MissingKeyError("there are no interaction scores; run cci first")
-            key = max((f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(p) if f.isDirectory())[1].split("=", 1)[1]
+            key = self.spark.read.parquet(self.path("cci_runs")).agg(F.max_by("config", "run")).first()[0]
         return self._done("cci", config=key).drop("config")
 
+    def _ran_cci(self, key: str) -> None:
+        """Note that ``key`` is the configuration that was run last."""
+        known = self.spark.read.parquet(self.path("cci_runs")).agg(F.max("run")).first()[0] if self.has("cci_runs") else None
+        self.spark.createDataFrame([(key, 1 + (known or 0))], "config string, run long").coalesce(1).write.mode("append").parquet(self.path("cci_runs"))
+
     def cci(self, pairs: DataFrame, kernel: str = "exponential", scale: float = 25.0, d_max: float = 25.0, overwrite: bool = False, genes: list[str] | None = None) -> DataFrame:
         """Scores that are not zero are kept; the summary counts all cells."""
         listed = sorted(map(tuple, pairs.select("ligand", "receptor").collect()))
@@ -198,7 +214,9 @@ class Engine:
         cells = self._todo("cci", overwrite, config=key)
         edges = graph.prune(self.edges(), d_max).join(cells.select("sample_id").distinct(), "sample_id", "left_semi")
         known = cci.panel_pairs(pairs, self.read("expression"), genes)
-        self._write(cci.scores(cells, graph.adjacency(edges), self.read("expression"), known, kernel, scale, dense=False), "cci", cells, config=key)
+        with stages():
+            self._write(cci.scores(cells, graph.adjacency(edges), self.read("expression"), known, kernel, scale, dense=False), "cci", cells, config=key)
+        self._ran_cci(key)
         return cci.summary_of(self._cci(key), self.read("cells"), known)
 
     def niche(
@@ -219,15 +237,48 @@ class Engine:
         min_delta: float = 1e-4,
         min_epochs: int = 50,
         region_radius: float = 15.0,
+        exact_below: int = communities.EXACT_BELOW,
     ) -> DataFrame:
         """Neighbourhood features, encoder, correction, clustering and labels; null for isolated cells.
 
+        Without ``clusters`` their number is estimated, over the cohort or with ``scope`` sample in each sample by itself. Embeddings
+        are kept by their inputs and settings. ``with_regions`` writes the members' polygons and the dissolved outlines.
+
         ``probabilities`` (sample_id, cell_id, cell_type, p) make the composition soft. Expression enters by ``components`` principal
         components of each cell, averaged over hops; 0 takes the genes themselves.
         """
-        cells = self.read("cells")
-        edges = self.edges()
-        adj = staged(graph.adjacency(graph.prune(edges, reach_um)), "adjacency")
+        cells, edges = self.read("cells"), self.edges()
+        with stages():
+            adj = staged(graph.adjacency(graph.prune(edges, reach_um)), "adjacency")
+            settings = dict(k_hops=k_hops, reach_um=reach_um, mode=mode, genes=genes, components=components, epochs=epochs, patience=patience, min_delta=min_delta, min_epochs=min_epochs)
+            rows = self._embeddings(cells, adj, probabilities, settings)
+            if batch_correct == "center":
+                rows = staged(cluster.centred(rows), "centred")
+            elif batch_correct == "harmony":
+                rows = staged(harmony.corrected(rows), "harmony")
+            elif batch_correct != "none":
+                raise tables.ContractError("batch_correct is none, center or harmony")
+            if clusters:
+                found = cluster.kmeans(rows, clusters, scope=scope)
+            else:
+                found = communities.estimated(rows, scope, exact_below=exact_below)
+            labels = staged(cluster.labelled(cells, adj, found), "labels")
+            self._write(labels, "niches", cells, family=family)
+            if with_regions:
+                self._write(regions.niche_regions(cells, labels, edges, region_radius), "niche_regions", cells, family=family)
+                self._write(regions.niche_outlines(cells, labels, edges, region_radius)[0], "niche_outlines", cells, family=family)
+        return self.read("niches").where(F.col("family") == family)
+
+    def _embeddings(self, cells: DataFrame, adj: DataFrame, probabilities: DataFrame | None, settings: dict[str, Any]) -> DataFrame:
+        """Embeddings of cells with a neighbour, kept by the content of their inputs and their settings: what a later run with other clusters reads."""
+        mode, k_hops, genes, components = (settings[k] for k in ("mode", "k_hops", "genes", "components"))
+        if mode not in ("celltype", "expression", "both"):
+            raise tables.ContractError("mode is celltype, expression or both")
+        inputs = [cells.select(*CONTENT["cells"], "sample_id")] + ([] if mode == "celltype" else [self.read("expression")]) + ([] if probabilities is None else [probabilities])
+        prints = [tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(x.columns)).cast("decimal(38,0)"))).first()) for x in inputs]
+        key = config_key(prints=prints, **settings)
+        if (known := self._done("embeddings", config=key)) is not None and not known.isEmpty():
+            return known.select("sample_id", "cell_id", "features")
         parts = []
         if mode in ("celltype", "both"):
             p = features.hard_probabilities(cells) if probabilities is None else probabilities
@@ -238,31 +289,10 @@ class Engine:
                 parts.append(features.khop_means(cells, adj, components_of.expression_components(cells, expression, components), k_hops))
             else:
                 parts.append(features.vectors(features.khop_expression(cells, adj, expression, genes or sorted(r[0] for r in expression.select("gene").distinct().collect()), k_hops), "gene"))
-        if not parts:
-            raise tables.ContractError("mode is celltype, expression or both")
         rows = parts[0] if len(parts) == 1 else features.concatenated(*parts)
-        rows = cluster.encode(graph.connected(rows, adj), adj, epochs=epochs, patience=patience, min_delta=min_delta, min_epochs=min_epochs)
-        if batch_correct == "center":
-            rows = cluster.centred(rows)
-        elif batch_correct != "none":
-            raise tables.ContractError("batch_correct is none or center")
-        rows = staged(rows, "embeddings")
-        if clusters:
-            found = cluster.kmeans(rows, clusters, scope=scope)
-        else:
-            keyed = rows.withColumn("vec_id", F.xxhash64("sample_id", "cell_id"))
-            swept = staged(cluster.sweep(cluster.knn_graph(cluster.knn(keyed, column="features"))), "sweep")
-            named = swept.select("resolution", F.col("node").alias("vec_id"), "niche_id").join(keyed.select("vec_id", "sample_id", "cell_id"), "vec_id")
-            settings = swept.select("resolution", "stability", "modularity", "min_frac").distinct().collect()
-            scores = [(*s, cluster.silhouette(rows, named.where(F.col("resolution") == s["resolution"]))) for s in settings]
-            best = cluster.winner(self.spark.createDataFrame(scores, "resolution double, stability double, modularity double, min_frac double, silhouette double")).first()
-            found = named.where(F.col("resolution") == best["resolution"]).select("sample_id", "cell_id", "niche_id")
-        labels = staged(cluster.labelled(cells, adj, found), "labels")
-        self._write(labels, "niches", cells, family=family)
-        if with_regions:
-            self._write(regions.niche_regions(cells, labels, edges, region_radius), "niche_regions", cells, family=family)
-        discard(adj, rows, labels)
-        return self.read("niches").where(F.col("family") == family)
+        rows = cluster.encode(graph.connected(rows, adj), adj, **{k: settings[k] for k in ("epochs", "patience", "min_delta", "min_epochs")})
+        self._write(rows, "embeddings", cells, config=key)
+        return self._done("embeddings", config=key).select("sample_id", "cell_id", "features")
 
     def niche_profile(self, family: str = "niche", other: str | None = None, top_genes: int = 10) -> dict[str, DataFrame]:
         labels = self.read("niches").where(F.col("family") == family)
