@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import delaunay, triangle_edges
-from ..sources.stage import staged
+from ..sources.stage import discard, folder, staged
 from . import tiling
 
+#: Cells of a sample whose graph one task walks; those of larger samples are walked by joins.
+WHOLE_GRAPH = 500_000
 EDGES = "sample_id long, src long, dst long, length double"
 TRIANGLES = "sample_id long, a long, b long, c long"
 
@@ -115,8 +117,19 @@ def _search(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, sources: np.ndarray
     return hops
 
 
-def hops_to(cells: DataFrame, adj: DataFrame, source: str) -> DataFrame:
-    """sample_id, cell_id, hops (null where unreachable) from the nearest cell whose ``source`` column is true."""
+def _by_size(rows: DataFrame, whole: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of samples of at most ``whole`` cells, and those of larger ones, None if there are none."""
+    large = staged(rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select("sample_id"), "large-samples")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, "sample_id", "left_anti"), rows.join(large, "sample_id", "left_semi")
+
+
+def hops_to(cells: DataFrame, adj: DataFrame, source: str, whole: int = WHOLE_GRAPH) -> DataFrame:
+    """sample_id, cell_id, hops (null where unreachable) from the nearest cell whose ``source`` column is true.
+
+    Samples of at most ``whole`` cells take a task each; the graph of larger ones is walked level by level, see :func:`hops_by_levels`.
+    """
 
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("cell_id", kind="stable")
@@ -124,8 +137,37 @@ def hops_to(cells: DataFrame, adj: DataFrame, source: str) -> DataFrame:
         h = _search(ids, edges["a"].to_numpy(np.int64), edges["b"].to_numpy(np.int64), nodes["source"].to_numpy(bool))
         return pd.DataFrame({"sample_id": nodes["sample_id"], "cell_id": ids, "hops": pd.arrays.IntegerArray(np.maximum(h, 0).astype(np.int32), h < 0)})
 
-    left = cells.select("sample_id", "cell_id", F.coalesce(F.col(source), F.lit(False)).alias("source")).groupBy("sample_id")
-    return left.cogroup(adj.select("sample_id", "a", "b").groupBy("sample_id")).applyInPandas(run, "sample_id long, cell_id long, hops int")
+    rows = cells.select("sample_id", "cell_id", F.coalesce(F.col(source), F.lit(False)).alias("source"))
+    small, large = _by_size(rows, whole)
+    links = adj.select("sample_id", "a", "b")
+    if large is not None:
+        far = hops_by_levels(large, links)
+        links = links.join(small.select("sample_id").distinct(), "sample_id", "left_semi")
+    near = small.groupBy("sample_id").cogroup(links.groupBy("sample_id")).applyInPandas(run, "sample_id long, cell_id long, hops int")
+    return near if large is None else near.unionByName(far)
+
+
+def hops_by_levels(cells: DataFrame, adj: DataFrame) -> DataFrame:
+    """As :func:`hops_to`, of a column ``source``, by joins that every task takes part in.
+
+    A level is what the last one reaches, less itself and the one before: edges go both ways, so nothing else can come up again.
+    Each level is written once, as a partition of a staged table; there are as many rounds as the farthest cell has hops.
+    """
+    spark, path = cells.sparkSession, folder(cells.sparkSession, "hops")
+    step = staged(adj.join(cells.select("sample_id").distinct(), "sample_id", "left_semi").select("sample_id", F.col("a").alias("cell_id"), "b"), "steps")
+    key, schema = ["sample_id", "cell_id"], "sample_id long, cell_id long"
+    level = lambda hop: spark.read.schema(schema).parquet(f"{path}/hops={hop}")
+    cells.where("source").select(*key).distinct().write.parquet(f"{path}/hops=0")
+    hop = 0
+    while not level(hop).isEmpty():
+        new = level(hop).join(step, key).select("sample_id", F.col("b").alias("cell_id")).distinct().join(level(hop), key, "left_anti")
+        if hop:
+            new = new.join(level(hop - 1), key, "left_anti")
+        hop += 1
+        new.write.parquet(f"{path}/hops={hop}")
+    discard(step)
+    found = spark.read.schema(schema + ", hops int").parquet(path)
+    return cells.select(*key).join(found, key, "left")
 
 
 def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,8 +184,11 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def components(members: DataFrame, adj: DataFrame) -> DataFrame:
-    """sample_id, cell_id, component (its smallest cell_id) of the subgraph that ``members`` (sample_id, cell_id) induce."""
+def components(members: DataFrame, adj: DataFrame, whole: int = WHOLE_GRAPH) -> DataFrame:
+    """sample_id, cell_id, component (its smallest cell_id) of the subgraph that ``members`` (sample_id, cell_id) induce.
+
+    Samples of at most ``whole`` members take a task each, larger ones go by :func:`components_by_stars`.
+    """
 
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(nodes["cell_id"].to_numpy(np.int64))
@@ -154,7 +199,41 @@ def components(members: DataFrame, adj: DataFrame) -> DataFrame:
             root = _joined(len(ids), at[inside], to[inside])
         return pd.DataFrame({"sample_id": nodes["sample_id"].iloc[0] if len(nodes) else 0, "cell_id": ids, "component": ids[root] if len(ids) else ids})
 
-    return members.select("sample_id", "cell_id").distinct().groupBy("sample_id").cogroup(adj.select("sample_id", "a", "b").groupBy("sample_id")).applyInPandas(run, "sample_id long, cell_id long, component long")
+    small, large = _by_size(members.select("sample_id", "cell_id").distinct(), whole)
+    links = adj.select("sample_id", "a", "b")
+    if large is not None:
+        far = components_by_stars(large, links)
+        links = links.join(small.select("sample_id").distinct(), "sample_id", "left_semi")
+    near = small.groupBy("sample_id").cogroup(links.groupBy("sample_id")).applyInPandas(run, "sample_id long, cell_id long, component long")
+    return near if large is None else near.unionByName(far)
+
+
+def components_by_stars(members: DataFrame, adj: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """As :func:`components`, by joins: each node's larger neighbours, then its smaller ones, are linked to the smallest it knows, until nothing changes.
+
+    The number of rounds grows with the logarithm of the longest path. Each is written once.
+    """
+    members = staged(members, "members")
+    of = lambda end: members.select("sample_id", F.col("cell_id").alias(end))
+    links = adj.where("a > b").select("sample_id", "a", "b").join(of("a"), ["sample_id", "a"], "left_semi").join(of("b"), ["sample_id", "b"], "left_semi")
+    now = staged(links.select("sample_id", "a", "b").distinct(), "stars")
+    before = None
+    for _ in range(most_rounds):
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("sample_id", "a", "b").cast("decimal(20,0)"))).first()
+        if mark == before or not mark[0]:
+            break
+        both = now.union(now.select("sample_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("sample_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, ["sample_id", "a"]).select("sample_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        first = large.groupBy("sample_id", "a").agg(F.min("b").alias("m"))
+        small = large.join(first, ["sample_id", "a"]).where("b <> m").select("sample_id", F.col("b").alias("a"), F.col("m").alias("b")).union(first.select("sample_id", "a", F.col("m").alias("b")))
+        after = staged(small.where("a <> b").distinct(), "stars")
+        discard(now)
+        now, before = after, mark
+    else:
+        raise RuntimeError("components did not settle")
+    roots = now.select("sample_id", F.col("a").alias("cell_id"), F.col("b").alias("component"))
+    return members.join(roots, ["sample_id", "cell_id"], "left").withColumn("component", F.coalesce("component", "cell_id"))
 
 
 def connected(cells: DataFrame, adj: DataFrame) -> DataFrame:
