@@ -10,11 +10,12 @@ from statistics import median
 
 from pyspark.sql import SparkSession
 
+from cytoplan.operators import graph
 from cytoplan.plans import catalog, fixtures
 
 SF_DIR, CPUS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
 #: Over the derived cells (600 a sample at sf0.1).
-NAMES = ("delaunay_edges", "khop_pairs", "region_gate", "hop_layers", "hplot_celltype", "agg_membership", "cci_exponential", "khop_features_hard", "niche_markers", "niche_nmi")
+NAMES = ("delaunay_edges", "khop_pairs", "region_gate", "hop_layers", "hplot_celltype", "agg_membership", "cci_exponential", "khop_features_hard", "niche_markers", "niche_nmi", "region_outlines", "overlapping_sides", "knn_lists")
 #: Over one cell for each lineitem, with the graph of ``large_delaunay_edges`` at hand.
 LARGE = ("khop_pairs", "hplot_celltype", "cci_exponential", "niche_composition", "type_counts")
 #: Over documents and benchmark, where the subpackage is there.
@@ -27,10 +28,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     took: dict[str, float] = {}
 
-    def timed(name: str, make, warm: int = 1) -> None:
-        """Median of RUNS runs after ``warm`` others."""
+    def timed(name: str, make, warm: int = 1, runs: int = RUNS) -> None:
+        """Median of ``runs`` runs after ``warm`` others."""
         seconds = []
-        for _ in range(warm + RUNS):
+        for _ in range(warm + runs):
             spark.catalog.clearCache()
             began = time.perf_counter()
             make().write.format("noop").mode("overwrite").save()
@@ -44,6 +45,9 @@ def main() -> None:
     world.edges.count()
     for name in LARGE:
         timed(f"large_{name}", lambda n=name: catalog.QUERIES[n](world), 0)
+    # One sample of all cells: triangulated in tiles.
+    one = catalog.World(spark, SF_DIR, fixtures.bench_cells(spark, SF_DIR, 1, 800))
+    timed("one_sample_delaunay_edges", lambda: graph.delaunay_edges(one.cells), 0, 1)
     if find_spec("cytoplan.llm"):
         from cytoplan.llm import queries
 

@@ -62,9 +62,9 @@ def footprints(spark: SparkSession, base: DataFrame, shifted: bool = False) -> D
     return rows.selectExpr("sample_id", "owner", "label", "array(xa, xb, xc, xd) AS x", "array(ya, yb, yc, yd) AS y")
 
 
-def bench_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Larger samples: one cell for each lineitem, in 64 samples of jittered lattices."""
-    return spark.sql(f"""WITH base AS (SELECT l_orderkey % 64 AS sample_id, l_quantity q, l_extendedprice v, row_number() OVER (PARTITION BY l_orderkey % 64 ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS cell_id FROM parquet.`{sf_dir}/lineitem.parquet`)
-SELECT CAST(sample_id AS BIGINT) sample_id, CAST(cell_id AS BIGINT) cell_id, CAST((cell_id % 100) * 10 AS DOUBLE) + CAST((cell_id * 7919 + sample_id * 104729) % 997 AS DOUBLE) / 199.4 AS x_um,
-  CAST((cell_id - cell_id % 100) / 100 * 10 AS DOUBLE) + CAST((cell_id * 6101 + sample_id * 15485863) % 991 AS DOUBLE) / 198.2 AS y_um,
-  CASE WHEN (cell_id % 100 BETWEEN 20 AND 45) AND q > 5 THEN 'tumor' WHEN q > 25 THEN 'lymphocyte' ELSE 'stroma' END cell_type, v expr FROM base""")
+def bench_cells(spark: SparkSession, sf_dir: str, samples: int = 64, columns: int = 100) -> DataFrame:
+    """Larger samples: one cell for each lineitem, in jittered lattices of so many columns."""
+    return spark.sql(f"""WITH base AS (SELECT l_orderkey % {samples} AS sample_id, l_quantity q, l_extendedprice v, row_number() OVER (PARTITION BY l_orderkey % {samples} ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS cell_id FROM parquet.`{sf_dir}/lineitem.parquet`)
+SELECT CAST(sample_id AS BIGINT) sample_id, CAST(cell_id AS BIGINT) cell_id, CAST((cell_id % {columns}) * 10 AS DOUBLE) + CAST((cell_id * 7919 + sample_id * 104729) % 997 AS DOUBLE) / 199.4 AS x_um,
+  CAST((cell_id - cell_id % {columns}) / {columns} * 10 AS DOUBLE) + CAST((cell_id * 6101 + sample_id * 15485863) % 991 AS DOUBLE) / 198.2 AS y_um,
+  CASE WHEN (cell_id % {columns} BETWEEN 20 AND 45) AND q > 5 THEN 'tumor' WHEN q > 25 THEN 'lymphocyte' ELSE 'stroma' END cell_type, v expr FROM base""")

@@ -4,10 +4,18 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cytoplan.plans import catalog, oracles
+from jobs import queries as jobs
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["sanitize_labels", "manifest_rows", "delaunay_edges", "exact_rings", "hplot_celltype", "hplot_gene", "hplot_aggregate", "hplot_stream", "gapfill_summary", "agg_composition", "cci_exponential", "cci_summary", "khop_features_soft", "niche_markers", "niche_nmi", "knn_graph", "center_embeddings", "stale_samples"]
+CHECKED = sorted(oracles.oracle_sql())
+
+
+@pytest.fixture(scope="module")
+def world(spark):
+    """One for all queries, so that the graph is made once."""
+    return catalog.World(spark, SF)
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +30,9 @@ def plain(rows):
     return sorted(repr(tuple(None if v is None or v != v else float(v) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
-def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+@pytest.mark.parametrize("name", CHECKED)
+def test_query_equals_sql(world, duck, name):
+    df = catalog.QUERIES[name](world)
     cols = sorted(df.columns)
     got = [tuple(r[c] for c in cols) for r in df.collect()]
     found = duck.execute(entry.oracle_sql()[name])
@@ -37,9 +45,17 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["agg_features", "pca_features", "kmeans_niches", "kmeans_by_sample", "leiden_sweep", "dgi_embeddings", "niche_regions"])
-def test_queries_without_sql(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0
+@pytest.mark.parametrize("name", sorted(jobs.oracle_sql()))
+def test_job_equals_sql(spark, duck, name):
+    df = jobs.queries()[name](spark, SF)
+    found = duck.execute(jobs.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns) and plain(tuple(r[c] for c in sorted(names)) for r in df.collect()) == plain(tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["pca_features", "kmeans_niches", "kmeans_by_sample", "leiden_sweep", "dgi_embeddings", "niche_regions", "niche_outlines", "knn_lists", "niches_by_sample", "harmony_embeddings"])
+def test_queries_without_sql(world, name):
+    assert catalog.QUERIES[name](world).count() > 0
 
 
 def test_every_oracle_has_a_query():
