@@ -13,7 +13,7 @@ from .tables import ContractError, MissingKeyError, read_manifest
 #: Ends of file or folder names that are samples.
 ENDINGS = (".h5ad", ".zarr", ".parquet", ".csv", ".json", ".orc")
 #: Prefix of a path that names a manifest.
-LIST = "sptx-list://"
+LIST = "sample-list://"
 #: What the folder of an instrument's output holds, one of the first two and the third.
 XENIUM_MATRICES, XENIUM_CELLS = ("cell_by_feature_matrix.h5", "cell_feature_matrix.h5"), "cells.csv.gz"
 #: Words that a column of cell types is likely to hold.
@@ -32,7 +32,7 @@ def _listed(spark: SparkSession, path: str) -> dict[str, Any]:
 
 
 def enumerate_samples(spark: SparkSession, path: str) -> DataFrame:
-    """path and sample_id, by path: a folder's samples (names without their ending), or the rows of a manifest ``sptx-list://path``.
+    """path and sample_id, by path: a folder's samples (names without their ending), or the rows of a manifest ``sample-list://path``.
 
     Only names are listed on the driver. A plain file is refused, as it might be anything.
     """

@@ -50,17 +50,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def replace_samples(df: DataFrame, path: str, samples: DataFrame, /, **within: str) -> None:
     """Write ``df`` in place of all that ``path`` has of ``samples``, also of those without rows in ``df``.
 
-    ``within`` names partition columns above ``sample_id`` and their values; other partitions stay. The rows are staged first, so a
-    failure on the way leaves old rows or none of a sample, never both, and :func:`pending` asks for it again.
+    ``within`` names partition columns above ``sample_id`` and their values; other partitions stay. The rows are staged first and take
+    their samples' partitions in one dynamic overwrite, so a failure on the way leaves the old rows of a sample or the new ones. Only samples
+    that have no row any more are deleted one by one, at the end.
     """
     for name, value in within.items():
         df = df.withColumn(name, F.lit(value))
     rows = staged(df, "results")
     folder = "/".join([path, *[f"{k}={v}" for k, v in within.items()]])
-    for r in samples.select("sample_id").distinct().toLocalIterator():
+    gone = staged(samples.select("sample_id").distinct().join(rows.select("sample_id").distinct(), "sample_id", "left_anti"), "gone")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*within, "sample_id").parquet(path)
+    for r in gone.toLocalIterator():
         delete_path(df.sparkSession, f"{folder}/sample_id={r['sample_id']}")
-    rows.write.mode("append").partitionBy(*within, "sample_id").parquet(path)
-    discard(rows)
+    discard(rows, gone)
 
 
 def pending(samples: DataFrame, done: DataFrame | None, overwrite: bool = False) -> DataFrame:

@@ -16,9 +16,9 @@ def test_folders_manifests_and_plain_files(spark, tmp_path):
     got = samples.enumerate_samples(spark, str(tmp_path)).collect()
     assert [r.sample_id for r in got] == ["a", "b", "c"] and got[0].path.endswith("/a.csv")
     (tmp_path / "list.txt").write_text("# two\ny.h5ad\tsecond\nx.h5ad\n")
-    got = samples.enumerate_samples(spark, f"sptx-list://{tmp_path}/list.txt").collect()
+    got = samples.enumerate_samples(spark, f"sample-list://{tmp_path}/list.txt").collect()
     assert [tuple(r) for r in got] == [("x.h5ad", "x"), ("y.h5ad", "second")]
-    with pytest.raises(tables.ContractError, match="sptx-list"):
+    with pytest.raises(tables.ContractError, match="sample-list"):
         samples.enumerate_samples(spark, str(tmp_path / "notes.txt"))
     with pytest.raises(tables.MissingKeyError):
         samples.enumerate_samples(spark, str(tmp_path / "absent"))
