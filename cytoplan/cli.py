@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import re
 import sys
 
 from pyspark.sql import SparkSession
 
-from .plans.engine import AXES, EXPERIMENTAL, STABLE, Engine, HplotConfig, describe
+from .plans.adapters import schema
+from .plans.engine import AXES, EXPERIMENTAL, STABLE, Engine, HplotConfig
 from .sources import tables
 
 
@@ -57,6 +59,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--covering-only", action="store_true")
     p.add_argument("--out", help="folder that hplot-finalize writes the summary to")
     p.add_argument("--storage-options", help="environment variable that holds options of an object store as JSON")
+    p.add_argument("--soft", help="table of sample_id, cell_id, cell_type, p that niche takes for compositions")
+    p.add_argument("--top-types", type=int, help="types of each niche that niche-profile lists")
+    p.add_argument("--verbose", "-v", action="count", default=0, help="verify lists cells of each type; given twice, genes as well")
     p.add_argument("--mode", default="celltype")
     p.add_argument("--batch-correct", default="none")
     p.add_argument("--regions", action="store_true")
@@ -70,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{a.command} is experimental; set CYTOPLAN_EXPERIMENTAL=1", file=sys.stderr)
         return 2
     if a.command == "describe":
-        print(describe())
+        print(json.dumps(schema(parser()), indent=2))
         return 0
     spark = SparkSession.builder.appName("cytoplan").getOrCreate()
     if a.storage_options:
@@ -98,14 +103,18 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "cci":
             engine.cci(tables.read_lr_pairs(spark, a.lr_pairs), a.kernel, a.scale, a.max_neighbor_distance, a.overwrite, a.genes).show()
         elif a.command == "niche":
-            found = engine.niche(a.family, a.clusters, a.k_hops, a.max_neighbor_distance, a.mode, a.genes, a.n_components, a.batch_correct, a.epochs, a.regions, None, a.scope, a.early_stop_patience, a.early_stop_min_delta, a.early_stop_min_epochs, a.region_radius)
+            found = engine.niche(a.family, a.clusters, a.k_hops, a.max_neighbor_distance, a.mode, a.genes, a.n_components, a.batch_correct, a.epochs, a.regions, spark.read.parquet(a.soft) if a.soft else None, a.scope, a.early_stop_patience, a.early_stop_min_delta, a.early_stop_min_epochs, a.region_radius)
             found.show()
         elif a.command == "niche-profile":
-            for name, df in engine.niche_profile(a.family, a.agreement, a.top_n).items():
+            for name, df in engine.niche_profile(a.family, a.agreement, a.top_n, a.top_types).items():
                 print(name)
                 df.show()
         elif a.command == "verify":
             engine.verify().show()
+            if a.verbose:
+                engine.type_counts().orderBy("sample_id", "cell_type").show()
+            if a.verbose > 1 and engine.has("expression"):
+                engine.roster().orderBy("gene").show()
             if a.genes:
                 engine.missing_genes(a.genes).show()
         elif a.command == "export":

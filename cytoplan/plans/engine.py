@@ -294,9 +294,11 @@ class Engine:
         self._write(rows, "embeddings", cells, config=key)
         return self._done("embeddings", config=key).select("sample_id", "cell_id", "features")
 
-    def niche_profile(self, family: str = "niche", other: str | None = None, top_genes: int = 10) -> dict[str, DataFrame]:
+    def niche_profile(self, family: str = "niche", other: str | None = None, top_genes: int = 10, top_types: int | None = None) -> dict[str, DataFrame]:
         labels = self.read("niches").where(F.col("family") == family)
         out = {"sizes": profile.sizes(labels), "composition": profile.composition(labels, features.hard_probabilities(self.read("cells")))}
+        if top_types:
+            out["top_types"] = profile.top(out["composition"], "niche_id", "cell_type", "share", top_types)
         if self.has("expression"):
             out["markers"] = profile.markers(labels, self.read("expression"), top_genes)
         if other:
@@ -307,6 +309,15 @@ class Engine:
     def verify(self) -> DataFrame:
         return profile.verify(self.read("cells"))
 
+    def type_counts(self) -> DataFrame:
+        """Cells of each type in each sample."""
+        return profile.type_counts(self.read("cells"))
+
+    def roster(self) -> DataFrame:
+        """gene, and in how many samples and cells it has a value over 0."""
+        there = F.col("value") > 0
+        return self.read("expression").groupBy("gene").agg(F.countDistinct("sample_id").alias("n_samples"), F.sum(F.coalesce(there, F.lit(False)).cast("long")).alias("n_cells"))
+
     def missing_genes(self, genes: list[str]) -> DataFrame:
         """sample_id and gene of each asked gene that a sample's expression lacks."""
         asked = self.spark.createDataFrame([(g,) for g in genes], "gene string").withColumn("key", L.sanitise("gene"))

@@ -179,3 +179,20 @@ def test_the_last_scores_are_those_run_last_and_nothing_staged_stays(spark, engi
     live = len(stage._live)
     engine.niche(clusters=2, epochs=3, with_regions=True)
     assert len(stage._live) == live and engine.read("niche_outlines").count() > 0
+
+
+def test_commands_with_soft_types_top_types_and_more_to_verify(spark, engine, tmp_path, monkeypatch, capsys):
+    import json
+
+    from cytoplan import cli
+
+    monkeypatch.setattr(cli.SparkSession, "builder", type("B", (), {"appName": lambda s, _: s, "getOrCreate": lambda s: spark})())
+    assert cli.main(["describe"]) == 0
+    assert {"soft", "top_types", "verbose"} <= {o["name"] for o in json.loads(capsys.readouterr().out)["options"]}
+    soft = engine.read("cells").selectExpr("sample_id", "cell_id", "inline(array(struct('tumor' AS cell_type, 0.25D AS p), struct('stroma' AS cell_type, 0.75D AS p)))")
+    soft.write.parquet(str(tmp_path / "soft"))
+    assert cli.main(["niche", "--root", engine.root, "--clusters", "2", "--epochs", "3", "--soft", str(tmp_path / "soft")]) == 0
+    top = engine.niche_profile(top_types=1)["top_types"].collect()
+    assert len(top) == engine.niche_profile()["sizes"].count() and {r["rank"] for r in top} == {1}
+    assert cli.main(["verify", "--root", engine.root, "-vv"]) == 0
+    assert "n_types" in (out := capsys.readouterr().out) and "cell_type" in out
