@@ -34,3 +34,18 @@ def test_a_training_step_convolves_single_columns_only():
     sigmoid = lambda v: 1 / (1 + np.exp(-v))
     p = [sigmoid(y @ (w[2] @ sigmoid(z[0].mean(0)))) for y in z]
     assert abs(loss + np.log(p[0] + 1e-9).mean() + np.log(1 - p[1] + 1e-9).mean()) < 1e-12
+
+
+def test_nearest_by_products_equal_those_by_differences(spark):
+    rng = np.random.default_rng(2)
+    v = rng.random((300, 6)).astype(np.float32)
+    v[40:80], v[100:103] = v[40], v[100] + np.float32(1e-6)  # copies, and rows that single precision can hardly tell apart
+    rows = spark.createDataFrame([(i * 3, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    got = {(r.a, r["rank"]): (r.b, r.d2) for r in cluster.knn(rows, 7, asks=50, has=120).collect()}
+    v = v.astype(float)
+    want = {}
+    for i in range(300):
+        d = ((v - v[i]) ** 2).sum(1)
+        d[i] = np.inf
+        want.update({(i * 3, k + 1): (int(j) * 3, d[j]) for k, j in enumerate(np.lexsort((np.arange(300), d))[:7])})
+    assert got == want
