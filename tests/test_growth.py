@@ -36,6 +36,13 @@ def test_a_training_step_convolves_single_columns_only():
     assert abs(loss + np.log(p[0] + 1e-9).mean() + np.log(1 - p[1] + 1e-9).mean()) < 1e-12
 
 
+def test_every_search_of_a_small_graph_is_a_task(spark):
+    rows = [(0, i, (i + 1) % 40 if (i + 1) % 40 > i else i, 1.0) for i in range(39)]
+    found = communities.runs(spark.createDataFrame(rows, "grp long, lo long, hi long, w double"))
+    assert found.select("resolution", "repeat").distinct().count() == 15
+    assert found.select(F.input_file_name()).distinct().count() >= 10
+
+
 def test_nearest_by_products_equal_those_by_differences(spark):
     rng = np.random.default_rng(2)
     v = rng.random((300, 6)).astype(np.float32)
