@@ -56,3 +56,15 @@ def test_nearest_by_products_equal_those_by_differences(spark):
         d[i] = np.inf
         want.update({(i * 3, k + 1): (int(j) * 3, d[j]) for k, j in enumerate(np.lexsort((np.arange(300), d))[:7])})
     assert got == want
+
+
+def test_kmeans_computes_its_rows_once(spark):
+    count = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            count.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame(pd.DataFrame({"sample_id": 1, "cell_id": range(90), "features": [[float(i % 3), float(i)] for i in range(90)]}), "sample_id long, cell_id long, features array<double>")
+    assert cluster.kmeans(rows.mapInPandas(run, rows.schema), 3).count() == 90 and count.value == 90
