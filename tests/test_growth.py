@@ -104,3 +104,20 @@ def test_sides_shorter_than_the_overlap_make_no_pairs(spark, monkeypatch):
         monkeypatch.setattr(outlines.S, name, lambda *_: F.lit(True))
     monkeypatch.setattr(outlines.S, "common_length", lambda *_: F.lit(9.0))
     assert [tuple(r) for r in outlines.overlapping_sides(df).collect()] == [(1, 100, 101)]
+
+
+def test_centres_are_fitted_in_many_tasks_and_the_same_each_time(spark, monkeypatch):
+    seen, fit = [], communities.KMeans.fit
+    monkeypatch.setattr(communities.KMeans, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), self.getInitMode())) or fit(self, df))
+    data = spark.range(2000).selectExpr("id", "array(sin(id), cos(id * 7), cast(id % 13 AS double) / 3) AS v")
+    a, b = (communities._centres(df, 2000, 64, 0) for df in (data, data.repartition(5)))
+    assert np.array_equal(a, b) and len(a) == 32
+    assert seen == [(communities.TASKS, "random")] * 2  # in one task, begun by a clustering in the driver, before
+
+
+def test_queries_of_embeddings_stage_no_cells(spark):
+    from cytoplan.plans import catalog
+
+    world = catalog.World(spark, "/root/testdata/sf0.001")
+    world.embeddings().count()
+    assert world._cells is None and world.cells.count() == world.cells.distinct().count() > 0
