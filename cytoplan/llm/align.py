@@ -25,6 +25,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,13 @@ class Pair:
         self.a_bytes = {i: bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode() for entry, i in self.a.get_vocab().items()}
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.lone_space = self.b.piece_to_id("▁")
+        self.a_list = [self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)]
+        self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_list, self.b_bytes))
+        #: Ids as they are written, with what may follow them.
+        self.a_shown, self.b_shown = (np.array([[f"{i}{mark}" for i in range(len(x))] for mark in marks], object) for x, marks in ((self.a_list, ",|"), (self.b_bytes, ",;\n")))
+        self.before: dict[str, regex.Pattern] = {}
         self.cut = self._cuts()
+        self.cuts_after = _Cuts(self.before.get(" "))
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_byte(i):
@@ -82,29 +89,78 @@ class Pair:
             barred = "".join(regex.escape(c) for c in sorted(joined) if not c.isspace())
             if "\ufffd" in joined or (blank == "\n" and any(b" \n" in e for e in self.b_bytes)):
                 continue
-            rules.append(rf"(?<=[\p{{L}}\p{{N}}\p{{P}}\p{{S}}--[▁{barred}]])(?={regex.escape(blank)})")
+            before = rf"[\p{{L}}\p{{N}}\p{{P}}\p{{S}}--[▁{barred}]]"
+            self.before[blank] = regex.compile(before, regex.V1)
+            rules.append(rf"(?<={before})(?={regex.escape(blank)})")
         return regex.compile("|".join(rules) or r"(?!)", regex.V1)
 
     def segments(self, text: str) -> list[str]:
-        """The segments of a space and ``text``."""
-        return self.cut.split(" " + text)
+        """The segments of a space and ``text``: those of ``cut``, which looks at every character; here only what stands before a space is looked up."""
+        parts = text.split(" ")
+        after = [self.cuts_after[p[-1:]] for p in parts[:-1]]
+        if all(after):
+            out = [f" {p}" for p in parts]
+        else:
+            out, held = [], " " + parts[0]
+            for p, cut in zip(parts[1:], after, strict=True):
+                if cut:
+                    out.append(held)
+                    held = " " + p
+                else:
+                    held += " " + p
+            out.append(held)
+        return [x for s in out for x in (self.cut.split(s) if "\n" in s else (s,))] if "\n" in text else out
 
     def align(self, segments: list[str]) -> list[str | None]:
         """The alignment of each segment; None where tokens do not spell it."""
         firsts = self.a.encode_batch_fast(segments, add_special_tokens=False)
         # The second tokenizer adds a space: one that is there is left out, before a line feed it is a token of its own.
         seconds = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        out: list[str | None] = []
-        for segment, first, b_ids in zip(segments, firsts, seconds, strict=True):
+        for k, segment in enumerate(segments):
             if segment == " ":  # an empty text gets no space
-                b_ids = [self.lone_space]
+                seconds[k] = [self.lone_space]
             elif segment[0] != " ":
-                if b_ids[:1] != [self.lone_space]:
+                if seconds[k][:1] != [self.lone_space]:
                     raise ValueError("the second tokenizer does not begin with a space of its own")
-                b_ids = b_ids[1:]
-            out.append(self._aligned(segment.encode(), first.ids, b_ids))
+                seconds[k] = seconds[k][1:]
+        data, a_lists = [s.encode() for s in segments], [x.ids for x in firsts]
+        if self._spell(data, a_lists, self.a_list, self.a_size) and self._spell(data, seconds, self.b_bytes, self.b_size):
+            return self._shown(a_lists, seconds)
+        out: list[str | None] = [None] * len(segments)
+        spelled = [k for k, (d, x, y) in enumerate(zip(data, a_lists, seconds, strict=True)) if self._spell([d], [x], self.a_list, self.a_size) and self._spell([d], [y], self.b_bytes, self.b_size)]
+        for k, shown in zip(spelled, self._shown([a_lists[k] for k in spelled], [seconds[k] for k in spelled]), strict=True):
+            out[k] = shown
         return out
 
+    @staticmethod
+    def _spell(data: list[bytes], lists: list[list[int]], entries: list[bytes], size: np.ndarray) -> bool:
+        """Whether the tokens of each segment spell it."""
+        if b"".join(map(entries.__getitem__, chain.from_iterable(lists))) != b"".join(data):
+            return False
+        if len(data) == 1:
+            return True
+        # The bytes of all are equal, and so those of each where segments end at the same places.
+        ends = np.append(0, np.cumsum(size[np.fromiter(chain.from_iterable(lists), np.int64)]))
+        return np.array_equal(ends[np.cumsum(list(map(len, lists)))], np.cumsum(list(map(len, data))))
+
+    def _shown(self, a_lists: list[list[int]], b_lists: list[list[int]]) -> list[str]:
+        """The alignments of segments that both spell, all at once: as if they were one text, whose groups end where tokens of both do."""
+        if not len(a_lists):
+            return []
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_lists, b_lists))
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        if not (self.a_size[a].all() and self.b_size[b].all()):
+            return [self._aligned(b"".join(map(self.a_list.__getitem__, x)), x, y) for x, y in zip(a_lists, b_lists, strict=True)]
+        ends = np.intersect1d(a_end, b_end, assume_unique=True)
+        of_a, of_b = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
+        closes_a, closes_b = ends[of_a] == a_end, (ends[of_b] == b_end).astype(np.int64)
+        closes_b[np.cumsum(list(map(len, b_lists))) - 1] = 2
+        shown = np.empty(len(a) + len(b), object)
+        # A group's tokens of the first kind stand before those of the second.
+        shown[np.arange(len(a)) + np.searchsorted(of_b, of_a)] = self.a_shown[closes_a.astype(np.int64), a]
+        shown[np.arange(len(b)) + np.searchsorted(of_a, of_b, side="right")] = self.b_shown[closes_b, b]
+        return "".join(shown.tolist()).split("\n")[:-1]
+
     def _aligned(self, spelled: bytes, a_ids: list[int], b_ids: list[int]) -> str | None:
         a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
         if b"".join(a_bytes) != spelled or b"".join(b_bytes) != spelled:
@@ -125,6 +181,18 @@ class Pair:
         return ";".join(groups)
 
 
+class _Cuts(dict):
+    """Whether a text may be cut between a character and a space."""
+
+    def __init__(self, before: regex.Pattern | None):
+        super().__init__({"": False})
+        self.before = before
+
+    def __missing__(self, key: str) -> bool:
+        self[key] = out = self.before is not None and self.before.fullmatch(key) is not None
+        return out
+
+
 _pairs: dict[tuple[str, str], Pair] = {}
 
 

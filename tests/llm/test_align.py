@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -88,3 +89,26 @@ def test_groups_null_ids_and_empty_table(spark):
     assert (rows[0].doc_id, rows[0].groups_sha256, rows[1].doc_id) == (7, "", None)
     assert hashlib.sha256(rows[1].groups.encode()).hexdigest() == rows[1].groups_sha256
     assert align.aligned(docs.limit(0)).collect() == []
+
+
+def test_segments_and_alignments_all_at_once_equal_those_of_each(monkeypatch):
+    """Cuts looked up by the character before a space are those of the pattern; segments aligned together are as if aligned alone."""
+    pair = align.pair_of(*align.default_paths())
+    rng = np.random.default_rng(5)
+    letters = list("abcXYZ09.,;'\"()-_  \n\n\t\r#▁é中🙂 　​�\x00")
+    texts = ["".join(rng.choice(letters, int(rng.integers(1, 60)))) for _ in range(400)] + [" ", "\n", " \n ", "a", "a \n b", "word word\nline  two \n"]
+    found = [pair.segments(t) for t in texts]
+    assert found == [pair.cut.split(" " + t) for t in texts]
+    names = sorted({s for x in found for s in x})
+    together = pair.align(names)
+    assert None in together and sum(x is not None for x in together) > len(names) / 2
+    assert together == [pair.align([s])[0] for s in names]
+    # One by one in plain Python, as it was before: many at once make no call.
+    seen = []
+    plain = pair._aligned
+    monkeypatch.setattr(pair, "_aligned", lambda *x: seen.append(1) or plain(*x))
+    assert pair.align(names) == together and not seen
+    firsts = pair.a.encode_batch(names, add_special_tokens=False)
+    for s, first, got in zip(names, firsts, together):
+        b_ids = [pair.lone_space] if s == " " else pair.b.encode(s[1:] if s[0] == " " else s)[0 if s[0] == " " else 1 :]
+        assert plain(s.encode(), first.ids, b_ids) == got
