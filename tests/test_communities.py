@@ -124,6 +124,29 @@ def test_silhouettes_by_sums_equal_all_distances(spark):
     assert abs(communities.silhouettes(rows, ["grp", "resolution"]).first()["silhouette"] - np.mean(score)) < 1e-9
 
 
+def test_silhouettes_are_computed_for_even_settings_alone_and_in_blocks(spark, monkeypatch):
+    asked, plain = [], communities.silhouettes
+
+    def spy(named, at):
+        asked.append(named.select(*at).distinct().count())
+        return plain(named, at)
+
+    monkeypatch.setattr(communities, "silhouettes", spy)
+    schema = "sample_id long, cell_id long, features array<double>"
+    z = np.random.default_rng(8).random((120, 3))
+    uneven = spark.createDataFrame([(1, i, [float(x) for x in v]) for i, v in enumerate(z)], schema)
+    assert communities.estimated(uneven, "sample", resolutions=(0.5, 4.0), repeats=2).count() == 120 and asked == []
+    even = spark.createDataFrame(blobs({1: 3}), schema)
+    assert communities.estimated(even, "sample", resolutions=(0.05, 0.06), repeats=2).count() == 90 and asked == [2]
+    rows = [(g, 1.0, i, [float(x) for x in v], i % (g + 2)) for g in (0, 1) for i, v in enumerate(z)] + [(2, 1.0, 0, [0.0] * 3, 0)]
+    named = spark.createDataFrame(rows, "grp long, resolution double, vec_id long, features array<double>, niche_id int")
+    scores = []
+    for cells in (communities.CELLS, 7):
+        monkeypatch.setattr(communities, "CELLS", cells)
+        scores.append({r.grp: r.silhouette for r in plain(named, ["grp", "resolution"]).collect()})
+    assert scores[0].keys() == {0, 1} and all(abs(scores[0][g] - scores[1][g]) < 1e-12 for g in (0, 1))
+
+
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     e = Engine(spark, str(tmp_path_factory.mktemp("niches")))
