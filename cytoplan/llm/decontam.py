@@ -9,8 +9,9 @@ one block at least, so the items listed under the block values that near make up
 verified by exact weighted Jaccard similarity of shingle multisets (sum of weights times the smaller counts over that of the larger
 counts), kept up from window to window; ``threshold`` or more is a match.
 
-At similarity 0.8 fingerprints differ by about 10 of 64 bits with a deviation of 3, and every alignment near the best is tried as
-well; the tests measure the recall at ``RADIUS`` 15.
+At similarity 0.8 fingerprints differ by about 10 of 64 bits with a deviation of 3, so a few similar windows lie beyond ``RADIUS``. These
+are found exactly: an item lists its heaviest shingles, so many that a window without any of them cannot be similar; windows that hold a
+listed one are verified too where the weight of their hits allows ``threshold``. No similar pair is missed.
 
 Distribution: documents are read once and never shuffled. Items are sent to the tasks in groups of at most ``ITEM_BYTES`` of text;
 a larger benchmark takes several passes. A task holds a chunk of text, and work grows with its words, not with an item's length.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,7 @@ class Group:
     prints: np.ndarray
     own: np.ndarray  # the shingles of its items, as places among all
     blocks: list[Block]
+    heads: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs within RADIUS bits, by window and then item."""
@@ -164,7 +166,7 @@ class Index:
                     if group.shingle == shingle:
                         mine = np.isin(place[index[hit]], group.own)
                         if mine.any():
-                            self._windows(group, hashes, weights, first, index[hit][mine], row[hit][mine], threshold, best)
+                            self._windows(group, hashes, place, weights, first, index[hit][mine], row[hit][mine], threshold, best)
             chars = None
             for (row, item), (value, a, b) in sorted(best.items()):
                 if chars is None:
@@ -172,7 +174,52 @@ class Index:
                 zero = chars[offsets[row]]
                 yield at + row, item, value, int(chars[starts[a]] - zero), int(chars[ends[b - 1]] - zero)
 
-    def _windows(self, group: Group, hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.ndarray, threshold: float, best: dict) -> None:
+    def _heads(self, group: Group, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of shingles, ascending, and an item that each is listed for, and the items' weights: a window without a listed shingle of an item is not similar to it.
+
+        An item lists its heaviest shingles, until those left weigh less than ``threshold`` of it.
+        """
+        if threshold not in group.heads:
+            place = self.find(group.hashes.ravel()).reshape(group.hashes.shape)
+            order = np.argsort(-self.weights[place], axis=1, kind="stable")
+            place = np.take_along_axis(place, order, 1)
+            weight = self.weights[place]
+            total = weight.sum(1)
+            item, column = np.nonzero(np.cumsum(weight, 1) - weight <= (1 - threshold) * total[:, None] * (1 + 1e-9) + 1)
+            listed, item = np.divmod(np.unique(place[item, column] * len(place) + item), len(place))
+            group.heads[threshold] = listed, item, total
+        return group.heads[threshold]
+
+    def _missed(self, group: Group, place: np.ndarray, weights: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item) of all pairs that can be similar by the weights of the windows' hits, however far their fingerprints are."""
+        listed, item, sought = self._heads(group, threshold)
+        place = place[at]
+        begin, end = np.searchsorted(listed, place, "left"), np.searchsorted(listed, place, "right")
+        n = end - begin
+        hit = np.repeat(np.arange(len(at)), n)
+        item = item[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(hit))]
+        order = np.argsort(item, kind="stable")
+        hit, item = hit[order], item[order]
+        total = np.append(0, np.cumsum(weights))
+        for part in np.split(np.arange(len(item)), np.flatnonzero(item[1:] != item[:-1]) + 1):
+            if not len(part):
+                continue
+            own = at[hit[part]]
+            # Windows that hold one of these hits, each once.
+            first, last = np.searchsorted(high, own, "right"), np.searchsorted(low, own, "right")
+            first[1:] = np.maximum(first[1:], last[:-1])
+            n = np.maximum(last - first, 0)
+            w = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            if len(w):
+                name = int(item[part[0]])
+                near = slice(*np.searchsorted(at, [low[w[0]], high[w[-1]]]))
+                shared = np.where(np.isin(place[near], self.find(group.hashes[name])), weights[at[near]], 0)
+                shared = np.append(0, np.cumsum(shared))
+                most = shared[np.searchsorted(at[near], high[w])] - shared[np.searchsorted(at[near], low[w])]
+                w = w[most >= threshold * (total[high[w]] - total[low[w]] + sought[name] - most) * (1 - 1e-9)]
+                yield w, np.full(len(w), name)
+
+    def _windows(self, group: Group, hashes: np.ndarray, place: np.ndarray, weights: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.ndarray, threshold: float, best: dict) -> None:
         """Windows of the group's size that hold a hit; ``at`` has the hits' first words, in order."""
         m, k = group.words, group.shingle
         # Windows begin up to m - k words before a hit; each once.
@@ -191,7 +238,11 @@ class Index:
             w, i = group.near(prints[s : s + WINDOWS])
             windows.append(w + s)
             items.append(i)
+        for w, i in self._missed(group, place, weights, at, low, high, threshold):
+            windows.append(w)
+            items.append(i)
         w, i = np.concatenate([np.zeros(0, np.int64), *windows]), np.concatenate([np.zeros(0, np.int64), *items])
+        w, i = np.divmod(np.unique(w * len(group.ids) + i), len(group.ids))
         order = np.lexsort((w, row[w], i))
         w, i = w[order], i[order]
         cuts = np.flatnonzero((i[1:] != i[:-1]) | (row[w][1:] != row[w][:-1])) + 1

@@ -71,6 +71,24 @@ def test_recall_at_the_threshold():
     assert len(near) > 50 and len(got & near) >= 0.9 * len(near) and got <= want.keys()
 
 
+def test_windows_beyond_the_radius_are_found_exactly(monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = ["w%d" % i for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(3, 40))))) for i in range(60)]
+    items += [(i + 60, text + " more words") for i, text in items[:20]]
+    docs = []
+    for i, text in items:
+        own = text.split()
+        own[-1] = "new"
+        docs.append((len(docs), " ".join([*rng.choice(vocabulary, 20), *own, *own[:9], *rng.choice(vocabulary, 20)])))
+    want = plain(docs, items)
+    for radius in (decontam.RADIUS, 0):
+        monkeypatch.setattr(decontam, "RADIUS", radius)
+        index = decontam.Index([i for i, _ in items], [t for _, t in items])
+        got = {(row, item): value for row, item, value, *_ in index.matches(pa.array([t for _, t in docs]), 0.8)}
+        assert len(want) > 30 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_blocks_list_few_pairs_and_all_near_ones():
     rng = np.random.default_rng(6)
     for n in (300, 6000):  # by comparison of values, and by probes
