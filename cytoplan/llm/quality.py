@@ -126,9 +126,11 @@ class Sums:
         self.size = 0
 
     def add(self, lang: str, keys: np.ndarray) -> None:
-        pair = np.unique(keys, return_counts=True)
-        self.held.setdefault(lang, []).append(pair)
-        self.size += len(pair[0])
+        self.put(lang, *np.unique(keys, return_counts=True))
+
+    def put(self, lang: str, keys: np.ndarray, n: np.ndarray) -> None:
+        self.held.setdefault(lang, []).append((keys, n))
+        self.size += len(keys)
 
     def full(self) -> bool:
         """Whether as many keys are held as a task should hold, also after merging them."""
@@ -142,6 +144,34 @@ class Sums:
             self.held[lang] = [(keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))]
         self.size = sum(len(parts[0][0]) for parts in self.held.values())
 
+    def packed(self, parts: int) -> Iterator[pa.RecordBatch]:
+        """What is held, which goes: a row (``PACK``) for each of ``parts``, with the keys that belong there and their counts as arrays, by language."""
+        self.merge()
+        if self.size:
+            names = list(self.held)
+            keys, n = (np.concatenate([self.held[lang][0][k] for lang in names]).view(np.int64) for k in (0, 1))
+            code = (C.mix64(keys.view(_U)) % _U(parts)).astype(np.int64) * len(names) + np.repeat(np.arange(len(names)), [len(self.held[lang][0][0]) for lang in names])
+            self.held, self.size = {}, 0
+            order = np.argsort(code)
+            keys, n, code = keys[order], n[order], code[order]
+            heads = np.flatnonzero(np.diff(code, prepend=-1))  # of a part's languages
+            part, lang = np.divmod(code[heads], len(names))
+            rows = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(heads))
+            ends = np.append(heads, len(keys))
+            bytes_ = pa.py_buffer((ends[rows] * 8).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(rows.astype(np.int32), x) for x in (pa.array(names).take(pa.array(lang)), pa.array(np.diff(ends)))]
+            arrays = [pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, bytes_, pa.py_buffer(x)]) for x in (keys, n)]
+            out = pa.RecordBatch.from_arrays([pa.array(part[rows[:-1]].astype(np.int32)), *lists, *arrays], ["part", "lang", "size", "gram", "n"])
+            for i, j in C.row_slices(ends[rows] * 16, C.CHUNK_BYTES):
+                yield out.slice(i, j - i)
+
+    def unpack(self, batch: pa.RecordBatch) -> None:
+        """Adds rows of :meth:`packed`."""
+        for langs, sizes, gram, n in zip(*[batch.column(k).to_pylist() for k in range(1, 5)], strict=True):
+            at = np.cumsum(sizes)[:-1]
+            for lang, keys, counts in zip(langs, np.split(np.frombuffer(gram, np.int64), at), np.split(np.frombuffer(n, np.int64), at), strict=True):
+                self.put(lang, keys, counts)
+
     def drain(self) -> Iterator[pa.RecordBatch]:
         self.merge()
         for lang, [(keys, n)] in self.held.items():
@@ -151,6 +181,10 @@ class Sums:
         self.held, self.size = {}, 0
 
 
+#: A part of a task's counts; gram and n hold 64-bit numbers, ``size`` of them for each language.
+PACK = "part int, lang array<string>, size array<long>, gram binary, n binary"
+
+
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """Language, row numbers, bytes and offsets of chunks of a batch; the text is a column or stands in the column ``row``."""
     langs = batch.column("lang").to_pylist()
@@ -166,7 +200,11 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.nd
 
 
 def _counted(docs: DataFrame, keys: Callable[[str, np.ndarray, np.ndarray], Iterator[np.ndarray]]) -> DataFrame:
-    """lang, gram and n: how often each key occurs, over all rows of docs (lang, text)."""
+    """lang, gram and n: how often each key occurs, over all rows of docs (lang, text).
+
+    Keys cross the shuffle in packs, a row for each task and part: a row for each key would make the executors' heaps grow with rows and hash maps.
+    """
+    parts = C.partitions_of(docs, 8 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
@@ -176,12 +214,21 @@ def _counted(docs: DataFrame, keys: Callable[[str, np.ndarray, np.ndarray], Iter
                     for found in keys(lang, data, offsets):
                         sums.add(lang, found)
                 if sums.full():
-                    yield from sums.drain()
+                    yield from sums.packed(parts)
+        yield from sums.packed(parts)
+        C.release()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, most = Sums(), 1_000_000
+        for batch in batches:
+            sums.unpack(batch)
+            if sums.size > most:
+                sums.merge()
+                most = max(most, 2 * sums.size)
         yield from sums.drain()
+        C.release()
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
-    # A task's keys are distinct already: summing before the shuffle would only take memory.
-    return counted.repartition(C.partitions_of(docs, 4 << 20), "lang", "gram").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(run, PACK).repartitionById(parts, F.col("part")).mapInArrow(added, "lang string, gram long, n long")
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -437,6 +484,7 @@ def scored(docs: DataFrame, models: dict[str, Language], last: bool = True) -> D
                 )
             else:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cost)], [*batch.schema.names[:3], "cost"])
+        C.release()
 
     if last:
         return docs.mapInArrow(run, T.StructType([*SCORED.fields, *([docs.schema["row"]] if carry else [])]))

@@ -170,3 +170,30 @@ def test_a_part_scores_its_own_range_of_grams():
     in_part = (quality.Model.hash(gram.astype(np.uint32)).astype(np.uint64) * np.uint64(3)) >> np.uint64(32)
     models = [quality.Model(gram[in_part == k], n[in_part == k], whole=whole, part=k, parts=3) for k in range(3)]
     assert np.array_equal(sum(m.score(asked) for m in models), quality.Model(gram, n).score(asked))
+
+
+def test_counts_cross_the_shuffle_in_packs(spark):
+    """A task sends a row for each part, not one for each key; sums are those of a plain count, with any languages and keys below 0."""
+    rng = np.random.default_rng(5)
+    sums, want = quality.Sums(), Counter()
+    for lang in ["=a", "", "=é", "=one"]:
+        for _ in range(3):
+            keys = rng.integers(-2000, 2000, 1 if lang == "=one" else 5000)
+            sums.add(lang, keys)
+            want.update((lang, int(k)) for k in keys)
+    packs = list(sums.packed(7))
+    assert sum(p.num_rows for p in packs) == 7
+    assert not sums.held and not list(sums.packed(7)) and not list(sums.drain())
+    for p in packs:
+        sums.unpack(p)
+        sums.unpack(p)
+    got = {(r["lang"], r["gram"]): r["n"] for p in sums.drain() for r in p.to_pylist()}
+    assert got == {k: 2 * n for k, n in want.items()}
+
+    words = [[f"w{k}" for k in rng.integers(0, 3000, 400)] for _ in range(40)]
+    docs = spark.createDataFrame([("=a" if i % 3 else "=b", " ".join(w)) for i, w in enumerate(words)], "lang string, text string").repartition(3)
+    counted = quality.count_words(docs)
+    plain = Counter(("=a" if i % 3 else "=b", w) for i, ws in enumerate(words) for w in ws)
+    assert sorted((r["lang"], r["n"]) for r in counted.collect()) == sorted((lang, n) for (lang, _), n in plain.items())
+    assert not quality.count_words(docs.limit(0)).collect()
+    assert "HashAggregate" not in counted._jdf.queryExecution().executedPlan().toString()
