@@ -51,6 +51,42 @@ def test_lists_find_nearly_all_neighbours(spark):
     assert all(abs(d - ((v[a] - v[b]) ** 2).sum()) < 1e-9 for (a, b), d in list(one.items())[:500])
 
 
+def test_equal_distances_go_by_id_whatever_the_partitions(spark):
+    rng = np.random.default_rng(9)
+    v, grp = rng.integers(0, 4, (900, 3)) / 3.0 + 0.1, rng.integers(0, 2, 900)  # 64 vectors: copies, and other ties
+    rows = frame(spark, v, grp)
+    exact = ((v[:, None] - v[None]) ** 2).sum(2)
+    exact[grp[:, None] != grp[None]] = np.inf
+    np.fill_diagonal(exact, np.inf)
+    want = {(i, int(j)) for i, d in enumerate(exact) for j in np.lexsort((np.arange(900), d))[:7]}
+    before, lists = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("4", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert {(r.a, r.b) for r in communities.nearest(rows, 7, "sample_id")[0].collect()} == want
+            lists.append({(r.a, r.b, r["rank"], r.d2) for r in communities.nearest(rows, 7, "sample_id", exact_below=0, probes=3, size=64)[0].collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert lists[0] == lists[1] and len(lists[0]) == 7 * 900
+
+
+def test_other_lists_send_only_what_is_nearer_than_the_own_list(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    v = np.repeat(rng.random((12, 3)) * 9, 50, 0) + rng.normal(0, 0.01, (600, 3))
+    sent, plain = [], communities._found
+
+    def spy(*a):
+        out = staged(plain(*a), "found")
+        sent.append(out.selectExpr("sum(size(near))").first()[0])
+        return out
+
+    monkeypatch.setattr(communities, "_found", spy)
+    got = found(communities.nearest(frame(spark, v), 7, exact_below=0, size=50)[0])
+    want = near(v, 7)
+    assert sum(len(got[i] & want[i]) for i in want) > 0.97 * 7 * 600
+    assert sent[0] <= 7 * 600 and sent[1] <= 7 * 600  # before, 8 * 7 * 600 altogether
+
+
 def planted(rng, groups, size, inside=6, across=0.4):
     n = groups * size
     label = np.arange(n) // size

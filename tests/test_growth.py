@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cytoplan.operators import cluster, communities, outlines
+from cytoplan.sources.stage import CLEANS, staged
 
 
 def test_a_training_step_convolves_single_columns_only():
@@ -45,6 +46,45 @@ def test_every_search_of_a_small_graph_is_a_task(spark):
     assert found.select(F.input_file_name()).distinct().count() >= 10
 
 
+def test_searches_read_graphs_and_shuffle_no_edge(spark, monkeypatch):
+    plans, plain = {}, communities.staged
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(communities, "staged", spy)
+    rng = np.random.default_rng(4)
+    edges = np.unique(np.sort(rng.integers(0, 90, (500, 2)), 1), axis=0)
+    rows = [(g, int(a) * 11, int(b) * 11, float(1 + g * (a % 3))) for g in (0, 5) for a, b in edges if a < b]
+    found = communities.runs(spark.createDataFrame(rows, "grp long, lo long, hi long, w double").repartition(3), (0.5, 2.0), 2)
+    assert "Exchange" in plans["graphs"] and "Exchange" not in plans["communities"]
+    got = {(r.grp, r.resolution, r.repeat): r.labels for r in found.collect()}
+    assert len(got) == 8
+    for (g, resolution, repeat), labels in got.items():
+        own = np.array([r[1:] for r in rows if r[0] == g])
+        own = own[np.lexsort((own[:, 1], own[:, 0]))]
+        nodes, at = np.unique(own[:, :2].astype(int), return_inverse=True)
+        at = at.reshape(-1, 2)
+        assert labels == cluster.communities(len(nodes), at[:, 0], at[:, 1], resolution, repeat, own[:, 2]).tolist()
+
+
+def test_shuffle_files_of_a_staged_plan_go(spark):
+    blocks = lambda: sum(b.isShuffle() for b in _all(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()))
+    before = blocks()
+    out = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(100):
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and out.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get(CLEANS, None) is None
+
+
+def _all(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def test_nearest_by_products_equal_those_by_differences(spark):
     rng = np.random.default_rng(2)
     v = rng.random((300, 6)).astype(np.float32)
