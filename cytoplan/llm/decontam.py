@@ -16,7 +16,8 @@ listed one are verified too where the weight of their hits allows ``threshold``.
 Distribution: documents are read once and never shuffled. Items are sent to the tasks in groups of at most ``ITEM_BYTES`` of text;
 a larger benchmark takes several passes. A task holds a chunk of text, and work grows with its words, not with an item's length.
 
-Edge cases: null and wordless items match nothing, null texts hold nothing; equal items are all reported, of rows with one item_id
+Edge cases: items of a null text and wordless ones match nothing, null texts hold nothing; items without an id cannot be reported, but
+:func:`clean` removes what holds them; equal items are all reported, of rows with one item_id
 the best match; of windows with equal similarity the first is reported; repeated rows are judged alike; an empty benchmark or table
 gives no matches. Other columns are ignored, or kept by :func:`clean`.
 """
@@ -304,9 +305,10 @@ def _best(item: np.ndarray, item_weights: np.ndarray, hashes: np.ndarray, weight
     return best
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes over all items, each of at most about ITEM_BYTES of text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+def indexes(benchmark: DataFrame, named: bool = True) -> list[Index]:
+    """Indexes over all items, each of at most about ITEM_BYTES of text. Unless they are to be ``named``, items without an id are among them."""
+    name = F.col("item_id").cast("long")
+    items = benchmark.select((name if named else F.coalesce(name, F.lit(-1))).alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-int(size) // ITEM_BYTES) or 1
     out = []
@@ -340,7 +342,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text matches no item."""
     place = docs.columns.index("text")
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, named=False):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

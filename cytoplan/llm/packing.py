@@ -11,13 +11,15 @@ of its length; ranks come from per-task counters and a prefix sum over tasks, so
 
 Edge cases: a null or empty text is one piece with the end id alone; ids of repeated rows are packed as often as they occur;
 an empty table gives no rows. Other columns are ignored.
+
+With ``with_ids`` a piece carries its ids, so the sequences of ids are there, not only the plan of them.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,17 @@ from . import common as C
 from . import tokens
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """Pieces of all documents: part, rank (among those of its length in its part), doc_id, piece, start, length, ids_crc32."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+    """Pieces of all documents: part, rank (among those of its length in its part), doc_id, piece, start, length, ids_crc32; and ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        # Ids take as much room as their text, so fewer rows are held with them.
+        for batch in C.slices(batches, 128) if with_ids else batches:
             rows: list[tuple] = []
+            held: list[bytes] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = coder.encode(text) + tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -45,12 +49,22 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
                     n = len(part_ids) // 4
                     rows.append((part, seen[n], doc_id, piece, at // 4, n, zlib.crc32(part_ids)))
                     seen[n] += 1
+                if with_ids:
+                    held.append(ids)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "rank", "doc_id", "piece", "start", "length", "ids_crc32"])
+            arrays, names = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "rank", "doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                ends = np.append(0, np.cumsum(np.array(cols[5], np.int64))).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names)
+        if with_ids:
+            coder.words.clear()  # words of all tasks together would stay in the worker
+            C.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 # ---------------------------------------------------------------- the plan
@@ -180,10 +194,14 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(runs), np.int64).reshape(-1, 6), sequence
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of ``docs`` (doc_id, text)."""
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, with_ids: bool = False, read: Callable[[], None] = lambda: None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of ``docs`` (doc_id, text); and its ids if asked for.
+
+    ``read`` is called once ``docs`` has been read for the last time.
+    """
     spark = docs.sparkSession
-    pieces = C.materialise(cut(docs, tokenizer or tokens.default_tokenizer(), end_id, capacity), "packing-pieces")
+    pieces = C.materialise(cut(docs, tokenizer or tokens.default_tokenizer(), end_id, capacity, with_ids), "packing-pieces", 1 << 20 if with_ids else None)
+    read()
     by_part = C.materialise(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "packing-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -191,6 +209,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacit
     counts = {int(r["length"]): int(r["n"]) for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = plan(counts, capacity)
     shared = spark.sparkContext.broadcast(runs)
+    more = ["ids"] * with_ids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
@@ -200,10 +219,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacit
             run = runs[np.searchsorted(keys, (batch.column(3).to_numpy(zero_copy_only=False) << 48) + rank, side="right") - 1]
             nth = rank - run[:, 1]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(run[:, 3] + nth // run[:, 4]), pa.array(run[:, 5] + nth % run[:, 4] * run[:, 0])],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [*batch.columns[:5], pa.array(run[:, 3] + nth // run[:, 4]), pa.array(run[:, 5] + nth % run[:, 4] * run[:, 0]), *batch.columns[6:]],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *more],
             )
 
     # A row for each task and length: it grows with the table, so both sides are shuffled.
-    ranked = pieces.join(offsets.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = pieces.join(offsets.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"), *more)
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

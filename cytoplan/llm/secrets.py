@@ -383,8 +383,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
 # ---------------------------------------------------------------- scans
 
 
-def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and base and field spans."""
+def all_spans(text: str, field: Field, touching: bool = False) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and base and field spans; with ``touching`` also the tagged runs that touch a base span."""
     base = base_spans(text)
     tokens = TOKEN.findall(text)
     runs = field.tag(tokens, text) if tokens else []
@@ -393,7 +393,7 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list
         places = [m.span() for m in TOKEN.finditer(text)]
         for i, j in runs:
             a, b = places[i][0], places[j - 1][1]
-            if not any(x < b and a < y for x, _, y in base):
+            if touching or not any(x < b and a < y for x, _, y in base):
                 more.append((a, 3, b))
     return base, base + more
 
@@ -419,8 +419,24 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     return rows.mapInArrow(run, RESULT)
 
 
+def redacted(text: str | None, field: Field, mark: str) -> str | None:
+    """``text`` with ``mark`` in the place of its spans; spans that overlap are one."""
+    _, spans = all_spans(text, field, touching=True) if text else ([], [])
+    if not spans:
+        return text
+    at, parts = 0, []
+    for a, _, b in sorted(spans):
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
 def redact(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """``docs``, all columns, with every span of ``text`` replaced by ``mark`` and ``n_chars``, if present, counted anew."""
+    """``docs``, all columns, with every span of ``text`` replaced by ``mark`` and ``n_chars``, if present, counted anew.
+
+    Of a tagged run that a base span covers in part the rest goes as well.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field or fit(docs))
     names, schema = docs.columns, T.StructType(docs.schema.fields)
     place = names.index("text")
@@ -430,14 +446,7 @@ def redact(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]")
             texts = batch.column(place).to_pylist()
             cut = list(texts)
             for i, text in enumerate(texts):
-                _, spans = all_spans(text, shared.value) if text else ([], [])
-                at, parts = 0, []
-                for a, _, b in sorted(spans):
-                    if a >= at:
-                        parts += [text[at:a], mark]
-                    at = max(at, b)
-                if spans:
-                    cut[i] = "".join([*parts, text[at:]])
+                cut[i] = redacted(text, shared.value, mark)
             cols = list(batch.columns)
             cols[place] = pa.array(cut, batch.column(place).type)
             if "n_chars" in names:

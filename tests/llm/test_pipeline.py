@@ -147,3 +147,33 @@ def test_what_stages_wrote_is_deleted(spark, odd):
     mark = C.materialised()
     out = corpus_pipeline.run_on(spark, odd, SF)
     assert C.materialised() == mark + 1 and out.count() > 0
+
+
+def test_packed_sequences_hold_their_ids(spark, odd):
+    docs = odd.where("doc_id in (1, 2, 41, 44)")
+    coder = Tokenizer.from_file(tokens.default_tokenizer())
+    sequences, texts = {}, {r.doc_id: r.text for r in docs.collect()}
+    for r in corpus_pipeline.best_fit_packing(spark, docs, SF).collect():
+        whole = [*coder.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert r.ids == whole[r.start : r.start + 4096] and r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        sequences.setdefault(r.sequence_id, {})[r["offset"]] = r.ids
+    for own in sequences.values():
+        assert [at for at in sorted(own)] == np.append(0, np.cumsum([len(own[at]) for at in sorted(own)]))[:-1].tolist()
+    assert sum(len(ids) for own in sequences.values() for ids in own.values()) > 30_000
+
+
+def test_items_without_an_id_are_removed_as_well(spark, odd, tmp_path):
+    text = odd.where("doc_id = 8").first().text
+    spark.createDataFrame([(None, text), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [r.doc_id for r in corpus_pipeline.decontamination(spark, odd, f"file://{tmp_path}").collect()]
+    assert 8 not in left and len(left) == odd.count() - 1
+
+
+def test_no_part_of_a_secret_is_left_beside_a_base_match():
+    class Tags:
+        def tag(self, words, text):
+            return [(k, k + 1) for k, w in enumerate(words) if w.startswith("ghp_")]
+
+    found = "abcdef0123456789" * 2
+    assert secrets.redacted(f"use ghp_Zk{found}Qx9Lm today", Tags(), "[SECRET]") == "use [SECRET] today"
+    assert secrets.redacted(f"use {found} today", Tags(), "[SECRET]") == "use [SECRET] today" and secrets.redacted(None, Tags(), "x") is None
